@@ -5,29 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import spread
+
 _CORRUPT = "_corrupt_record"
 
 
-def scan(spark: SparkSession, path: str | list[str], schema: str, spread: int | None = None) -> DataFrame:
+def scan(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """Records of a file, folder, or glob. A path without files raises.
 
-    Gzip is told by the suffix. Such a file is read by one task, so `spread` (or the
-    session's shuffle partitions) sets how many tasks go on with its rows.
+    Gzip is told by the suffix. Such a file is read by one task, so the rows of a few
+    of them are dealt out to all cores; many files keep the cores busy as they are.
     """
     rows = spark.read.schema(schema).json(path)
     paths = [path] if isinstance(path, str) else path
-    if any(p.endswith(".gz") for p in paths):
-        return rows.repartition(spread) if spread else rows.repartition()
-    return rows
+    return spread(rows) if any(p.endswith(".gz") for p in paths) else rows
 
 
 def scan_tolerant(spark: SparkSession, path: str | list[str], schema: str) -> tuple[DataFrame, DataFrame]:
     """(good records, lines that are no records). A cut-off last line is one of the latter."""
-    rows = spark.read.schema(f"{schema}, {_CORRUPT} string").option(
-        "columnNameOfCorruptRecord", _CORRUPT
-    ).json(path)
-    good = rows.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
-    bad = rows.where(F.col(_CORRUPT).isNotNull()).select(F.col(_CORRUPT).alias("line"))
+    parsed = F.from_json(
+        "value", f"{schema}, {_CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    )
+    rows = spark.read.text(path).select("value", parsed.alias("_r"))
+    good = rows.where(F.col(f"_r.{_CORRUPT}").isNull()).select("_r.*").drop(_CORRUPT)
+    bad = rows.where(F.col(f"_r.{_CORRUPT}").isNotNull()).select(F.col("value").alias("line"))
     return good, bad
 
 

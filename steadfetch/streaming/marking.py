@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -53,3 +53,22 @@ def progress_rows(query: StreamingQuery, name: str = "progress") -> list[tuple[i
         if seen is not None:
             rows.append((event.batchId, seen["n_done"], seen["n_correct"], seen["n_judge_skipped"]))
     return rows
+
+
+def start_running_robustness(verdicts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Writes the changed means of each batch to a folder of its own, in update mode."""
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return (
+        running_robustness(verdicts).writeStream.outputMode("update").foreachBatch(keep)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest(updates: DataFrame) -> DataFrame:
+    """The last written row per (query, document). `batch` comes from the folder names."""
+    newest = Window.partitionBy("query_idx", "doc_key").orderBy(F.desc("batch"))
+    return updates.withColumn("_n", F.row_number().over(newest)).where("_n <= 1").drop("_n", "batch")
