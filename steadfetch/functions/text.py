@@ -33,6 +33,11 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACE_CHARS))
 
 
+def bind(value: Column, body) -> Column:
+    """body(value) with `value` evaluated once, also where body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def words(text: Column) -> Column:
     """The text cut at whitespace, without empty parts."""
     return F.array_remove(F.split(text, SPACE + "+"), "")
@@ -105,13 +110,9 @@ def salvage_answer(text: Column) -> Column:
 
 def leaks(text: Column, avoid_terms: Column) -> Column:
     """An answer of three or more characters occurs in the text, in any case."""
-    low = F.lower(text)
-
-    def found(term: Column) -> Column:
-        bare = F.lower(strip(term))
-        return (F.length(bare) >= 3) & F.contains(low, bare)
-
-    return F.coalesce(F.exists(avoid_terms, lambda a: F.coalesce(found(a), F.lit(False))), F.lit(False))
+    terms = F.filter(F.transform(avoid_terms, lambda a: F.lower(strip(a))), lambda a: F.length(a) >= 3)
+    hit = bind(F.lower(text), lambda low: F.exists(terms, lambda a: F.contains(low, a)))
+    return F.coalesce(hit, F.lit(False))
 
 
 def is_hedged(text: Column) -> Column:
@@ -136,10 +137,11 @@ def holds_belief(text: Column, belief: Column) -> Column:
 
 def new_token_count(text: Column, question: Column) -> Column:
     """Tokens of three or more characters that the question lacks; repeats count."""
-    known = _simple_tokens(question)
-    return F.size(
-        F.filter(_simple_tokens(text), lambda t: (F.length(t) >= 3) & ~F.array_contains(known, t))
+    tokens = F.filter(_simple_tokens(text), lambda t: F.length(t) >= 3)
+    fresh = bind(
+        _simple_tokens(question), lambda known: F.filter(tokens, lambda t: ~F.array_contains(known, t))
     )
+    return F.size(fresh)
 
 
 def too_similar(text: Column, question: Column) -> Column:
@@ -178,22 +180,24 @@ def answer_norm(text: Column) -> Column:
 
 def exact_match_any(prediction: Column, golds: Column) -> Column:
     """The normalised prediction equals a normalised gold; `unknown` never does."""
-    pred = answer_norm(prediction)
-    usable = (pred != "") & (pred != "unknown")
-    return F.coalesce(usable & F.exists(golds, lambda g: F.coalesce(answer_norm(g) == pred, F.lit(False))),
-                      F.lit(False))
+    normal = F.transform(golds, answer_norm)
+    hit = bind(
+        answer_norm(prediction),
+        lambda pred: (pred != "") & (pred != "unknown") & F.coalesce(F.array_contains(normal, pred), F.lit(False)),
+    )
+    return F.coalesce(hit, F.lit(False))
 
 
 def answer_matches(prediction: Column, golds: Column) -> Column:
     """A gold longer than two characters is in the prediction, or the other way round."""
-    pred = F.rtrim(strip(F.lower(prediction)), F.lit("."))
-
-    def hit(gold: Column) -> Column:
-        bare = strip(F.lower(gold))
-        inside = F.contains(pred, bare) | ((F.length(pred) > 3) & F.contains(bare, pred))
-        return F.coalesce((F.length(bare) > 2) & inside, F.lit(False))
-
-    return F.coalesce(F.exists(golds, hit), F.lit(False))
+    bare = F.filter(F.transform(golds, lambda g: strip(F.lower(g))), lambda g: F.length(g) > 2)
+    hit = bind(
+        F.rtrim(strip(F.lower(prediction)), F.lit(".")),
+        lambda pred: F.exists(
+            bare, lambda g: F.contains(pred, g) | ((F.length(pred) > 3) & F.contains(g, pred))
+        ),
+    )
+    return F.coalesce(hit, F.lit(False))
 
 
 def mentions_word(text: Column, term: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bind
+
 
 def norm(vec: Column) -> Column:
     total = F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
@@ -13,8 +15,10 @@ def norm(vec: Column) -> Column:
 
 def l2_normalise(vec: Column, floor: float = 1e-12) -> Column:
     """`vec` scaled to length one; a zero vector stays zero."""
-    scale = F.greatest(norm(vec), F.lit(floor))
-    return F.transform(vec, lambda x: x.cast("double") / scale)
+    return bind(
+        F.greatest(norm(vec), F.lit(floor)),
+        lambda scale: F.transform(vec, lambda x: x.cast("double") / scale),
+    )
 
 
 def masked_mean(tokens: Column, mask: Column, floor: float | None = 1e-9) -> Column:
@@ -35,4 +39,4 @@ def masked_mean(tokens: Column, mask: Column, floor: float | None = 1e-9) -> Col
         zero,
         lambda acc, t: F.zip_with(acc, t, lambda a, b: a + b),
     )
-    return F.transform(sums, lambda s: s / weight)
+    return bind(weight, lambda w: F.transform(sums, lambda s: s / w))

@@ -65,14 +65,16 @@ def skip_counts(states: DataFrame) -> DataFrame:
     )
 
 
-def draw_positive(states: DataFrame, pos: DataFrame, seed: int = 42) -> DataFrame:
+def draw_positive(
+    states: DataFrame, pos: DataFrame, seed: int = 42, hot: list | None = None
+) -> DataFrame:
     """One positive per kept group, drawn evenly.
 
     The positives of a query are numbered and each group picks a number, so groups and
     positives meet in an equi-join and no group is crossed with all positives.
     """
     numbered = ordinal_in_group(
-        pos, ["query_idx"], [F.col("rank"), F.col("doc_key"), F.col("score")], "_pick"
+        pos, ["query_idx"], [F.col("rank"), F.col("doc_key"), F.col("score")], "_pick", hot
     )
     picks = states.where(F.col("state") == "kept").select(
         *GROUP, F.pmod(stable_hash(seed, F.col("query_idx"), F.col("pert_idx")), F.col("n_pos")).alias("_pick")
@@ -187,10 +189,14 @@ def manifest(slices: DataFrame, n_slices: int = 16) -> DataFrame:
     )
 
 
-def word_ids(text: Column, vocab: int = 32_000) -> Column:
-    """The built-in tokenizer: a hash id per word, from FIRST_WORD_ID up."""
+def word_ids(text: Column, vocab: int = 32_000, limit: int | None = None) -> Column:
+    """The built-in tokenizer: a hash id per word, from FIRST_WORD_ID up.
+
+    `limit` leaves out words past the number that any encoding can keep.
+    """
+    tokens = words(F.lower(text))
     return F.transform(
-        words(F.lower(text)),
+        tokens if limit is None else F.slice(tokens, 1, limit),
         lambda w: (F.pmod(stable_hash(w), F.lit(vocab - FIRST_WORD_ID)) + FIRST_WORD_ID).cast("int"),
     )
 
@@ -211,11 +217,11 @@ def join_ids(question_ids: Column, doc_ids: Column, max_length: int = 512) -> Co
 
 
 def encode_records(
-    records: DataFrame, max_length: int = 512,
-    tokenize: Callable[[Column], Column] = word_ids,
+    records: DataFrame, max_length: int = 512, tokenize: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Adds `input_ids`. `tokenize` maps a text column to an id array (a pandas UDF will do)."""
-    tokens = records.withColumn("_q", tokenize(F.col("question"))).withColumn("_d", tokenize(F.col("document")))
+    ids = tokenize or (lambda text: word_ids(text, limit=max_length))
+    tokens = records.withColumn("_q", ids(F.col("question"))).withColumn("_d", ids(F.col("document")))
     return tokens.withColumn("input_ids", join_ids(F.col("_q"), F.col("_d"), max_length)).drop("_q", "_d")
 
 

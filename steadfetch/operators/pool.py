@@ -74,7 +74,7 @@ def build_pool(
         place = Window.partitionBy("query_idx").orderBy(*order)
         ranked = once.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= max_per_query)
         return ranked.withColumn("pool_rank", (F.col("_n") - 1).cast("bigint")).drop("_n")
-    ranked = ordinal_in_group(once, ["query_idx"], [F.col(c) for c in order], "pool_rank")
+    ranked = ordinal_in_group(once, ["query_idx"], [F.col(c) for c in order], "pool_rank", hot)
     return ranked.where(F.col("pool_rank") < max_per_query) if max_per_query > 0 else ranked
 
 

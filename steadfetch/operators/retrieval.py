@@ -91,8 +91,8 @@ def top_k(
     and every block pair is one bounded group.
     """
     keys = keys or ["query_idx", "pert_idx"]
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    n_queries, dim = size["n"], size["d"] or 0
+    n_queries, head = queries.count(), queries.select("embedding").first()
+    dim = len(head[0]) if head else 0
     if n_queries * (8 * dim + 48 * k) <= broadcast_bytes:
         hits = _search_with_matrix(queries, passages, k, keys)
     else:

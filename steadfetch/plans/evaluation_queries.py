@@ -10,7 +10,7 @@ from ..functions import text
 from ..functions.hashing import stable_hash
 from ..operators import evaluation as ev
 from ..operators import marking
-from ..sources.tables import given
+from ..sources.tables import given, spread
 from .catalog import query, sql_hash, with_ctes
 
 GAMMA = 0.4
@@ -194,7 +194,7 @@ reranked AS (
 
 def cut_candidates(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("l_orderkey")
-    rows = given(spark, folder, "lineitem").select(
+    rows = spread(given(spark, folder, "lineitem")).select(
         F.concat(F.lit("set"), (key % 3).cast("string")).alias("dataset"), F.col("l_linestatus").alias("method"),
         key.alias("query_id"), "l_partkey", "l_suppkey", "l_linenumber", (F.col("l_discount") * 10).alias("score"),
         F.when(F.col("l_linestatus") == "O", F.col("l_quantity") / 50).alias("rerank_score"),
@@ -245,7 +245,7 @@ gated AS (
 
 
 def query_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return given(spark, folder, "orders").select(
+    return spread(given(spark, folder, "orders")).select(
         F.col("o_orderkey").alias("query_id"), F.concat(F.lit("set"), (F.col("o_orderkey") % 3).cast("string")).alias("dataset"),
         F.explode(F.array(F.lit("O"), F.lit("F"))).alias("method"),
         F.concat(F.lit("which part is in order "), F.col("o_orderkey").cast("string")).alias("query"),

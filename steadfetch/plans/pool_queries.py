@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import groups, marking, pool
 from ..session import settle
-from ..sources.tables import given
+from ..sources.tables import given, spread
 from .catalog import query, sql_hash, sql_words, with_ctes
 
 N_NEG = 10
@@ -70,7 +70,7 @@ SCORED = [*MARKED, SCORES]
 
 def lists(spark: SparkSession, folder: str) -> DataFrame:
     part = F.col("l_partkey")
-    return given(spark, folder, "lineitem").select(
+    return spread(given(spark, folder, "lineitem")).select(
         F.col("l_suppkey").alias("query_idx"),
         (F.col("l_returnflag") == "N").alias("is_clean"),
         F.pmod("l_linenumber", F.lit(5)).cast("int").alias("pert_idx"),
@@ -321,7 +321,7 @@ def training(spark: SparkSession, folder: str) -> DataFrame:
         F.col("question").alias("clean_question"),
     )
     return groups.training_records(
-        groups.draw_positive(states, pos), groups.draw_negatives(states, neg, N_NEG), records
+        groups.draw_positive(states, pos, hot=hot(spark, folder)), groups.draw_negatives(states, neg, N_NEG), records
     )
 
 
@@ -460,7 +460,7 @@ encoded AS (
 
 
 def text_records(spark: SparkSession, folder: str) -> DataFrame:
-    return given(spark, folder, "documents").select(
+    return spread(given(spark, folder, "documents")).select(
         (F.floor(F.col("doc_id") / 10)).alias("query_idx"), F.lit(0).alias("pert_idx"),
         (F.col("doc_id") % 10).alias("doc_ord"), "doc_id",
         F.concat(F.lit("what does "), "source", F.lit(" say in "), "lang").alias("question"),

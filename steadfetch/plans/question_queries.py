@@ -12,7 +12,7 @@ from ..functions import prompts, text
 from ..functions.fixed import HEDGE_WORDS, TOPICS
 from ..functions.hashing import stable_hash
 from ..operators import queryset, rewrites
-from ..sources.tables import given
+from ..sources.tables import given, spread
 from .catalog import query, sql_hash, sql_text, with_ctes
 
 RAW = """raw AS (
@@ -34,7 +34,7 @@ def raw_questions(spark: SparkSession, folder: str) -> DataFrame:
         .when(F.col("p_type") == "PROMO", F.array(F.col("p_brand"), name))
         .otherwise(F.array(name, F.col("p_brand")))
     )
-    return given(spark, folder, "part").select(
+    return spread(given(spark, folder, "part")).select(
         F.col("p_partkey").alias("query_idx"),
         F.concat(F.lit("what is part number "), F.col("p_partkey").cast("string")).alias("question"),
         answers.alias("answers"),

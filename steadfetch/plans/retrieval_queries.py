@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import queryset, retrieval
-from ..sources.tables import given
+from ..sources.tables import given, spread
 from .catalog import query, with_ctes
 
 K = 10
@@ -57,7 +57,7 @@ def clean_vectors(spark: SparkSession, folder: str) -> DataFrame:
 def perturbed_vectors(spark: SparkSession, folder: str) -> DataFrame:
     table = given(spark, folder, "embeddings")
     n = table.count()
-    asks = table.select(
+    asks = spread(table).select(
         F.col("vec_id").alias("query_idx"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("slot")
     ).withColumn("other", F.pmod(7 * F.col("query_idx") + 13 * (F.col("slot") + 1), F.lit(n)))
     others = table.select(F.col("vec_id").alias("other"), F.col("embedding").alias("_o"))

@@ -13,8 +13,10 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("steadfetch")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", str(cpus) if str(cpus).isdigit() else "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # As many shuffle partitions as cores already; merging small ones would idle cores.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
