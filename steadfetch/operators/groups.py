@@ -225,15 +225,19 @@ def encode_records(
     return tokens.withColumn("input_ids", join_ids(F.col("_q"), F.col("_d"), max_length)).drop("_q", "_d")
 
 
-def encoded_groups(encoded: DataFrame) -> DataFrame:
-    """(key, train_mode, pos_mask, scores, input_ids) per group of 1 + N records."""
+def encoded_groups(encoded: DataFrame, part: int = LIST_PART) -> DataFrame:
+    """(key, part_no, train_mode, pos_mask, scores, input_ids) per group.
+
+    Groups from the drawing hold 1 + N documents; longer ones go on in further parts.
+    """
     entry = F.struct("doc_ord", F.col("robustness_score").alias("s"), F.col("input_ids").alias("ids"))
-    grouped = encoded.withColumn("key", group_key()).groupBy("key").agg(
+    keyed = encoded.withColumn("key", group_key()).withColumn("part_no", F.floor(F.col("doc_ord") / part))
+    grouped = keyed.groupBy("key", "part_no").agg(
         F.min_by("train_mode", "doc_ord").alias("train_mode"),
         F.array_sort(F.collect_list(entry)).alias("_docs"),
     )
     return grouped.select(
-        "key", "train_mode",
+        "key", "part_no", "train_mode",
         F.transform("_docs", lambda d: d["s"] > 0).alias("pos_mask"),
         F.transform("_docs", lambda d: d["s"].cast("float")).alias("scores"),
         F.transform("_docs", lambda d: d["ids"]).alias("input_ids"),
@@ -252,9 +256,12 @@ def encoding_stats(groups: DataFrame) -> DataFrame:
 
 
 def group_range(groups: DataFrame, skip: int = 0, limit: int = 0) -> DataFrame:
-    """Groups number skip, skip+1, ... in key order; `limit` 0 means all the rest."""
-    numbered = dense_ordinal(groups, [F.col("key")])
+    """Groups number skip, skip+1, ... in key order; `limit` 0 means all the rest.
+
+    Only the keys are numbered; the groups meet those of the range in a join.
+    """
+    numbered = dense_ordinal(groups.select("key").distinct(), [F.col("key")])
     wanted = F.col("ordinal") >= skip
     if limit > 0:
         wanted = wanted & (F.col("ordinal") < skip + limit)
-    return numbered.where(wanted)
+    return groups.join(numbered.where(wanted), "key")

@@ -86,7 +86,7 @@ def mark(pairs: DataFrame, teacher: BatchFn | None = None, judge: BatchFn | None
             ),
         )
         said = apply_batches(asked, judge, "_raw").withColumn("judge_raw", F.lower(text.strip(F.col("_raw"))))
-        judged = sure.unionByName(said.drop("prompt", "_raw"))
+        judged = sure.unionByName(settle(said.drop("prompt", "_raw")))
     return judged.withColumn("correct", F.startswith(F.col("judge_raw"), F.lit("yes"))).drop("_em")
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordinal import ordinal_in_group
+
 SCORE_PLACES = 6
 # Queries sent to every task as one matrix must fit in this many bytes, together
 # with their k best hits; more queries are met in blocks instead.
@@ -242,10 +244,9 @@ def nest_hits(hits: DataFrame, keys: list[str] | None = None, depth: int = 100)
     )
 
 
-def pert_ordinals(flat: DataFrame) -> DataFrame:
+def pert_ordinals(flat: DataFrame, hot: list | None = None) -> DataFrame:
     """Adds `pert_idx`, the place of a rewrite inside its query by slot."""
-    slots = Window.partitionBy("query_idx").orderBy("slot_idx")
-    return flat.withColumn("pert_idx", F.row_number().over(slots) - 1)
+    return ordinal_in_group(flat, ["query_idx"], [F.col("slot_idx")], "pert_idx", hot)
 
 
 def rescore(hits: DataFrame, scoring: DataFrame, passages: DataFrame, keys: list[str] | None = None) -> DataFrame:

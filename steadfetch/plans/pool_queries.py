@@ -7,7 +7,7 @@ column and some with their text alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -82,10 +82,10 @@ def lists(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def clean_list(spark: SparkSession, folder: str) -> DataFrame:
+def clean_list(spark: SparkSession, folder: str, hot: list) -> DataFrame:
     """Clean hits of the known queries."""
     rows = lists(spark, folder).where("is_clean").drop("is_clean", "pert_idx")
-    return pool.known_only(rows, asked(spark, folder), hot(spark, folder))
+    return pool.known_only(rows, asked(spark, folder), hot)
 
 
 def perturbed_list(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,13 +102,15 @@ def asked(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def hot(spark: SparkSession, folder: str) -> list:
+def hot_suppliers(spark: SparkSession, folder: str) -> list:
+    """Queries with a large share of the candidates, from one narrow column."""
     return pool.hot_queries(given(spark, folder, "lineitem").select(F.col("l_suppkey").alias("query_idx")))
 
 
-def pooled(spark: SparkSession, folder: str, cap: int = 0) -> DataFrame:
+def pooled(spark: SparkSession, folder: str, cap: int = 0, hot: list | None = None) -> DataFrame:
+    hot = hot_suppliers(spark, folder) if hot is None else hot
     return pool.build_pool(
-        clean_list(spark, folder), perturbed_list(spark, folder), asked(spark, folder), cap, hot(spark, folder)
+        clean_list(spark, folder, hot), perturbed_list(spark, folder), asked(spark, folder), cap, hot
     )
 
 
@@ -123,16 +125,20 @@ def perts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs with a given mark, so that the steps after marking can be checked alone."""
+def given_mark() -> Column:
     document = F.coalesce("passage_idx", F.length("text").cast("bigint"))
-    mark = (F.pmod(F.col("query_idx") * 31 + document * 17, F.lit(7)) + F.col("pert_idx")) % 7 < 2
-    docs = pooled(spark, folder).drop("src", "pert_idx", "rank")
-    return marking.expand_pairs(docs, perts(spark, folder), hot(spark, folder)).withColumn("correct", mark)
+    return (F.pmod(F.col("query_idx") * 31 + document * 17, F.lit(7)) + F.col("pert_idx")) % 7 < 2
+
+
+def pairs(spark: SparkSession, folder: str, hot: list | None = None) -> DataFrame:
+    """Pairs with a given mark, so that the steps after marking can be checked alone."""
+    hot = hot_suppliers(spark, folder) if hot is None else hot
+    docs = pooled(spark, folder, 0, hot).drop("src", "pert_idx", "rank")
+    return marking.expand_pairs(docs, perts(spark, folder), hot).withColumn("correct", given_mark())
 
 
-def scores(spark: SparkSession, folder: str) -> DataFrame:
-    return marking.robustness(pairs(spark, folder))
+def scores(spark: SparkSession, folder: str, hot: list | None = None) -> DataFrame:
+    return marking.robustness(pairs(spark, folder, hot))
 
 
 @query("g1_document_keys", with_ctes("SELECT query_idx, rank, doc_key, score FROM keyed", LISTS))
@@ -143,8 +149,9 @@ def document_keys(spark: SparkSession, folder: str) -> DataFrame:
 @query("g2_g4_union_known", with_ctes(
     "SELECT query_idx, src::BIGINT AS src, count(*) AS n_rows, sum(rank)::DOUBLE AS rank_sum FROM known GROUP BY ALL", *BASE))
 def union_known(spark: SparkSession, folder: str) -> DataFrame:
-    known = pool.known_only(perturbed_list(spark, folder), asked(spark, folder), hot(spark, folder))
-    return pool.union_candidates(clean_list(spark, folder), known).groupBy("query_idx", "src").agg(
+    hot = hot_suppliers(spark, folder)
+    known = pool.known_only(perturbed_list(spark, folder), asked(spark, folder), hot)
+    return pool.union_candidates(clean_list(spark, folder, hot), known).groupBy("query_idx", "src").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("rank").cast("double").alias("rank_sum")
     ).withColumn("src", F.col("src").cast("bigint"))
 
@@ -234,12 +241,11 @@ resolved AS (
 @query("h11_resolved_keys", with_ctes(
     "SELECT query_idx, pert_idx, doc_rank, correct, doc_key FROM resolved WHERE doc_key IS NOT NULL", *MARKED, VERDICTS))
 def resolved_keys(spark: SparkSession, folder: str) -> DataFrame:
-    docs = settle(pooled(spark, folder))
-    document = F.coalesce("passage_idx", F.length("text").cast("bigint"))
-    mark = (F.pmod(F.col("query_idx") * 31 + document * 17, F.lit(7)) + F.col("pert_idx")) % 7 < 2
-    marked = marking.expand_pairs(docs.drop("src", "pert_idx", "rank"), perts(spark, folder), hot(spark, folder))
+    hot = hot_suppliers(spark, folder)
+    docs = settle(pooled(spark, folder, 0, hot))
+    marked = marking.expand_pairs(docs.drop("src", "pert_idx", "rank"), perts(spark, folder), hot)
     lost = (F.col("doc_rank") % 4 == 0) & F.col("passage_idx").isNull()
-    verdicts = marked.withColumn("correct", mark).select(
+    verdicts = marked.withColumn("correct", given_mark()).select(
         "query_idx", F.col("pert_idx").cast("bigint").alias("pert_idx"), "doc_rank", "correct", "passage_idx",
         F.when(lost, "").otherwise(F.sha1(F.col("text").cast("binary"))).alias("doc_text_hash"),
     )
@@ -294,25 +300,24 @@ train AS (
 TRAIN = [*SCORED, GROUPS]
 
 
-def keyed_lists(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return (
-        pool.with_key(clean_list(spark, folder)),
-        pool.with_key(perturbed_list(spark, folder)),
-    )
-
+def group_parts(spark: SparkSession, folder: str, hot: list | None = None, keep: bool = False):
+    """(positives, negatives, states). The scores are written once, all others read them.
 
-def group_parts(spark: SparkSession, folder: str):
-    """(scores, positives, negatives, states); the scores are written once, all others read them."""
-    score = settle(scores(spark, folder))
-    clean, perturbed = keyed_lists(spark, folder)
+    With `keep` so are positives and negatives, for callers that read them again.
+    """
+    hot = hot_suppliers(spark, folder) if hot is None else hot
+    score = settle(scores(spark, folder, hot).select("query_idx", "doc_key", "robustness"))
+    clean, perturbed = pool.with_key(clean_list(spark, folder, hot)), pool.with_key(perturbed_list(spark, folder))
     pos, neg = groups.positives(clean, score), groups.hard_negatives(perturbed, score)
+    if keep:
+        pos, neg = settle(pos), settle(neg)
     records = perturbed.select("query_idx", "pert_idx").distinct()
-    states = groups.eligibility(records, clean, score, pos, neg, N_NEG)
-    return score, pos, neg, states
+    return pos, neg, groups.eligibility(records, clean, score, pos, neg, N_NEG)
 
 
 def training(spark: SparkSession, folder: str) -> DataFrame:
-    _, pos, neg, states = group_parts(spark, folder)
+    hot = hot_suppliers(spark, folder)
+    pos, neg, states = group_parts(spark, folder, hot, keep=True)
     states = settle(states)
     asks = asked(spark, folder).select("query_idx", "question")
     records = states.select("query_idx", "pert_idx").join(asks, "query_idx").select(
@@ -321,26 +326,26 @@ def training(spark: SparkSession, folder: str) -> DataFrame:
         F.col("question").alias("clean_question"),
     )
     return groups.training_records(
-        groups.draw_positive(states, pos, hot=hot(spark, folder)), groups.draw_negatives(states, neg, N_NEG), records
+        groups.draw_positive(states, pos, hot=hot), groups.draw_negatives(states, neg, N_NEG), records
     )
 
 
 @query("h13_positives", with_ctes(
     "SELECT query_idx, doc_key, rank, round(robustness, 9) AS robustness FROM pos", *TRAIN))
 def positives(spark: SparkSession, folder: str) -> DataFrame:
-    _, pos, _, _ = group_parts(spark, folder)
+    pos, _, _ = group_parts(spark, folder)
     return pos.select("query_idx", "doc_key", "rank", F.round("robustness", 9).alias("robustness"))
 
 
 @query("h14_hard_negatives", with_ctes("SELECT query_idx, pert_idx, doc_key, rank FROM neg", *TRAIN))
 def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
-    _, _, neg, _ = group_parts(spark, folder)
+    _, neg, _ = group_parts(spark, folder)
     return neg.select("query_idx", F.col("pert_idx").cast("bigint").alias("pert_idx"), "doc_key", "rank")
 
 
 @query("h15_eligibility", with_ctes("SELECT query_idx, pert_idx, n_pos, n_neg, state FROM states", *TRAIN))
 def eligibility(spark: SparkSession, folder: str) -> DataFrame:
-    _, _, _, states = group_parts(spark, folder)
+    _, _, states = group_parts(spark, folder)
     return states.withColumn("pert_idx", F.col("pert_idx").cast("bigint"))
 
 
@@ -348,7 +353,7 @@ def eligibility(spark: SparkSession, folder: str) -> DataFrame:
     "SELECT count(*) FILTER (state = 'kept') AS n_groups, count(*) FILTER (state = 'no_positive') AS n_skip_no_pos, "
     "count(*) FILTER (state = 'few_negatives') AS n_skip_no_neg FROM states", *TRAIN))
 def skip_counters(spark: SparkSession, folder: str) -> DataFrame:
-    _, _, _, states = group_parts(spark, folder)
+    _, _, states = group_parts(spark, folder)
     return groups.skip_counts(states)
 
 

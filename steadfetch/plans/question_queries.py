@@ -235,13 +235,13 @@ def prompt_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("c12_dataset_pick",
-       "SELECT 'set' || (l_linenumber % 3) AS dataset, count(*) AS n_rows, count(DISTINCT l_orderkey) AS n_queries "
-       "FROM lineitem WHERE 'set' || (l_linenumber % 3) IN ('set0', 'set2') GROUP BY 1")
+       "SELECT l_returnflag AS dataset, count(*) AS n_rows, count(DISTINCT l_orderkey) AS n_queries "
+       "FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1")
 def dataset_pick(spark: SparkSession, folder: str) -> DataFrame:
     rows = given(spark, folder, "lineitem").select(
-        F.concat(F.lit("set"), F.pmod("l_linenumber", F.lit(3)).cast("string")).alias("dataset"), "l_orderkey"
+        F.col("l_returnflag").alias("dataset"), "l_orderkey"
     )
-    return queryset.with_datasets(rows, ["set0", "set2"]).groupBy("dataset").agg(
+    return queryset.with_datasets(rows, ["A", "R"]).groupBy("dataset").agg(
         F.count(F.lit(1)).alias("n_rows"), F.countDistinct("l_orderkey").alias("n_queries")
     )
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import stable_hash
 from ..operators import critic, groups, ranking, splits
 from ..sources.tables import given
 from .catalog import query, sql_hash, with_ctes
-from .pool_queries import RECORDS, plain_records, text_records
+from .pool_queries import RECORDS, ordered, plain_records, text_records
 
 KEYS = [RECORDS, """keys AS (
   SELECT query_idx || '_' || pert_idx AS key, query_idx, pert_idx,
@@ -64,12 +65,10 @@ items AS (
 
 
 def array_groups(spark: SparkSession, folder: str) -> DataFrame:
-    entry = F.struct("doc_rank", "l_suppkey", "l_extendedprice", F.col("robustness_score").alias("s"))
-    grouped = plain_records(spark, folder).withColumn("key", groups.group_key()).groupBy("key").agg(
-        F.array_sort(F.collect_list(entry)).alias("_d")  # lines of one order
-    )
-    return grouped.select(
-        "key", F.transform("_d", lambda d: d["s"] > 0).alias("pos_mask"), F.transform("_d", lambda d: d["s"]).alias("scores")
+    nested = groups.nest_groups(ordered(spark, folder))
+    return nested.select(
+        "key", F.transform("docs", lambda d: d["score"] > 0).alias("pos_mask"),
+        F.transform("docs", lambda d: d["score"]).alias("scores"),
     )
 
 
@@ -173,7 +172,9 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 def critic_fit(spark: SparkSession, folder: str) -> DataFrame:
     """Fit on all pairs, then the mean score per label: the fit must follow the labels."""
     pairs = critic.pair_features(
-        text_records(spark, folder).withColumn("retriever_score", F.rand(7))
+        text_records(spark, folder).withColumn(
+            "retriever_score", F.pmod(stable_hash(F.col("doc_id")), F.lit(1000)) / 1000
+        )
     ).withColumn("robustness_score", F.least(F.col("log_words") / 10, F.lit(1.0)))
     model = critic.fit(pairs)
     return critic.score(pairs, model).groupBy(F.round("robustness_score", 1).alias("label")).agg(
