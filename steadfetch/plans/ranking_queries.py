@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_hash
 from ..operators import critic, groups, ranking, splits
+from ..session import settle
 from ..sources.tables import given
 from .catalog import query, sql_hash, with_ctes
 from .pool_queries import RECORDS, ordered, plain_records, text_records
@@ -177,7 +178,8 @@ def critic_fit(spark: SparkSession, folder: str) -> DataFrame:
         )
     ).withColumn("robustness_score", F.least(F.col("log_words") / 10, F.lit(1.0)))
     model = critic.fit(pairs)
-    return critic.score(pairs, model).groupBy(F.round("robustness_score", 1).alias("label")).agg(
+    scored = settle(critic.score(pairs, model).select("robustness_score", "rerank_score"))
+    return scored.groupBy(F.round("robustness_score", 1).alias("label")).agg(
         F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("rerank_score"), 6).alias("mean_score")
     )
 
