@@ -51,7 +51,9 @@ def test_query_without_sql_has_rows(spark, small, name):
 def test_probed_recall_grows_with_probes(spark, small):
     rows = registry.queries()["f3_probed_recall"](spark, small).orderBy("probes").collect()
     shares = [r["recall"] for r in rows]
-    assert shares == sorted(shares) and shares[0] > 0.3 and shares[-1] == 1.0
+    assert shares == sorted(shares) and shares[-1] == 1.0
+    # Cells picked at random would find the share of passages they hold.
+    assert all(r["recall"] > r["probes"] / 16 for r in rows[:-1])
 
 
 def test_entry(spark):
