@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as registry
@@ -21,7 +22,7 @@ def duck(small):
 
 
 def plain(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)):
+    if value is None or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
         return ""
     if isinstance(value, bool) or type(value).__name__ == "bool_":
         return str(bool(value))
