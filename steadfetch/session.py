@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
@@ -33,15 +34,12 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of `spark.checkpoint.dir`.
 
-    A local session without the setting gets a temporary folder. A cluster must
-    name one: a folder on one machine is lost with that machine.
+    A local session without the setting gets a temporary folder. A cluster must name a
+    folder that all its machines see: one on a single machine is lost with that machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="steadfetch-")
@@ -49,19 +47,35 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def settle(df):
-    """Write `df` once to the checkpoint folder and read it back from there.
+def settle(df: DataFrame) -> DataFrame:
+    """Writes `df` once as Parquet below the checkpoint folder and reads it back from there.
 
-    Used where two passes must see the same rows (model output, range
-    partition numbers) or where recomputing a stage would be dear.
+    Used where two passes must see the same rows (model output, range partition numbers)
+    or where recomputing a stage would be dear. The table read back has a size that
+    Spark can plan with, prunes columns, and survives the loss of any executor.
     """
     spark = df.sparkSession
-    folder = checkpoint_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "settled")
+    names = [f"c{i}" for i in range(len(df.columns))]
+    shape = df.schema
+    plain = df.toDF(*names)
+    plain = plain.withColumns({
+        n: F.col(n).cast("string") for n, f in zip(names, shape.fields) if f.dataType.typeName() == "void"
+    })
+    plain.write.parquet(path)
+    return spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}/{name}"
+    return f"{_scratch_root(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all that this application settled; call it when no result is needed any more."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
