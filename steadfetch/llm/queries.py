@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, urlrules
+from . import lengths, mixing, packing, quality, sharding, urlrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer file of the packing contract, where it is installed on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 # Words as the contracts define them, and a 32-bit portable hash, in DuckDB's SQL.
 SQL_WORDS = "regexp_extract_all(coalesce({0}, ''), '[^\\x20\\x09-\\x0D]+')"
 SQL_HASH = "('0x' || substr(md5(concat_ws('|', {0})), 1, 8))::BIGINT"
@@ -45,6 +52,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_shortest_pack_first")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and where they lie in sequences of 4096."""
+    pieces = packing.tokenise(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
 OP7_SQL = f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, {SQL_WORDS.format('text')} AS w FROM documents),
 triples AS (
@@ -83,6 +97,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_length_histogram")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every context limit would mean for all documents."""
+    return lengths.suffix_sums(lengths.encoded_lengths(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 # The rules of the contract: host, path, verdict.
 URL_RULES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
