@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import lengths, mixing, packing, quality, sharding, urlrules
+from . import chat, lengths, mixing, neardup, packing, pii, quality, sharding, topk, urlrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +52,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_dual_tree_top_k")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors by integer inner product of every fiftieth vector, against all."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op3_shortest_pack_first")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents and where they lie in sequences of 4096."""
@@ -59,6 +65,50 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+@query("op4_probminhash_classes")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the class of near copies it belongs to."""
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+OP5_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+views AS (
+  SELECT t.*, participant, CASE WHEN speaker = participant THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role,
+    CASE WHEN speaker <> participant AND speaker <> 'system' THEN speaker END AS name
+  FROM t JOIN (SELECT DISTINCT conv_id AS c, speaker AS participant FROM t WHERE speaker <> 'system') p
+    ON t.conv_id IS NOT DISTINCT FROM p.c),
+s AS (
+  SELECT *, '{chat.OPEN}' || role || coalesce(' name=' || name, '') || chr(10) || text || '{chat.CLOSE.strip()}' || chr(10) AS segment FROM views),
+o AS (
+  SELECT *, coalesce(sum(length(segment)) OVER (
+    PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start
+  FROM s)
+SELECT conv_id, participant, turn, role, name, segment, char_start,
+  (char_start + length(segment) - length(text) - {len(chat.CLOSE)})::BIGINT AS mask_start,
+  CASE WHEN speaker = participant THEN length(text) + {len(chat.CLOSE)} ELSE 0 END::BIGINT AS mask_length
+FROM o
+"""
+
+
+@query("op5_perspectives", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations from the perspective of each participant."""
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
+@query("op6_bootstrapped_pii")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(kind).__eq__)).cast("bigint").alias(f"n_{kind}") for kind in pii.KINDS[:4]]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.span_list(F.col("base_spans")), 256).alias("base_sha256"),
+        pii.span_list(F.col("spans")).alias("spans"),
+    )
+
+
 OP7_SQL = f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, {SQL_WORDS.format('text')} AS w FROM documents),
 triples AS (
