@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordinal import dense_ordinal
+from ..session import settle
 from .frames import pack, unpack
 from .tokens import encoder
 
@@ -32,12 +33,14 @@ def tokenise(
     schema = f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, ids binary"
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).ids
+        encode, prepare = encoder(path).ids, encoder(path).prepare
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             held = 0
             for at, doc in enumerate(batch.column(1)):
+                if at % 64 == 0:
+                    prepare([t or "" for t in batch.column(1)[at : at + 64].to_pylist()])
                 ids = encode(doc.as_py() or "") + end
                 tokens = len(ids) // 4
                 for start in range(0, tokens, length):
@@ -124,6 +127,8 @@ def place(pieces: DataFrame, length: int = LENGTH, by: tuple[str, ...] = ("doc_i
     replaced. No pieces, no rows.
     """
     spark = pieces.sparkSession
+    # Ranges are drawn from a sample first: without this the pieces would be made twice.
+    pieces = settle(pieces)
     packed = pack(pieces, _length="length", **{f"_by{k}": c for k, c in enumerate(by)})
     packed = packed.withColumn("_any", F.monotonically_increasing_id())
     order = ["_length", *[f"_by{k}" for k in range(len(by))], "_any"]

@@ -8,6 +8,7 @@ before are encoded.
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ from functools import cache
 _PLAIN = re.compile("[A-Za-z0-9À-ÖØ-öø-ÿ!-/:-@\\[-`{-~]+")
 _MARKS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 # Cached chunks and words; beyond that the caches start anew.
-MOST_CACHED = 1 << 19
+MOST_CACHED = 3 << 18
 # Long texts are encoded in parts of about so many bytes, cut at white space.
 PART = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -28,6 +29,8 @@ class Encoder:
     """Ids of texts as bytes, four per id, little endian."""
 
     def __init__(self, path: str):
+        # Spark has a worker per core already.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -62,15 +65,22 @@ class Encoder:
         out = []
         for part in _parts(text.encode()):
             chunks = part.split()
-            new = set(chunks).difference(self._chunks)
-            if new:
+            try:
+                out.append(b"".join(map(self._chunks.__getitem__, chunks)))
+            except KeyError:
+                new = set(chunks).difference(self._chunks)
                 self._learn(new)
-                known = self._chunks
-                if any(c not in known for c in chunks):  # the cache was emptied for the new ones
-                    self._learn(set(chunks).difference(known))
-            out.append(b"".join(map(self._chunks.__getitem__, chunks)))
+                if any(c not in self._chunks for c in chunks):  # the cache was emptied for the new ones
+                    self._learn(set(chunks).difference(self._chunks))
+                out.append(b"".join(map(self._chunks.__getitem__, chunks)))
         return b"".join(out)
 
+    def prepare(self, texts: list[str]) -> None:
+        """Learns the new chunks of several texts at once."""
+        new = {c for text in texts if len(text) < PART for c in text.encode().split() if c not in self._chunks}
+        if new:
+            self._learn(new)
+
 
 def _parts(data: bytes) -> Iterator[bytes]:
     at = 0
