@@ -142,6 +142,6 @@ def materialise(mixed: DataFrame) -> DataFrame:
     Shards are dealt over tasks by shard and a range of the local order, so a shard of any size is
     shuffled in parts: rows of a task are in the order in which the shard is to be read.
     """
-    rows = mixed.withColumn("_d", F.explode("draws")).drop("draws")
+    rows = mixed.withColumn("_d", F.explode("draws")).drop("draws", "copy", "shard", "local_order", "words")
     rows = rows.select("*", "_d.copy", "_d.shard", "_d.local_order", "_d.words").drop("_d")
     return rows.repartitionByRange("shard", "local_order").sortWithinPartitions("shard", "local_order")
