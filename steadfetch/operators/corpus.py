@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -98,17 +99,14 @@ def encode_with(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndar
 
     The batch size is `spark.sql.execution.arrow.maxRecordsPerBatch`.
     """
-    schema = T.StructType(
-        df.schema.fields + [T.StructField("embedding", T.ArrayType(T.FloatType()))]
-    )
-
-    def run(batches):
-        for pdf in batches:
-            matrix = np.asarray(encoder(pdf[text].tolist()), dtype=np.float32)
-            lengths = np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-            yield pdf.assign(embedding=list(matrix / lengths))
-
-    return df.mapInPandas(run, schema)
+    def encode(texts: pd.Series) -> pd.Series:
+        matrix = np.asarray(encoder(texts.tolist()), dtype=np.float32)
+        lengths = np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+        return pd.Series(list(matrix / lengths))
+
+    # Only the text goes to Python; the other columns stay as they are.
+    udf = F.pandas_udf(encode, T.ArrayType(T.FloatType()), F.PandasUDFType.SCALAR).asNondeterministic()
+    return df.withColumn("embedding", udf(F.col(text)))
 
 
 def pool_tokens(df: DataFrame, tokens: str, mask: str, floor: float | None = 1e-9) -> DataFrame:

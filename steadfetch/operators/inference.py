@@ -2,28 +2,43 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BatchFn = Callable[[pd.DataFrame], pd.Series]
 
 
 def apply_batches(
-    df: DataFrame, fn: BatchFn, name: str, dtype: T.DataType | None = None, concurrency: int | None = None
+    df: DataFrame, fn: BatchFn, name: str, dtype: T.DataType | None = None, concurrency: int | None = None,
+    inputs: list[str] | None = None, attempts: int = 3, pause: float = 1.0,
 ) -> DataFrame:
     """Adds column `name` = fn(batch), one call per Arrow batch.
 
-    `concurrency` sets how many tasks call the model at a time. Filter before this
-    step: no filter passes through it.
+    Only the `inputs` (all columns if not given) go to Python and only the answer comes back, so
+    no other value can change on the way. A call that raises is repeated `attempts` times with
+    growing pauses, then row by row; a row that still fails has null, which callers can count.
+    `concurrency` sets how many tasks call the model at a time. No filter passes through this step.
     """
-    schema = T.StructType(df.schema.fields + [T.StructField(name, dtype or T.StringType())])
-    source = df.repartition(concurrency) if concurrency else df
-
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(**{name: list(fn(pdf))})
+    def ask(batch: pd.DataFrame) -> pd.Series:
+        return pd.Series(_answers(fn, batch, attempts, pause), dtype=object)
 
-    return source.mapInPandas(run, schema)
+    udf = F.pandas_udf(ask, dtype or T.StringType(), F.PandasUDFType.SCALAR).asNondeterministic()
+    source = df.repartition(concurrency) if concurrency else df
+    return source.withColumn(name, udf(F.struct(*[F.col(c) for c in inputs or df.columns])))
+
+
+def _answers(fn: BatchFn, batch: pd.DataFrame, attempts: int, pause: float) -> list:
+    for n in range(attempts):
+        try:
+            return list(fn(batch))
+        except Exception:
+            if n + 1 < attempts:
+                time.sleep(pause * 2**n)
+    if len(batch) <= 1:
+        return [None] * len(batch)
+    return [a for k in range(len(batch)) for a in _answers(fn, batch.iloc[k : k + 1], attempts, pause)]

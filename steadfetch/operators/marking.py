@@ -71,7 +71,7 @@ def mark(pairs: DataFrame, teacher: BatchFn | None = None, judge: BatchFn | None
         asked = pairs.withColumn(
             "prompt", prompts.messages(prompts.TEACHER_SYSTEM, teacher_user(F.col("text"), F.col("perturbed_query")))
         )
-        raw = apply_batches(asked, teacher, "_raw").withColumn("pred", text.strip(F.col("_raw")))
+        raw = apply_batches(asked, teacher, "_raw", inputs=["prompt", "perturbed_query", "text", "golds"]).withColumn("pred", text.strip(F.coalesce("_raw", F.lit(""))))
         answered = settle(raw.drop("prompt", "_raw"))
     matched = answered.withColumn("_em", text.exact_match_any(F.col("pred"), F.col("golds")))
     if judge is None:
@@ -85,7 +85,7 @@ def mark(pairs: DataFrame, teacher: BatchFn | None = None, judge: BatchFn | None
                 prompts.JUDGE_SYSTEM, judge_user(F.col("perturbed_query"), F.col("golds"), F.col("pred"))
             ),
         )
-        said = apply_batches(asked, judge, "_raw").withColumn("judge_raw", F.lower(text.strip(F.col("_raw"))))
+        said = apply_batches(asked, judge, "_raw", inputs=["prompt", "perturbed_query", "golds", "pred"]).withColumn("judge_raw", F.lower(text.strip(F.coalesce("_raw", F.lit("")))))
         judged = sure.unionByName(settle(said.drop("prompt", "_raw")))
     return judged.withColumn("correct", F.startswith(F.col("judge_raw"), F.lit("yes"))).drop("_em")
 

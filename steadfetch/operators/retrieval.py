@@ -234,14 +234,19 @@ def with_text(hits: DataFrame, passages: DataFrame) -> DataFrame:
     return hits.join(passages.select("passage_idx", "text"), "passage_idx")
 
 
-def nest_hits(hits: DataFrame, keys: list[str] | None = None, depth: int = 100) -> DataFrame:
-    """One record per query with its candidates in rank order, at most `depth` of them."""
+def nest_hits(hits: DataFrame, keys: list[str] | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """One record per query with all its candidates in rank order; `top_k` sets how many there are.
+
+    With `queries`, which has the keys, every query gets a record, an empty list if nothing was found.
+    """
+    keys = keys or ["query_idx", "pert_idx"]
     entry = F.struct("rank", "passage_idx", "text", "score")
-    return (
-        hits.where(F.col("rank") < depth)
-        .groupBy(*(keys or ["query_idx", "pert_idx"]))
-        .agg(F.array_sort(F.collect_list(entry)).alias("candidates"))
-    )
+    nested = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("candidates"))
+    if queries is None:
+        return nested
+    whole = queries.select(*keys).distinct().join(nested, keys, "left")
+    none = F.array().cast(nested.schema["candidates"].dataType)
+    return whole.withColumn("candidates", F.coalesce("candidates", none))
 
 
 def pert_ordinals(flat: DataFrame, hot: list | None = None) -> DataFrame:

@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key above this share of the rows is split. At most 1/share keys can be above
-# it, which bounds the list of hot keys.
+# A key is split above this share of the rows, and in any case above what one task should hold. The
+# rows divided by the lower of the two bound the list of hot keys.
 HOT_SHARE = 0.005
+TASK_ROWS = 1_000_000
 # Tables of at most this many rows are broadcast after their rows were counted.
 SMALL_ROWS = 10_000
 
 
-def hot_values(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
-    """The values of `key` that hold at least `share` of the rows: at most 1/share of them.
+def hot_values(df: DataFrame, key: str, share: float = HOT_SHARE, task_rows: int = TASK_ROWS) -> list:
+    """The values of `key` that hold at least `share` of the rows, or `task_rows` rows.
 
-    Counts combine per task; only the largest counts come to the driver.
+    Counts combine per task; only those of hot keys come to the driver.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    top = counts.orderBy(F.desc("_n")).limit(int(1 / share)).collect()
-    floor = share * df.count()
-    return [row[0] for row in top if row[0] is not None and row["_n"] >= floor]
+    floor = min(share * df.count(), task_rows)
+    return [row[0] for row in counts.where((F.col("_n") >= floor) & F.col(key).isNotNull()).collect()]
 
 
 def split_hot_join(

@@ -185,14 +185,14 @@ CANDS = """cands AS (
 ),
 cut AS (
   SELECT *, row_number() OVER (PARTITION BY dataset, method, query_id ORDER BY score DESC, l_partkey, l_suppkey, l_linenumber) - 1 AS rank
-  FROM cands QUALIFY rank < 4
+  FROM cands QUALIFY rank < 100
 ),
 reranked AS (
   SELECT *, row_number() OVER (PARTITION BY dataset, method, query_id ORDER BY rerank_score DESC NULLS LAST, rank) - 1 AS new_rank FROM cut
 )"""
 
 
-def cut_candidates(spark: SparkSession, folder: str) -> DataFrame:
+def candidates(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("l_orderkey")
     rows = spread(given(spark, folder, "lineitem")).select(
         F.concat(F.lit("set"), (key % 3).cast("string")).alias("dataset"), F.col("l_linestatus").alias("method"),
@@ -201,17 +201,17 @@ def cut_candidates(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("part "), F.col("l_partkey").cast("string"), F.lit(" from "), F.col("l_suppkey").cast("string")).alias("text"),
     )
     order = [F.desc("score"), F.asc("l_partkey"), F.asc("l_suppkey"), F.asc("l_linenumber")]
-    return ev.depth_cut(ev.retrieval_ranks(rows, order, depth=100), 4)
+    return ev.retrieval_ranks(rows, order, depth=100)
 
 
 def reranked(spark: SparkSession, folder: str) -> DataFrame:
-    return ev.rerank(cut_candidates(spark, folder))
+    return ev.rerank(candidates(spark, folder))
 
 
 @query("i3_depth_cut", with_ctes(
-    "SELECT dataset, method, query_id, rank, l_partkey, l_suppkey FROM cut", CANDS))
+    "SELECT dataset, method, query_id, rank, l_partkey, l_suppkey FROM cut WHERE rank < 4", CANDS))
 def depth_cut(spark: SparkSession, folder: str) -> DataFrame:
-    return cut_candidates(spark, folder).select(
+    return ev.depth_cut(candidates(spark, folder), 4).select(
         "dataset", "method", "query_id", F.col("rank").cast("bigint").alias("rank"), "l_partkey", "l_suppkey"
     )
 

@@ -154,13 +154,22 @@ def passage_texts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+ALL_TEXTS = "all_texts AS (SELECT doc_id AS passage_idx, text FROM documents)"
+
+
 @query("f6_nested_candidates", with_ctes(
-    "SELECT query_idx, pert_idx::BIGINT AS pert_idx, string_agg(rank || ':' || passage_idx, ',' ORDER BY rank) AS candidates "
-    "FROM perturbed_top JOIN texts USING (passage_idx) GROUP BY ALL", *PERTURBED_TOP, TEXTS))
+    "SELECT query_idx, pert_idx::BIGINT AS pert_idx, coalesce(candidates, '') AS candidates "
+    "FROM (SELECT DISTINCT query_idx, pert_idx FROM perturbed) LEFT JOIN ("
+    "SELECT query_idx, pert_idx, string_agg(rank || ':' || passage_idx, ',' ORDER BY rank) AS candidates "
+    "FROM perturbed_top JOIN all_texts USING (passage_idx) GROUP BY ALL) USING (query_idx, pert_idx)",
+    *PERTURBED_TOP, ALL_TEXTS))
 def nested_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    hits = retrieval.with_text(hit_columns(perturbed_hits(spark, folder)), texts(spark, folder))
+    """A record for every query, also for those whose hits have no text."""
+    all_texts = given(spark, folder, "documents").select(F.col("doc_id").alias("passage_idx"), "text")
+    hits = retrieval.with_text(hit_columns(perturbed_hits(spark, folder)), all_texts)
     shown = F.transform("candidates", lambda c: F.concat_ws(":", c["rank"].cast("string"), c["passage_idx"].cast("string")))
-    return retrieval.nest_hits(hits).select("query_idx", "pert_idx", F.array_join(shown, ",").alias("candidates"))
+    records = retrieval.nest_hits(hits, queries=perturbed_vectors(spark, folder))
+    return records.select("query_idx", "pert_idx", F.array_join(shown, ",").alias("candidates"))
 
 
 @query("f7_two_query_texts", with_ctes(

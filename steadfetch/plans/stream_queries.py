@@ -14,13 +14,10 @@ from .evaluation_queries import MARKS, VERDICT_SQL, marking_pairs
 from .pool_queries import SCORED, pairs
 from .question_queries import ASSEMBLED, assembled
 
-FILES = 8
-
-
 def as_stream(spark: SparkSession, rows: DataFrame, name: str, per_trigger: int = 2) -> DataFrame:
     """The rows as a stream of files, a few per trigger, in no useful order."""
     path = scratch_path(spark, name)
-    rows.repartition(FILES).write.parquet(path)
+    rows.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
@@ -80,13 +77,7 @@ def running_robustness(spark: SparkSession, folder: str) -> DataFrame:
     *SCORED))
 def progress(spark: SparkSession, folder: str) -> DataFrame:
     """The counters of all batches of a run, summed up."""
-    watched = stream_marking.observed(verdict_stream(spark, folder))
-    run = watched.writeStream.format("parquet").option("path", scratch_path(spark, "watched")).option(
-        "checkpointLocation", scratch_path(spark, "watched_checkpoint")
-    ).trigger(availableNow=True).start()
+    out = scratch_path(spark, "counted")
+    run = stream_marking.start_counting(verdict_stream(spark, folder), out, scratch_path(spark, "counted_checkpoint"))
     run.awaitTermination()
-    rows = stream_marking.progress_rows(run)
-    schema = "batch bigint, n_done bigint, n_correct bigint, n_judge_skipped bigint"
-    return spark.createDataFrame(rows, schema).agg(
-        *[F.sum(c).alias(c) for c in ("n_done", "n_correct", "n_judge_skipped")]
-    )
+    return stream_marking.counted(spark, out)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -45,8 +45,32 @@ def observed(verdicts: DataFrame, name: str = "progress") -> DataFrame:
     )
 
 
+def start_counting(verdicts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Writes each batch's counters to a folder of its own, so that runs of any length add up.
+
+    A batch that runs again after a failure overwrites its own counters.
+    """
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.agg(
+            F.count(F.lit(1)).alias("n_done"), F.count_if(F.col("correct")).alias("n_correct"),
+            F.count_if(F.col("judge_raw") == "yes (em)").alias("n_judge_skipped"),
+        ).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return (
+        verdicts.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
+def counted(spark: SparkSession, out: str) -> DataFrame:
+    """The sums of all batches so far; one row."""
+    names = ("n_done", "n_correct", "n_judge_skipped")
+    return spark.read.parquet(out).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+
+
 def progress_rows(query: StreamingQuery, name: str = "progress") -> list[tuple[int, int, int, int]]:
-    """(batch, done, correct, judge calls saved) of the batches the query still remembers."""
+    """(batch, done, correct, judge calls saved) of the last batches, which the
+    query still remembers: for watching a run. `start_counting` keeps all of them."""
     rows = []
     for event in query.recentProgress:
         seen = event.observedMetrics.get(name)
