@@ -235,7 +235,8 @@ def test_quality(docs, none, spark):
         assert r["kept"] == (not r["base_failed"]) and r["clean_text"] == r["text"]
     assert rows(quality.judge(none)) == []
     # A line in many unrelated documents goes; a document of little else is rejected; copies are not.
-    body = lambda k: " ".join(f"own{k}x{n}" for n in range(60))
+    # Digits count as alike in lines, so unrelated bodies differ in letters.
+    body = lambda k: " ".join(f"own{chr(97 + k % 26)}{chr(97 + k // 26)} w{n}" for n in range(30))
     many = [(k, f"Buy now 1\n{body(k)}", "h") for k in range(30)] + [(100, "Buy now 2\n" * 40 + "tail", "h")]
     many += [(200 + k, body(999) + "\nlast words", "h") for k in range(50)]
     judged = {r["doc_id"]: r for r in rows(quality.judge(spark.createDataFrame(many, "doc_id bigint, text string, source string")))}
