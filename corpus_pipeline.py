@@ -12,15 +12,19 @@ from steadfetch.session import settle
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _with_text(judged: DataFrame, text) -> DataFrame:
+def _with_text(judged: DataFrame, text, *more: str) -> DataFrame:
     """The columns of documents with another text; n_chars follows it."""
     out = judged.withColumn("text", text)
-    return out.select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
+    return out.select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"), *more)
 
 
 def apply_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without their source's frequent lines."""
-    return _with_text(quality.judge(docs).where("kept"), F.col("clean_text"))
+    """Documents that the rules keep, without their source's frequent lines.
+
+    Verdicts are written first: a filter on them would be moved below the array columns they are
+    made of, and those would be built anew for every element.
+    """
+    return settle(_with_text(quality.judge(docs), F.col("clean_text"), "kept")).where("kept").drop("kept")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
