@@ -8,22 +8,24 @@ from pyspark.sql import functions as F
 from ..session import settle
 from .frames import pack, unpack
 
-# What separates words, and which characters count as symbols.
-SPACES = "\t\n\x0b\x0c\r "
-SYMBOLS = "#*$%&|<>"
+# What separates words, what a word is made of, and which characters count as symbols.
+SPACES = r"[\x20\x09-\x0D]+"
+IN_WORD = r"[^\x20\x09-\x0D]"
+SYMBOL = r"[#*$%&|<>]"
 # A host's lines are gathered in so many parts, so that no task holds those of a large host.
 PARTS = 512
 
 
 def words(text: Column) -> Column:
     """The text's words in order: runs of characters other than space and \\t to \\r."""
-    parts = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")
+    parts = F.split(F.coalesce(text, F.lit("")), SPACES)
     # Only a separator at either end leaves an empty part.
     return F.array_remove(parts, "")
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+def lines(text: Column) -> Column:
+    """The lines with a word, in order."""
+    return F.filter(F.split(text, "\n"), lambda line: line.rlike(IN_WORD))
 
 
 def _with_repeats(df: DataFrame) -> DataFrame:
@@ -34,7 +36,7 @@ def _with_repeats(df: DataFrame) -> DataFrame:
     that the functions over it do not build it anew for every element.
     """
     repeats = F.size(F.array_distinct("_triples")) < F.size("_triples")
-    pairs = F.array_sort(F.transform("_triples", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    pairs = F.sort_array(F.transform("_triples", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     same = lambda x, i: F.coalesce(x["h"] == F.get("_pairs", i)["h"], F.lit(False))
     twice = F.filter("_pairs", lambda x, i: same(x, i - 1) | same(x, i + 1))
     reach = F.transform("_places", lambda p, i: F.least(F.coalesce(F.get("_places", i + 1) - p, F.lit(3)), F.lit(3)))
@@ -42,7 +44,7 @@ def _with_repeats(df: DataFrame) -> DataFrame:
     return (
         # Few texts repeat a window; only those are sorted.
         df.withColumn("_pairs", F.when(repeats, pairs))
-        .withColumn("_places", F.array_sort(F.transform(twice, lambda x: x["i"])))
+        .withColumn("_places", F.sort_array(F.transform(twice, lambda x: x["i"])))
         .withColumn("n_repeat_words", F.coalesce(added, F.lit(0)).cast("bigint"))
         .drop("_pairs", "_places")
     )
@@ -54,16 +56,15 @@ def text_counts(df: DataFrame, text: str) -> DataFrame:
     out = df.withColumn("_words", words(F.col(text)))
     n = F.size("_words")
     triples = F.transform(
-        F.sequence(F.lit(1), n - 2),
-        lambda i: F.xxhash64(F.get("_words", i - 1), F.get("_words", i), F.get("_words", i + 1)),
+        F.sequence(F.lit(0), n - 3),
+        lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)),
     )
     out = out.withColumn("_triples", F.when(n >= 3, triples).otherwise(F.array().cast("array<bigint>")))
-    lines = F.filter(F.split(whole, "\n"), lambda line: F.length(_without(line, SPACES)) > 0)
-    out = out.withColumn("_lines", lines)
+    out = out.withColumn("_lines", lines(whole))
     out = out.withColumns({
         "n_words": n.cast("bigint"),
-        "word_chars": F.length(_without(whole, SPACES)).cast("bigint"),
-        "n_symbols": (F.length(whole) - F.length(_without(whole, SYMBOLS))).cast("bigint"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("bigint"),
+        "n_symbols": F.regexp_count(whole, F.lit(SYMBOL)).cast("bigint"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
     })
     return _with_repeats(out).drop("_words", "_triples", "_lines")
@@ -71,13 +72,14 @@ def text_counts(df: DataFrame, text: str) -> DataFrame:
 
 def line_key(line: Column) -> Column:
     """Hash of a line in lower case with single blanks and digits made alike."""
-    return F.xxhash64(F.regexp_replace(F.translate(F.lower(F.trim(line)), "123456789", "000000000"), r"[\x20\x09-\x0D]+", " "))
+    zeros = F.regexp_replace(F.lower(F.trim(line)), "[1-9]", "0")
+    # Single blanks, most of all, are what they are to become.
+    return F.xxhash64(F.regexp_replace(zeros, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
 
 
 def _line_keys(text: Column) -> Column:
     """The keys of the lines with a word, in order."""
-    lines = F.filter(F.split(text, "\n"), lambda line: F.length(_without(line, SPACES)) > 0)
-    return F.transform(lines, line_key)
+    return F.transform(lines(text), line_key)
 
 
 def frequent_lines(df: DataFrame, host: str, text: str, least_docs: int, most_share: float) -> DataFrame:
@@ -91,8 +93,8 @@ def frequent_lines(df: DataFrame, host: str, text: str, least_docs: int, most_sh
     array per host holds them.
     """
     docs = df.select(F.col(host).alias("host"), F.sort_array(F.array_distinct(_line_keys(F.col(text)))).alias("lines"))
-    docs = docs.where(F.size("lines") > 0)
-    found = docs.select("host", "lines", F.posexplode("lines").alias("place", "line"))
+    # Spark would test for empty arrays below, and build every array once more for that.
+    found = docs.select("host", "lines", F.posexplode_outer("lines").alias("place", "line")).where("line IS NOT NULL")
     others = F.when(F.col("place") == 0, F.coalesce(F.get("lines", F.lit(1)), "line")).otherwise(F.get("lines", F.lit(0)))
     found = found.select("host", "line", others.alias("doc"), (F.col("place") == 0).alias("first")).distinct()
     # A document's smallest key is one of its lines: there a distinct document is counted.
@@ -106,8 +108,8 @@ def frequent_lines(df: DataFrame, host: str, text: str, least_docs: int, most_sh
     )
     per_host = parts.groupBy("host").agg(F.sum("docs").alias("docs"))
     limit = F.greatest(F.lit(float(least_docs)), F.lit(most_share) * F.col("docs"))
-    lines = parts.select("host", F.explode("many").alias("m")).select("host", "m.line", "m.n")
-    above = lines.join(per_host, "host").where(F.col("n") > limit)
+    often = parts.select("host", F.explode("many").alias("m")).select("host", "m.line", "m.n")
+    above = often.join(per_host, "host").where(F.col("n") > limit)
     return above.groupBy("host").agg(F.collect_set("line").alias("frequent"))
 
 
@@ -132,12 +134,15 @@ def judge(
     rows = packed.join(frequent.withColumnRenamed("host", "_at"), "_at", "left")
     rows = text_counts(rows, "_text")
     gone = lambda line: F.coalesce(F.array_contains("frequent", line_key(line)), F.lit(False))
-    lines = F.split("_text", "\n")
     clean = F.when(F.col("frequent").isNull(), F.col("_text")).otherwise(
-        F.array_join(F.filter(lines, lambda line: ~gone(line)), "\n")
+        F.array_join(F.filter(F.split("_text", "\n"), lambda line: ~gone(line)), "\n")
     )
+    # Only the lines that go are cut into words again.
+    lost = F.aggregate(
+        F.filter(lines(F.coalesce("_text", F.lit(""))), gone), F.lit(0), lambda total, line: total + F.size(words(line))
+    )
+    left = F.col("n_words") - F.when(F.col("frequent").isNull(), 0).otherwise(lost)
     rows = rows.withColumn("clean_text", clean)
-    left = F.when(F.col("frequent").isNull(), F.col("n_words")).otherwise(F.size(words(F.col("clean_text"))))
     rows = rows.withColumns({
         "n_left": left.cast("bigint"),
         "base_failed": (F.col("n_words") < min_words) | (F.col("n_repeat_words") > most_repeated * F.col("n_words")),

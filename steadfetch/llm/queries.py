@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
 from . import chat, lengths, mixing, neardup, packing, pii, quality, sharding, topk, urlrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,7 +196,8 @@ def source_weights(docs: DataFrame) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all words takes of every document."""
     docs = table(spark, sf_dir, "documents")
-    sized = docs.select("doc_id", "source", F.size(quality.words(F.col("text"))).cast("bigint").alias("size"))
-    mixed = mixing.mix(sized, source_weights(docs))
+    # The mix passes over its rows several times; the words are counted once.
+    sized = settle(docs.select("doc_id", "source", F.size(quality.words(F.col("text"))).cast("bigint").alias("size")))
+    mixed = mixing.mix(sized, source_weights(sized))
     taken = F.aggregate("draws", F.lit(0).cast("bigint"), lambda total, d: total + d["words"])
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
