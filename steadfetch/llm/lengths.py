@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
 from .frames import pack
-from .tokens import encoder
+from .tokens import encoder, slices
 
 # Lengths are summed in bands of this width, and the bands among themselves.
 BAND = 4096
@@ -19,19 +20,15 @@ BAND = 4096
 def encoded_lengths(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """The histogram: one row per encoded length with the number of documents, `length` and `docs`.
 
-    A null or empty text has length 0. Lengths are counted per batch before they are shuffled, so a
-    length that many documents share is one row per batch.
+    A null or empty text has length 0. Lengths are counted per slice of texts before they are shuffled, so
+    a length that many documents share is one row per slice.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).ids
         for batch in batches:
-            found: dict[int, int] = {}
-            for doc in batch.column(0):
-                n = len(encode(doc.as_py() or "")) // 4
-                found[n] = found.get(n, 0) + 1
-            yield pa.RecordBatch.from_pydict(
-                {"length": pa.array(found.keys(), pa.int64()), "docs": pa.array(found.values(), pa.int64())}
-            )
+            for begin, end in slices(batch.column(0)):
+                _, bounds = encoder(path).batch(batch.column(0).slice(begin, end - begin))
+                length, docs = np.unique(np.diff(bounds), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(docs)], names=["length", "docs"])
 
     counted = pack(docs, text=text).select("text").mapInArrow(count, "length bigint, docs bigint")
     return counted.groupBy("length").agg(F.sum("docs").alias("docs"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.ordinal import dense_ordinal
 from ..session import settle
 from .frames import pack, unpack
-from .tokens import encoder
+from .tokens import encoder, slices
 
 LENGTH = 4096
 END_ID = 2
@@ -33,35 +34,29 @@ def tokenise(
     schema = f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, ids binary"
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, prepare = encoder(path).ids, encoder(path).prepare
-        end = end_id.to_bytes(4, "little")
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            held = 0
-            for at, doc in enumerate(batch.column(1)):
-                if at % 64 == 0:
-                    prepare([t or "" for t in batch.column(1)[at : at + 64].to_pylist()])
-                ids = encode(doc.as_py() or "") + end
-                tokens = len(ids) // 4
-                for start in range(0, tokens, length):
-                    piece = ids[4 * start : 4 * (start + length)]
-                    for values, value in zip(rows, (at, start, len(piece) // 4, tokens, piece)):
-                        values.append(value)
-                held += len(ids)
-                if held > 1 << 24:
-                    yield _batch(batch, rows)
-                    rows, held = [[], [], [], [], []], 0
-            if rows[0]:
-                yield _batch(batch, rows)
+            for begin, end in slices(batch.column(1)):
+                part = batch.slice(begin, end - begin)
+                ids, bounds = encoder(path).batch(part.column(1))
+                yield _cut(part.column(0), ids, bounds, length, end_id)
 
     return packed.mapInArrow(pieces, schema)
 
 
-def _batch(batch: pa.RecordBatch, rows: list[list]) -> pa.RecordBatch:
-    ids = batch.column(0).take(pa.array(rows[0], pa.int64()))
-    numbers = [pa.array(values, pa.int64()) for values in rows[1:4]]
+def _cut(docs: pa.Array, ids: np.ndarray, bounds: np.ndarray, length: int, end_id: int) -> pa.RecordBatch:
+    """The pieces of documents whose ids lie one after the other; each gets the end id first."""
+    whole = np.insert(ids.astype("<u4"), bounds[1:], end_id)
+    tokens = np.diff(bounds) + 1
+    pieces = -(-tokens // length)
+    doc = np.repeat(np.arange(len(tokens)), pieces)
+    start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * length
+    held = np.minimum(length, tokens[doc] - start)
+    # The pieces lie one after the other as well.
+    ends = np.concatenate([[0], np.cumsum(held) * 4]).astype(np.int64)
+    data = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(ends), pa.py_buffer(whole)]).cast(pa.binary())
     return pa.RecordBatch.from_arrays(
-        [ids, *numbers, pa.array(rows[4], pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "ids"]
+        [docs.take(pa.array(doc)), pa.array(start), pa.array(held), pa.array(tokens[doc]), data],
+        names=["doc_id", "start", "length", "doc_tokens", "ids"],
     )
 
 

@@ -55,11 +55,10 @@ def text_counts(df: DataFrame, text: str) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     out = df.withColumn("_words", words(F.col(text)))
     n = F.size("_words")
-    triples = F.transform(
-        F.sequence(F.lit(0), n - 3),
-        lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)),
-    )
-    out = out.withColumn("_triples", F.when(n >= 3, triples).otherwise(F.array().cast("array<bigint>")))
+    out = out.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+    # The last two windows are not whole.
+    triples = F.transform("_hashes", lambda h, i: F.xxhash64(h, F.get("_hashes", i + 1), F.get("_hashes", i + 2)))
+    out = out.withColumn("_triples", F.slice(triples, 1, F.greatest(n - 2, F.lit(0))))
     out = out.withColumn("_lines", lines(whole))
     out = out.withColumns({
         "n_words": n.cast("bigint"),
@@ -67,7 +66,7 @@ def text_counts(df: DataFrame, text: str) -> DataFrame:
         "n_symbols": F.regexp_count(whole, F.lit(SYMBOL)).cast("bigint"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
     })
-    return _with_repeats(out).drop("_words", "_triples", "_lines")
+    return _with_repeats(out).drop("_words", "_hashes", "_triples", "_lines")
 
 
 def line_key(line: Column) -> Column:

@@ -1,9 +1,9 @@
-"""Token ids of whole texts, with a bounded cache of the chunks between white space.
+"""Token ids of whole texts, many texts at once.
 
 The tokenizers of this kind split at white space, so a text's ids are those of its chunks one after
-the other. Words repeat, so most chunks are looked up; new ones made of plain letters, digits and
-punctuation are cut into words and marks by the tokenizer's own pattern, and only words not seen
-before are encoded.
+the other, and a slice of texts needs each different chunk once. Chunks of plain letters, digits and
+punctuation are cut into words and marks by the tokenizer's own pattern; words seen before come from
+a bounded cache, new ones are encoded together. Arrow and numpy put the ids back in the texts' order.
 """
 
 from __future__ import annotations
@@ -14,19 +14,48 @@ from array import array
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 # The split pattern of the tokenizer (a fixed value), narrowed to letters with one code point in
-# Latin-1, ASCII digits and ASCII punctuation; other chunks go to the tokenizer whole.
+# Latin-1, ASCII digits and ASCII punctuation, and to lines; other chunks go to the tokenizer whole.
 _PLAIN = re.compile("[A-Za-z0-9À-ÖØ-öø-ÿ!-/:-@\\[-`{-~]+")
-_MARKS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-# Cached chunks and words; beyond that the caches start anew.
+_MARKS = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-z0-9ß-öø-ÿ]+")
+# Cached words; beyond that the cache starts anew.
 MOST_CACHED = 3 << 18
-# Long texts are encoded in parts of about so many bytes, cut at white space.
-PART = 1 << 20
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+# New words that are encoded as one text.
+TOGETHER = 4096
+# Texts are encoded in slices of at most this many, and about as many bytes.
+SLICE_DOCS, SLICE_BYTES = 8192, 1 << 24
+
+
+def slices(texts: pa.Array, docs: int = SLICE_DOCS, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Where slices begin and end; a text longer than a slice is a slice of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(texts):
+        base = sizes[begin - 1] if begin else 0
+        end = min(begin + docs, max(begin + 1, int(np.searchsorted(sizes, base + size, "right"))))
+        yield begin, end
+        begin = end
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of `flat` that `codes` name, one after the other, and where each of them ends."""
+    length = counts[codes]
+    ends = np.cumsum(length)
+    shift = np.repeat(starts[codes] - (ends - length), length)
+    return flat[shift + np.arange(len(shift))], ends
+
+
+def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    counts = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    return np.frombuffer(b"".join(parts), np.uint32), np.cumsum(counts) - counts, counts
 
 
 class Encoder:
-    """Ids of texts as bytes, four per id, little endian."""
+    """Ids of texts by a tokenizer file."""
 
     def __init__(self, path: str):
         # Spark has a worker per core already.
@@ -34,63 +63,81 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        added = self._tokenizer.get_added_tokens_decoder().values()
-        self._special = [token.content.encode() for token in added]
-        self._chunks: dict[bytes, bytes] = {}
+        self._special = [token.content for token in self._tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self._tokenizer.get_vocab()
+        suffix = getattr(self._tokenizer.model, "end_of_word_suffix", None)
+        # Which ids end a word; without such a mark words cannot be encoded as one text.
+        self._last = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self._last[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
         self._words: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _learn(self, chunks: set[bytes]) -> None:
-        if len(self._chunks) > MOST_CACHED:
-            self._chunks.clear()
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for begin in range(0, len(words), TOGETHER):
+            some = words[begin : begin + TOGETHER]
+            data = self._encode([" ".join(some)])[0]
+            ends = 4 * (np.flatnonzero(self._last[np.frombuffer(data, np.uint32)]) + 1)
+            if len(ends) != len(some) or ends[-1] != len(data):
+                out += self._encode(some)
+                continue
+            cuts = [0, *ends.tolist()]
+            out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
         if len(self._words) > MOST_CACHED:
             self._words.clear()
-        cut, whole = {}, []
-        for chunk in chunks:
-            text = chunk.decode()
-            if _PLAIN.fullmatch(text) and not any(s in chunk for s in self._special):
-                cut[chunk] = _MARKS.findall(text.lower())
-            else:
-                whole.append(chunk)
-        words = list({w for parts in cut.values() for w in parts if w not in self._words})
-        self._words.update(zip(words, self._encode(words)))
-        for chunk, parts in cut.items():
-            self._chunks[chunk] = b"".join([self._words[w] for w in parts])
-        self._chunks.update(zip(whole, self._encode([c.decode() for c in whole])))
+        new = [w for w in words if w not in self._words]
+        self._words.update(zip(new, self._encode_words(new)))
+        return [self._words[w] for w in words]
+
+    def _of_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of different chunks: all ids, and where each chunk's begin and how many they are."""
+        plain = np.fromiter((_PLAIN.fullmatch(c) is not None for c in chunks), bool, len(chunks))
+        whole_text = "\n".join(chunks)
+        if any(s in whole_text for s in self._special):
+            plain &= np.fromiter((not any(s in c for s in self._special) for c in chunks), bool, len(chunks))
+        rest = [c for c, p in zip(chunks, plain) if not p]
+        flat, starts, counts = _joined(self._encode(rest) if rest else [])
+        all_starts, all_counts = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        all_starts[~plain], all_counts[~plain] = starts, counts
+        if not plain.any():
+            return flat, all_starts, all_counts
+        # Every plain chunk is followed by a line end, which has no ids.
+        cut = _MARKS.findall("".join([c + "\n" for c, p in zip(chunks, plain) if p]).lower())
+        coded = pa.array(cut).dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        line_end = words.index("\n")
+        parts = self._of_words([*words[:line_end], *words[line_end + 1 :]])
+        parts.insert(line_end, b"")
+        ids, ends = _gather(*_joined(parts), codes)
+        ends = ends[codes == line_end]
+        begins = np.concatenate([[0], ends[:-1]])
+        all_starts[plain], all_counts[plain] = begins + len(flat), ends - begins
+        return np.concatenate([flat, ids]), all_starts, all_counts
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and their bounds: text k has those from bounds[k] to bounds[k + 1].
+
+        A null text has no ids.
+        """
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        found = self._of_chunks(coded.dictionary.to_pylist())
+        ids, ends = _gather(*found, coded.indices.to_numpy())
+        at = split.offsets.to_numpy().astype(np.int64)
+        return ids, np.concatenate([[0], ends])[at - at[0]]
 
     def ids(self, text: str) -> bytes:
-        out = []
-        for part in _parts(text.encode()):
-            chunks = part.split()
-            try:
-                out.append(b"".join(map(self._chunks.__getitem__, chunks)))
-            except KeyError:
-                new = set(chunks).difference(self._chunks)
-                self._learn(new)
-                if any(c not in self._chunks for c in chunks):  # the cache was emptied for the new ones
-                    self._learn(set(chunks).difference(self._chunks))
-                out.append(b"".join(map(self._chunks.__getitem__, chunks)))
-        return b"".join(out)
-
-    def prepare(self, texts: list[str]) -> None:
-        """Learns the new chunks of several texts at once."""
-        new = {c for text in texts if len(text) < PART for c in text.encode().split() if c not in self._chunks}
-        if new:
-            self._learn(new)
-
-
-def _parts(data: bytes) -> Iterator[bytes]:
-    at = 0
-    while len(data) - at > PART:
-        end = _SPACE.search(data, at + PART)
-        if end is None:
-            break
-        yield data[at : end.start()]
-        at = end.start()
-    yield data[at:]
+        """One text's ids as bytes, four per id, little endian."""
+        return self.batch(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
 
 
 @cache
