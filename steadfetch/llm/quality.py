@@ -85,20 +85,18 @@ def frequent_lines(df: DataFrame, host: str, text: str, least_docs: int, most_sh
     """Per host the keys of lines that are in more distinct documents than allowed.
 
     A line may be in `least_docs` documents, or in the share `most_share` of the host's distinct
-    documents if that is more. Documents count as distinct by the smallest key of their other lines,
-    a MinHash of one value: copies and most near copies then count once, however many there are,
-    while a line that recurs in unrelated documents counts each time. A host can have few lines
-    above its limit (lines per document / `most_share`, or its lines / `least_docs`), so one
-    array per host holds them.
+    documents if that is more. Documents are the same if the sets of their line keys are, so exact
+    copies count once, however many there are, and lines that recur together do not hide one another.
+    Near copies that differ in a line's key are distinct and each count. A host can have few lines
+    above its limit (lines per document / `most_share`, or its lines / `least_docs`), so one array
+    per host holds them.
     """
     docs = df.select(F.col(host).alias("host"), F.sort_array(F.array_distinct(_line_keys(F.col(text)))).alias("lines"))
     # Spark would test for empty arrays below, and build every array once more for that.
-    found = docs.select("host", "lines", F.posexplode_outer("lines").alias("place", "line")).where("line IS NOT NULL")
-    others = F.when(F.col("place") == 0, F.coalesce(F.get("lines", F.lit(1)), "line")).otherwise(F.get("lines", F.lit(0)))
-    found = found.select("host", "line", others.alias("doc"), (F.col("place") == 0).alias("first")).distinct()
-    # A document's smallest key is one of its lines: there a distinct document is counted.
+    found = docs.distinct().select("host", F.posexplode_outer("lines").alias("place", "line")).where("line IS NOT NULL")
+    # A distinct document is counted at its smallest key.
     per_line = found.groupBy("host", "line").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.col("first").cast("int")).alias("own")
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("place") == 0).alias("own")
     )
     many = F.when(F.col("n") > least_docs, F.struct("line", "n"))
     parts = settle(

@@ -244,6 +244,17 @@ def test_quality(docs, none, spark):
     assert not judged[100]["kept"] and all(judged[200 + k]["kept"] and judged[200 + k]["n_left"] == 62 for k in range(50))
 
 
+def test_lines_that_recur_together_are_each_counted(spark):
+    notice = "\n".join(f"notice line {chr(97 + k)}" for k in range(12))
+    # Digits count as alike in lines, so unrelated bodies differ in letters.
+    body = lambda k: " ".join(f"own{chr(97 + k % 26)}{chr(97 + k // 26)} w{n}" for n in range(30))
+    both = [(k, f"{notice}\n{body(k)}", "h") for k in range(21)] + [(100 + k, f"{notice}\n{body(k)}", "few") for k in range(20)]
+    copies = [(200 + k, f"copied line\n{body(99)}", "h") for k in range(50)]
+    judged = rows(quality.judge(spark.createDataFrame(both + copies, "doc_id bigint, text string, source string")))
+    for r in judged:
+        assert r["clean_text"] == (body(r["doc_id"]) if r["doc_id"] < 21 else r["text"])
+
+
 def test_length_histogram(docs, none):
     path = queries.tokenizer_path()
     plain = Tokenizer.from_file(path)
