@@ -142,6 +142,18 @@ def test_near_duplicates(docs, none):
     assert rows(neardup.classes(none)) == [] and rows(neardup.representatives(none)) == []
 
 
+def test_near_duplicates_by_plain_jaccard(spark):
+    pairs = []
+    for k in range(12):
+        text = " ".join(f"p{k}w{n}" for n in range(66))
+        pairs += [(2 * k, text), (2 * k + 1, text + (" " + " ".join(f"p{k}line{n}" for n in range(10))) * 20)]
+    doc, value, times = sketch.shingles(pa.array([t for _, t in pairs[:2]]))
+    plain, weighted = sketch.similarity(*((value[doc == d], sketch.weights(times)[doc == d]) for d in (0, 1)))
+    assert plain >= 0.8 and weighted < 0.6
+    found = {r["doc_id"]: r["class_id"] for r in rows(neardup.classes(spark.createDataFrame(pairs, "doc_id bigint, text string")))}
+    assert found == {k: k // 2 * 2 for k in range(24)}
+
+
 def test_signatures_estimate_probability_jaccard():
     a, b = "a b c d e f g h i j " * 3 + "k l m n", "a b c d e f g h i j " * 2 + "x y z"
     doc, value, times = sketch.shingles(pa.array([a, b, "", "one"]))
