@@ -245,13 +245,21 @@ def encoded_groups(encoded: DataFrame, part: int = LIST_PART) -> DataFrame:
 
 
 def encoding_stats(groups: DataFrame) -> DataFrame:
-    """One row: groups, groups with a positive, pairs, mean sequence length."""
+    """One row: groups, groups with a positive, pairs, mean sequence length.
+
+    A group in several parts counts once.
+    """
     lengths = F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda acc, ids: acc + F.size(ids))
-    return groups.agg(
+    per = groups.groupBy("key").agg(
+        F.max(F.exists("pos_mask", lambda p: p)).alias("has_pos"),
+        F.sum(F.size("pos_mask").cast("bigint")).alias("n"),
+        F.sum(lengths).alias("length"),
+    )
+    return per.agg(
         F.count(F.lit(1)).alias("n_groups"),
-        F.count_if(F.exists("pos_mask", lambda p: p)).alias("n_groups_with_pos"),
-        F.sum(F.size("pos_mask").cast("bigint")).alias("n_pairs"),
-        F.try_divide(F.sum(lengths), F.sum(F.size("pos_mask"))).alias("mean_length"),
+        F.count_if("has_pos").alias("n_groups_with_pos"),
+        F.sum("n").alias("n_pairs"),
+        F.try_divide(F.sum("length"), F.sum("n")).alias("mean_length"),
     )
 
 

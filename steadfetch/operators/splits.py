@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_hash
+from ..session import settle
 from .groups import PAD_ID
 from .ordinal import dense_ordinal
+from .skew import split_hot_join
 
 
 def query_of(key: Column) -> Column:
@@ -44,10 +46,36 @@ def split_groups(groups: DataFrame, held_out: DataFrame) -> tuple[DataFrame, Dat
 
 
 def positive_items(groups: DataFrame) -> DataFrame:
-    """One row per positive document: (group columns, item_no, pos_at)."""
+    """One row per positive document: (group columns, item_no, pos_at).
+
+    Groups with a part_no may go on in several records: both numbers then run on over the parts of a
+    key, and part_start (the place of the part's first document) and n_items (of the whole key) come
+    with them.
+    """
     marked = F.transform("pos_mask", lambda p, i: F.struct(p.alias("p"), i.alias("i")))
     places = F.transform(F.filter(marked, lambda m: m["p"]), lambda m: m["i"])
-    return groups.select("*", F.posexplode(places).alias("item_no", "pos_at"))
+    if "part_no" not in groups.columns:
+        return groups.select("*", F.posexplode(places).alias("item_no", "pos_at"))
+    found = _with_starts(groups).select("*", F.posexplode(places).alias("_item", "_pos"))
+    return found.withColumns({
+        "item_no": F.col("_first_item") + F.col("_item"), "pos_at": F.col("part_start") + F.col("_pos"),
+    }).drop("_item", "_pos", "_first_item")
+
+
+def _with_starts(groups: DataFrame) -> DataFrame:
+    """Adds part_start, _first_item and n_items; the windows see one narrow row per part."""
+    counts = groups.select(
+        "key", "part_no", F.size("pos_mask").cast("bigint").alias("_n"),
+        F.size(F.filter("pos_mask", lambda p: p)).cast("bigint").alias("_p"),
+    )
+    whole = Window.partitionBy("key")
+    before = whole.orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    starts = counts.select(
+        "key", "part_no", F.coalesce(F.sum("_n").over(before), zero).alias("part_start"),
+        F.coalesce(F.sum("_p").over(before), zero).alias("_first_item"), F.sum("_p").over(whole).alias("n_items"),
+    )
+    return groups.join(starts, ["key", "part_no"])
 
 
 def sample_items(
@@ -55,11 +83,13 @@ def sample_items(
 ) -> DataFrame:
     """Adds `picked`: places of one positive, then up to `n_neg` negatives of the group.
 
-    Everything happens inside the row, in the seeded order of (seed, epoch, key, item).
-    With `redraw_positive` any positive of the group may come first and negatives are
+    Everything happens inside the row, in the seeded order of (seed, epoch, key, item); for groups in
+    parts see `sample_over_parts`, which makes the same draws. With `redraw_positive` any positive of the group may come first and negatives are
     documents with score zero; else the item's own positive stays and negatives are all
     documents that are not positive.
     """
+    if "part_no" in items.columns:
+        raise ValueError("items of groups in parts are drawn by sample_over_parts")
     places = F.sequence(F.lit(0), F.size("pos_mask") - 1)
     if redraw_positive:
         is_neg = lambda i: F.get("scores", i) == 0
@@ -81,6 +111,41 @@ def sample_items(
     )
 
 
+def sample_over_parts(
+    groups: DataFrame, n_neg: int = 10, seed: int = 42, epoch: int = 0, redraw_positive: bool = False
+) -> DataFrame:
+    """(key, item_no, pos_at, picked, labels) of all positives of groups with a part_no.
+
+    The draws of `sample_items` from the whole group: each item meets all parts of its key, a part
+    gives its first `n_neg` negatives in seeded order, and the first of those are taken.
+    """
+    groups = settle(groups)
+    drawn = lambda *more: stable_hash(seed, epoch, F.col("key"), F.col("item_no"), *more)
+    items = positive_items(groups).select(
+        "key", "item_no", "pos_at", "n_items", F.get("scores", (F.col("pos_at") - F.col("part_start")).cast("int")).alias("_label")
+    )
+    parts = _with_starts(groups).select("key", "part_start", "pos_mask", "scores")
+    is_neg = (lambda i: F.get("scores", i) == 0) if redraw_positive else (lambda i: ~F.get("pos_mask", i))
+    places = F.filter(F.sequence(F.lit(0), F.size("pos_mask") - 1), is_neg)
+    place = lambda i: F.col("part_start") + i
+    hashed = F.transform(places, lambda i: F.struct(drawn(place(i)).alias("h"), place(i).alias("i"), F.get("scores", i).alias("s")))
+    few = split_hot_join(items.select("key", "item_no"), parts, ["key"], "key").select(
+        "key", "item_no", F.slice(F.array_sort(hashed), 1, n_neg).alias("few")
+    )
+    negatives = few.groupBy("key", "item_no").agg(
+        F.slice(F.array_sort(F.flatten(F.collect_list("few"))), 1, n_neg).alias("_neg")
+    )
+    first = items.withColumns({"_first": F.col("pos_at"), "_first_label": F.col("_label")})
+    if redraw_positive:
+        all_pos = items.select("key", F.col("item_no").alias("_pick"), F.col("pos_at").alias("_first"), F.col("_label").alias("_first_label"))
+        first = items.withColumn("_pick", F.pmod(drawn(), F.col("n_items"))).join(all_pos, ["key", "_pick"])
+    return first.join(negatives, ["key", "item_no"]).select(
+        "key", "item_no", "pos_at",
+        F.concat(F.array("_first"), F.transform("_neg", lambda x: x["i"])).alias("picked"),
+        F.concat(F.array("_first_label"), F.transform("_neg", lambda x: x["s"])).alias("labels"),
+    )
+
+
 def padded_batches(rows: DataFrame, order: list[Column], batch_size: int = 32) -> DataFrame:
     """Adds batch, input_ids padded to the longest of the batch, and attention_mask."""
     numbered = dense_ordinal(rows, order).withColumn("batch", F.floor(F.col("ordinal") / batch_size))

@@ -190,13 +190,19 @@ def capped_pool(spark: SparkSession, folder: str) -> DataFrame:
     "len(list_filter(coalesce(all_answers, [correct_answer]), lambda g: g IS NOT NULL AND g <> ''))::BIGINT AS n_golds FROM asked", LISTS))
 def defaults(spark: SparkSession, folder: str) -> DataFrame:
     """Records with defaults for what is missing; golds fall back to the one answer."""
-    rows = pool.nest_pool(asked(spark, folder), pooled(spark, folder))
+    rows = pool.nest_pool(asked(spark, folder), pooled(spark, folder)).where("part_no = 0")
     return rows.select(
         "query_idx", "correct_answer", F.array_join("all_answers", "|").alias("all_answers"),
         F.size(text.golds_of(F.col("all_answers"), F.col("correct_answer"))).cast("bigint").alias("n_golds"),
     )
 
 
+def parts_joined(name: str) -> Column:
+    """The strings of a key's parts, in order."""
+    ordered_parts = F.array_sort(F.collect_list(F.struct("part_no", name)))
+    return F.array_join(F.transform(ordered_parts, lambda x: x[name]), ",").alias(name)
+
+
 @query("g8_nested_pool", with_ctes(
     "SELECT a.query_idx, any_value(question) AS question, count(p.doc_key) AS n_docs, "
     "md5(coalesce(string_agg(pool_rank || ':' || p.text, ',' ORDER BY pool_rank), '')) AS docs_md5 "
@@ -204,9 +210,10 @@ def defaults(spark: SparkSession, folder: str) -> DataFrame:
 def nested_pool(spark: SparkSession, folder: str) -> DataFrame:
     rows = pool.nest_pool(asked(spark, folder), pooled(spark, folder))
     shown = F.transform("candidates", lambda c: F.concat_ws(":", c["pool_rank"].cast("string"), c["text"]))
-    return rows.select(
-        "query_idx", "question", F.size("candidates").cast("bigint").alias("n_docs"),
-        F.md5(F.array_join(shown, ",")).alias("docs_md5"),
+    parts = rows.select("query_idx", "question", "part_no", F.size("candidates").alias("n"), F.array_join(shown, ",").alias("docs"))
+    return parts.groupBy("query_idx").agg(
+        F.min_by("question", "part_no").alias("question"), F.sum("n").alias("n_docs"),
+        F.md5(parts_joined("docs")).alias("docs_md5"),
     )
 
 
@@ -376,8 +383,10 @@ def nested_groups(spark: SparkSession, folder: str) -> DataFrame:
         "docs",
         lambda d: F.concat_ws(":", d["doc_ord"].cast("string"), d["text"], d["doc_rank"].cast("string")),
     )
-    return groups.nest_groups(training(spark, folder)).select(
-        "key", "question", "train_mode", F.array_join(shown, ",").alias("docs")
+    parts = groups.nest_groups(training(spark, folder)).withColumn("docs", F.array_join(shown, ","))
+    return parts.groupBy("key").agg(
+        F.min_by("question", "part_no").alias("question"), F.min_by("train_mode", "part_no").alias("train_mode"),
+        parts_joined("docs"),
     )
 
 
@@ -417,10 +426,13 @@ ORDERED = """ordered AS (
     "SELECT query_idx || '_' || pert_idx AS key, 'order ' || query_idx AS question, count(*) AS n_docs, "
     "string_agg('part ' || doc_rank, ',' ORDER BY doc_ord) AS docs FROM ordered GROUP BY query_idx, pert_idx", RECORDS, ORDERED))
 def groups_of_unordered(spark: SparkSession, folder: str) -> DataFrame:
-    return groups.nest_groups(ordered(spark, folder)).select(
-        "key", "question", F.size("docs").cast("bigint").alias("n_docs"),
+    parts = groups.nest_groups(ordered(spark, folder)).select(
+        "key", "part_no", "question", F.size("docs").alias("n"),
         F.array_join(F.transform("docs", lambda d: d["text"]), ",").alias("docs"),
     )
+    return parts.groupBy("key").agg(
+        F.min_by("question", "part_no").alias("question"), F.sum("n").alias("n_docs"), parts_joined("docs")
+    )
 
 
 @query("h20_group_counts", with_ctes(
@@ -491,12 +503,13 @@ def pair_encoding(spark: SparkSession, folder: str) -> DataFrame:
     "sum(len(ids))::BIGINT AS n_ids FROM encoded GROUP BY doc_id // 10", ENCODED))
 def masks_and_scores(spark: SparkSession, folder: str) -> DataFrame:
     rows = groups.encoded_groups(groups.encode_records(text_records(spark, folder)))
-    return rows.select(
-        "key",
+    parts = rows.select(
+        "key", "part_no",
         F.array_join(F.transform("pos_mask", lambda p: p.cast("string")), ",").alias("pos_mask"),
         F.array_join(F.transform("scores", lambda s: F.round(s * 100).cast("int").cast("string")), ",").alias("scores_percent"),
         F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda acc, ids: acc + F.size(ids)).alias("n_ids"),
     )
+    return parts.groupBy("key").agg(parts_joined("pos_mask"), parts_joined("scores_percent"), F.sum("n_ids").alias("n_ids"))
 
 
 @query("h25_group_range", with_ctes(

@@ -68,7 +68,7 @@ items AS (
 def array_groups(spark: SparkSession, folder: str) -> DataFrame:
     nested = groups.nest_groups(ordered(spark, folder))
     return nested.select(
-        "key", F.transform("docs", lambda d: d["score"] > 0).alias("pos_mask"),
+        "key", "part_no", F.transform("docs", lambda d: d["score"] > 0).alias("pos_mask"),
         F.transform("docs", lambda d: d["score"]).alias("scores"),
     )
 
@@ -107,14 +107,12 @@ def show_picked(df: DataFrame) -> DataFrame:
 
 @query("j6_sampled_items", with_ctes(PICKED, ARRAYS, picked_sql("pos_at", "d.score <= 0")))
 def sampled_items(spark: SparkSession, folder: str) -> DataFrame:
-    items = splits.positive_items(array_groups(spark, folder))
-    return show_picked(splits.sample_items(items, n_neg=2))
+    return show_picked(splits.sample_over_parts(array_groups(spark, folder), n_neg=2))
 
 
 @query("j6_redrawn_items", with_ctes(PICKED, ARRAYS, picked_sql(REDRAWN, "d.score = 0")))
 def redrawn_items(spark: SparkSession, folder: str) -> DataFrame:
-    items = splits.positive_items(array_groups(spark, folder))
-    return show_picked(splits.sample_items(items, n_neg=2, redraw_positive=True))
+    return show_picked(splits.sample_over_parts(array_groups(spark, folder), n_neg=2, redraw_positive=True))
 
 
 @query("j7_padded_batches", """

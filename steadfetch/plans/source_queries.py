@@ -54,9 +54,9 @@ def tokenized_shards(spark: SparkSession, folder: str) -> DataFrame:
     encoded = groups.encoded_groups(groups.encode_records(text_records(spark, folder)))
     path = tables.write_shards(encoded, scratch_path(spark, "tokenized"))
     return tables.scan(spark, path).select(
-        "key", F.size("pos_mask").cast("bigint").alias("n_docs"),
-        F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda acc, ids: acc + F.size(ids)).alias("n_ids"),
-    )
+        "key", F.size("pos_mask").cast("bigint").alias("n"),
+        F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda acc, ids: acc + F.size(ids)).alias("ids"),
+    ).groupBy("key").agg(F.sum("n").alias("n_docs"), F.sum("ids").alias("n_ids"))
 
 
 @query("a6_hosted_exports", with_ctes(

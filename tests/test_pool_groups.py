@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from steadfetch.operators import groups, marking, pool, splits
+from steadfetch.plans import catalog, pool_queries, ranking_queries  # noqa: F401
 
 CAND = "query_idx bigint, rank bigint, passage_idx bigint, idx bigint, text string, score double"
 
@@ -164,6 +165,38 @@ def test_sampled_items(spark):
     assert any(splits.sample_items(items, 2, epoch=e).collect() != first for e in range(1, 5))
 
 
+def in_parts(spark, part):
+    scores = {"1_0": [0.5, 0.7, 0.0, 0.0, 1.0, 0.0, 0.2], "2_0": [0.0, 0.5]}
+    return spark.createDataFrame(
+        [(k, n, [x > 0 for x in v[at : at + part]], v[at : at + part], [[1]] * len(v[at : at + part]))
+         for k, v in scores.items() for n, at in enumerate(range(0, len(v), part))],
+        "key string, part_no bigint, pos_mask array<boolean>, scores array<double>, input_ids array<array<int>>",
+    )
+
+
+@pytest.mark.parametrize("redraw", [False, True])
+def test_parts_of_a_group_change_no_result(spark, redraw):
+    split, whole = in_parts(spark, 2), in_parts(spark, 10).drop("part_no")
+    assert groups.encoding_stats(split).collect() == groups.encoding_stats(whole).collect()
+    assert groups.encoding_stats(split).first()["n_groups"] == 2
+    shown = lambda df, *c: sorted(tuple(r[k] for k in ("key", "item_no", "pos_at", *c)) for r in df.collect())
+    items = splits.positive_items(whole)
+    assert shown(splits.positive_items(split)) == shown(items)
+    got = splits.sample_over_parts(split, 2, redraw_positive=redraw)
+    assert shown(got, "picked", "labels") == shown(splits.sample_items(items, 2, redraw_positive=redraw), "picked", "labels")
+
+
+@pytest.mark.parametrize("name", [
+    "g7_defaults", "g8_nested_pool", "h19_nested_groups", "h24_masks_and_scores", "h26_encoding_stats", "j6_redrawn_items",
+])
+def test_queries_do_not_depend_on_parts(spark, small, monkeypatch, name):
+    run = lambda: sorted(map(str, catalog.QUERIES[name](spark, small).collect()))
+    whole = run()
+    for nest in (pool.nest_pool, groups.nest_groups, groups.encoded_groups):
+        monkeypatch.setattr(nest, "__defaults__", (2,))
+    assert run() == whole
+
+
 def test_padding(spark):
     df = spark.createDataFrame([(i, list(range(1, i + 2))) for i in range(5)], "id int, input_ids array<int>")
     rows = splits.padded_batches(df, [F.col("id")], 2).orderBy("id").collect()
