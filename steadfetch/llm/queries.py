@@ -200,4 +200,4 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = settle(docs.select("doc_id", "source", F.size(quality.words(F.col("text"))).cast("bigint").alias("size")))
     mixed = mixing.mix(sized, source_weights(sized))
     taken = F.aggregate("draws", F.lit(0).cast("bigint"), lambda total, d: total + d["words"])
-    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "draws")

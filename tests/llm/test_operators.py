@@ -333,6 +333,13 @@ def test_mix(docs, none, spark):
     assert drawn.count() == sum(len(r["draws"]) for r in out)
 
 
+def test_mix_query_shows_its_draws(spark, small):
+    out = rows(queries.op10(spark, small))
+    assert all(r["taken"] == sum(d["words"] for d in r["draws"]) for r in out)
+    places = Counter((d["shard"], d["local_order"]) for r in out for d in r["draws"])
+    assert places and len({shard for shard, _ in places}) > 1
+
+
 def test_quotas_are_exact():
     quotas = mixing.split_quotas([10, 0, 33, 1], 5, 3)
     assert quotas.sum(axis=0).tolist() == [10, 0, 33, 1]
