@@ -46,9 +46,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens and their places in sequences."""
+    """Pieces of at most 4096 tokens with their ids, and their places in sequences."""
     pieces = packing.tokenise(docs, tokenizer_path())
-    return packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")))
 
 
 STAGES = [

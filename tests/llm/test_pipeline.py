@@ -112,6 +112,15 @@ def test_pipeline(spark, tmp_path):
         assert max(times) - min(times) <= 1 and max(times) <= 3
 
 
+def test_packed_sequences_hold_their_ids(spark):
+    rows = [(r[0], r[1]) for r in documents()[:3]]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    plain = Tokenizer.from_file(queries.tokenizer_path())
+    for r in corpus_pipeline.pack_sequences(spark, df, "").collect():
+        ids = plain.encode(dict(rows)[r["doc_id"]], add_special_tokens=False).ids + [2]
+        assert bytes(r["ids"]) == np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()
+
+
 def test_pipeline_without_rows(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
