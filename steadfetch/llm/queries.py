@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
-from . import chat, lengths, mixing, neardup, packing, pii, quality, sharding, topk, urlrules
+from . import chat, decontaminate, lengths, mixing, neardup, packing, pii, quality, sharding, topk, urlrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -201,3 +201,35 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(sized, source_weights(sized))
     taken = F.aggregate("draws", F.lit(0).cast("bigint"), lambda total, d: total + d["words"])
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "draws")
+
+
+OP11_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{word}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, '{upper}', '{lower}'), '{word}') AS w FROM benchmark WHERE text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i + 1 : i + 10], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS i FROM b WHERE len(w) > 0)),
+runs AS (
+  SELECT rid, i, n, array_to_string(w[i + 1 : i + n], ' ') AS phrase
+  FROM (SELECT rid, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+found AS (SELECT rid, i, runs.n AS n, item_id FROM runs JOIN windows USING (phrase)),
+hit AS (SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS k FROM found) GROUP BY rid),
+items AS (
+  SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS list
+  FROM found GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
+""".format(upper="ABCDEFGHIJKLMNOPQRSTUVWXYZ", lower="abcdefghijklmnopqrstuvwxyz", word=r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+@query("op11_fm_index_decontamination", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document lies in windows of ten words that benchmark items hold."""
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
