@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
-from . import chat, decontaminate, lengths, mixing, neardup, packing, pii, quality, sharding, topk, urlrules
+from . import chat, decontaminate, lengths, mixing, neardup, packing, pii, quality, sharding, structure, topk, urlrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -233,3 +233,99 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+OP13_SQL = r"""
+WITH RECURSIVE
+crc_table AS (
+  SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)),
+raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+marked AS (
+  SELECT raw.*, xor(4294967295, list_reduce(
+    [4294967295::BIGINT] || list_transform(string_split(name, ''), lambda ch: ascii(ch)::BIGINT),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS h FROM raw, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM marked, range(2) copies(c) WHERE h <> 0 AND (c = 0 OR h = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS ending FROM damaged),
+coded AS (
+  SELECT *, role[1] AS r, CASE WHEN ending = '' THEN 1
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 2 WHEN ending NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) AS before,
+    count(*) OVER (PARTITION BY conv_id) AS n FROM placed),
+back AS (
+  SELECT conv_id, max(n) AS pos, 0 AS e, 10 AS s, 5 AS u, 0 AS a FROM coded GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, pos, least(pe, 5 + least(pu, 5 + pa)), least(ps, 5 + least(pu, 5 + pa)), least(pu, 5 + pa), least(pa, 5 + pu)
+  FROM (
+    SELECT x.conv_id, x.pos,
+      least(2 + e, stay + least(1 + u, CASE r WHEN 's' THEN s WHEN 'u' THEN u ELSE 1000000 END)) AS pe,
+      least(2 + s, stay + least(1 + u, CASE r WHEN 'u' THEN u ELSE 1000000 END)) AS ps,
+      least(2 + u, stay + least(1 + a, CASE r WHEN 'a' THEN a ELSE 1000000 END)) AS pu,
+      least(2 + a, stay + least(1 + u, CASE r WHEN 'u' THEN u ELSE 1000000 END)) AS pa
+    FROM back JOIN (SELECT *, CASE fault WHEN 0 THEN 0 WHEN 3 THEN 5 ELSE 1000000 END AS stay FROM coded) x
+      ON x.conv_id IS NOT DISTINCT FROM back.conv_id AND x.pos = back.pos - 1)),
+cost AS (SELECT conv_id, pos, unnest(['e', 's', 'u', 'a']) AS st, unnest([e, s, u, a]) AS c FROM back),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS pos, 'e' AS st, '' AS audit, []::VARCHAR[] AS lines FROM coded GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, pos + (letter <> 'I')::INT, CASE letter WHEN 'D' THEN st WHEN 'K' THEN r ELSE nxt END, audit || letter,
+    CASE letter WHEN 'D' THEN lines WHEN 'K' THEN lines || [role || ':' || text]
+      ELSE lines || [CASE nxt WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || CASE letter WHEN 'I' THEN '' ELSE text END] END
+  FROM (
+    SELECT w.*, x.role, x.text, x.r, nxt, CASE
+        WHEN x.pos IS NOT NULL AND now.c = 2 + skip.c THEN 'D' WHEN now.c = 5 + put.c THEN 'I'
+        WHEN x.pos IS NULL THEN NULL WHEN x.fault IN (1, 2) THEN NULL
+        WHEN (r = nxt OR (r = 's' AND w.st = 'e')) AND now.c = keep.c + 5 * (fault = 3)::INT THEN 'K' ELSE 'R' END AS letter
+    FROM (SELECT *, CASE st WHEN 'u' THEN 'a' ELSE 'u' END AS nxt FROM walk) w
+    LEFT JOIN coded x ON x.conv_id IS NOT DISTINCT FROM w.conv_id AND x.pos = w.pos
+    JOIN cost now ON now.conv_id IS NOT DISTINCT FROM w.conv_id AND now.pos = w.pos AND now.st = w.st
+    JOIN cost put ON put.conv_id IS NOT DISTINCT FROM w.conv_id AND put.pos = w.pos AND put.st = w.nxt
+    LEFT JOIN cost skip ON skip.conv_id IS NOT DISTINCT FROM w.conv_id AND skip.pos = w.pos + 1 AND skip.st = w.st
+    LEFT JOIN cost keep ON keep.conv_id IS NOT DISTINCT FROM w.conv_id AND keep.pos = w.pos + 1 AND keep.st = x.r)
+  WHERE letter IS NOT NULL),
+paths AS (SELECT conv_id, max_by(audit, length(audit)) AS audit, max_by(lines, length(audit)) AS lines FROM walk GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum((fault = 1)::INT) AS blank,
+    sum((fault = 2)::INT) AS duplicate, sum((fault = 3)::INT) AS truncated,
+    sum((before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au'))::INT) AS illegal FROM coded GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(e, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN paths ON paths.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN back ON back.conv_id IS NOT DISTINCT FROM o.conv_id AND back.pos = 0
+"""
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The rows of the contract's damage: dropped, emptied, without end marks, repeated or with role user, by a checksum."""
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(known("conv_id"), F.lit(":"), known("turn"))) % 20
+    rows = conversations.select("conv_id", "turn", known("role").alias("role"), known("text").alias("text"), kind.alias("h"))
+    text = F.when(F.col("h") == 1, "").when(F.col("h") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("h") == 4, "user").otherwise(F.col("role"))
+    copies = F.array_repeat(F.lit(0), F.when(F.col("h") == 3, 2).otherwise(1))
+    return rows.where("h <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+@query("op13_path_ranked_repair", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least repair of every conversation after the contract's damage."""
+    conversations = table(spark, sf_dir, "conversations")
+    _, summary = structure.repair(damaged(conversations))
+    every = conversations.select("conv_id").distinct()
+    found = summary.withColumnRenamed("conv_id", "_conv")
+    joined = every.join(found, every["conv_id"].eqNullSafe(found["_conv"]), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
