@@ -344,9 +344,9 @@ totals AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
 c AS MATERIALIZED (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
 cuts AS MATERIALIZED (
   SELECT c.*, cut, x.a AS l, y.a AS r, 1000000 * c.a * c.a // (x.a * y.a) AS score
-  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c
-  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[: cut], ' ')
-  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1 :], ' ')),
+  FROM (SELECT *, array_to_string(w[: cut], ' ') AS head, array_to_string(w[cut + 1 :], ' ') AS rest
+    FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = c.head JOIN f y ON y.lang = c.lang AND y.phrase = c.rest),
 best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
 longer AS (
   SELECT lang, phrase, max(a) AS a FROM (
