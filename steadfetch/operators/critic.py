@@ -1,12 +1,11 @@
-"""The critic on Spark ML: a soft-label logistic model over (question, passage) features."""
+"""The critic: a soft-label logistic model over (question, passage) features."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,31 +29,71 @@ def pair_features(pairs: DataFrame, question: str = "question", document: str =
     }).drop("_q", "_d")
 
 
+@dataclass(frozen=True)
+class Critic:
+    """A fitted critic: probability = sigmoid(intercept + sum of coefficient x feature); `loss` is the mean at the fit."""
+    features: tuple[str, ...]
+    intercept: float
+    coefficients: tuple[float, ...]
+    loss: float
+    steps: int
+
+
+def _sums(pairs: DataFrame, features: list[str], label: str, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, int]:
+    """Loss, gradient and second moments at `weights`, in one aggregate over the pairs."""
+    x = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
+    logit = sum((w * v for w, v in zip(map(float, weights), x)), F.lit(0.0))
+    rows = pairs.select(*[v.alias(f"x{k}") for k, v in enumerate(x)], F.col(label).cast("double").alias("y"), logit.alias("z"))
+    rows = rows.where("y IS NOT NULL AND z IS NOT NULL").withColumn("p", sigmoid(F.col("z")))
+    n = len(x)
+    loss = F.greatest("z", F.lit(0.0)) - F.col("z") * F.col("y") + F.log1p(F.exp(-F.abs("z")))
+    spread = F.col("p") * (1 - F.col("p"))
+    upper = [(i, j) for i in range(n) for j in range(i, n)]
+    found = rows.agg(
+        F.count(F.lit(1)), F.sum(loss), *[F.sum((F.col("y") - F.col("p")) * F.col(f"x{k}")) for k in range(n)],
+        *[F.sum(spread * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in upper],
+    ).first()
+    if not found[0]:
+        raise ValueError("no pair has a label and all features")
+    moments = np.zeros((n, n))
+    for (i, j), value in zip(upper, found[2 + n :]):
+        moments[i, j] = moments[j, i] = value
+    return found[1] / found[0], np.array(found[2 : 2 + n]), moments, found[0]
+
+
 def fit(
-    pairs: DataFrame, label: str = "robustness_score", features: list[str] | None = None,
-    max_iter: int = 50, reg: float = 0.0,
-) -> LogisticRegressionModel:
-    """Logistic loss with labels in [0, 1]: each pair counts as (1, weight s) and (0, weight 1 - s)."""
-    vectors = VectorAssembler(inputCols=features or FEATURES, outputCol="features").transform(pairs)
-    sides = F.explode(
-        F.array(
-            F.struct(F.lit(1.0).alias("y"), F.col(label).alias("w")),
-            F.struct(F.lit(0.0).alias("y"), (1 - F.col(label)).alias("w")),
-        )
-    )
-    weighted = vectors.select("features", sides.alias("_s")).select("features", "_s.y", "_s.w").where("w > 0")
-    return LogisticRegression(
-        featuresCol="features", labelCol="y", weightCol="w", maxIter=max_iter, regParam=reg
-    ).fit(weighted)
-
-
-def score(pairs: DataFrame, model: LogisticRegressionModel, features: list[str] | None = None) -> DataFrame:
-    """Adds `rerank_score`, the model's probability."""
-    vectors = VectorAssembler(inputCols=features or FEATURES, outputCol="features").transform(pairs)
-    scored = model.transform(vectors)
-    return scored.withColumn("rerank_score", F.get(vector_to_array("probability"), 1)).drop(
-        "features", "rawPrediction", "probability", "prediction"
-    )
+    pairs: DataFrame, label: str = "robustness_score", features: list[str] | None = None, max_iter: int = 50,
+    reg: float = 0.0, tol: float = 1e-10,
+) -> Critic:
+    """Logistic loss with labels in [0, 1], least by Newton steps from zero.
+
+    Each step is one aggregate of the gradient and the second moments of the features, so its cost does not depend on
+    how pairs are dealt out and only some numbers per step reach the driver; features should be few. A step
+    that raises the loss is halved. `reg` adds reg / 2 x |coefficients|^2 to the mean loss, the intercept apart. Features
+    that do not vary get the least coefficients that fit. Pairs with a null label or feature take no part.
+    """
+    names = list(features or FEATURES)
+    ridge = np.diag([0.0] + [reg] * len(names))
+    weights, step = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+    best = np.inf
+    done = 0
+    for done in range(1, max_iter + 1):
+        loss, gradient, moments, rows = _sums(pairs, names, label, weights + step)
+        total = loss + 0.5 * float((weights + step) @ ridge @ (weights + step))
+        if total > best + 1e-14 * max(1.0, abs(best)) and np.abs(step).max() > tol:
+            step = step / 2
+            continue
+        weights, best = weights + step, total
+        step = np.linalg.lstsq(moments / rows + ridge, gradient / rows - ridge @ weights, rcond=1e-12)[0]
+        if np.abs(step).max() <= tol:
+            break
+    return Critic(tuple(names), float(weights[0]), tuple(map(float, weights[1:])), float(best), done)
+
+
+def score(pairs: DataFrame, model: Critic) -> DataFrame:
+    """Adds `rerank_score`, the model's probability; a null feature gives null."""
+    logit = sum((c * F.col(f).cast("double") for c, f in zip(model.coefficients, model.features)), F.lit(model.intercept))
+    return pairs.withColumn("rerank_score", sigmoid(logit))
 
 
 def score_with(pairs: DataFrame, logits: BatchFn, concurrency: int | None = None) -> DataFrame:

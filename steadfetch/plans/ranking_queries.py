@@ -11,6 +11,7 @@ from ..session import settle
 from ..sources.tables import given
 from .catalog import query, sql_hash, with_ctes
 from .pool_queries import RECORDS, ordered, plain_records, text_records
+from .question_queries import sql_norm
 
 KEYS = [RECORDS, """keys AS (
   SELECT query_idx || '_' || pert_idx AS key, query_idx, pert_idx,
@@ -167,17 +168,61 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 9) for n in names})
 
 
-@query("j8_j9_critic_fit")
+PAIRS = f"""texts AS (
+  SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 0.6 ELSE 0.0 END::DOUBLE AS y, {sql_hash('doc_id')} % 1000 / 1000 AS f1,
+    list_distinct(string_split({sql_norm("concat('what does ', source, ' say in ', lang)")}, ' ')) AS q,
+    list_distinct(string_split({sql_norm('text')}, ' ')) AS d
+  FROM documents
+),
+pairs AS MATERIALIZED (
+  SELECT 1.0::DOUBLE AS f0, f1, len(list_intersect(q, d)) / len(q) AS f2,
+    len(list_intersect(q, d)) / len(list_distinct(q || d)) AS f3, ln(1 + len(d)) AS f4, y FROM texts
+)"""
+
+
+def newton_sql(steps: int = 12, n: int = 5) -> str:
+    """Newton steps from zero over pairs (f0 .. f4, y), each solved by elimination; the last row of `fitted` is the fit."""
+    k = range(n)
+    sums = [f"sum((y - p) * f{i}) AS g{i}" for i in k] + [f"sum(p * (1 - p) * f{i} * f{j}) AS h{i}{j}" for i in k for j in k]
+    before = "it, " + ", ".join(f"b{i}" for i in k)
+    logit = " + ".join(f"b{i} * f{i}" for i in k)
+    solved = f"(SELECT {before}, {', '.join(sums)} FROM (SELECT *, 1 / (1 + exp(-({logit}))) AS p FROM fitted, pairs WHERE it < {steps}) GROUP BY {before})"
+    for c in k:
+        left = [f"h{i}{j} - h{i}{c} * h{c}{j} / h{c}{c} AS h{i}{j}" if i != c else f"h{c}{j} / h{c}{c} AS h{c}{j}" for i in k for j in k]
+        right = [f"g{i} - h{i}{c} * g{c} / h{c}{c} AS g{i}" if i != c else f"g{c} / h{c}{c} AS g{c}" for i in k]
+        solved = f"(SELECT {before}, {', '.join(left + right)} FROM {solved})"
+    zeros = ", ".join(f"0.0::DOUBLE AS b{i}" for i in k)
+    moved = ", ".join(f"b{i} + g{i}" for i in k)
+    return f"fitted AS (SELECT 0 AS it, {zeros} UNION ALL SELECT it + 1, {moved} FROM {solved})"
+
+
+FITTED = ["RECURSIVE " + PAIRS, newton_sql(), "fit AS (SELECT * FROM fitted ORDER BY it DESC LIMIT 1)"]
+
+
+def text_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Features of (question, document) pairs; their labels come from the records, not from a feature."""
+    score = F.pmod(stable_hash(F.col("doc_id")), F.lit(1000)) / 1000
+    return settle(critic.pair_features(text_records(spark, folder).withColumn("retriever_score", score)).select(
+        *critic.FEATURES, "robustness_score"
+    ))
+
+
+@query("j8_critic_coefficients", with_ctes(
+    "SELECT unnest(['intercept', 'retriever_score', 'overlap', 'jaccard', 'log_words']) AS feature, "
+    "round(unnest([b0, b1, b2, b3, b4]), 6) AS coefficient FROM fit", *FITTED))
+def critic_coefficients(spark: SparkSession, folder: str) -> DataFrame:
+    model = critic.fit(text_pairs(spark, folder))
+    rows = zip(["intercept", *model.features], [model.intercept, *model.coefficients])
+    return spark.createDataFrame(list(rows), "feature string, coefficient double").withColumn("coefficient", F.round("coefficient", 6))
+
+
+@query("j8_j9_critic_fit", with_ctes(
+    "SELECT y AS label, count(*) AS n_pairs, round(avg(1 / (1 + exp(-(b0 + b1 * f1 + b2 * f2 + b3 * f3 + b4 * f4)))), 6) AS mean_score "
+    "FROM pairs, fit GROUP BY y", *FITTED))
 def critic_fit(spark: SparkSession, folder: str) -> DataFrame:
-    """Fit on all pairs, then the mean score per label: the fit must follow the labels."""
-    pairs = critic.pair_features(
-        text_records(spark, folder).withColumn(
-            "retriever_score", F.pmod(stable_hash(F.col("doc_id")), F.lit(1000)) / 1000
-        )
-    ).withColumn("robustness_score", F.least(F.col("log_words") / 10, F.lit(1.0)))
-    model = critic.fit(pairs)
-    scored = settle(critic.score(pairs, model).select("robustness_score", "rerank_score"))
-    return scored.groupBy(F.round("robustness_score", 1).alias("label")).agg(
+    """Fit on all pairs, then the mean score per label."""
+    pairs = text_pairs(spark, folder)
+    return critic.score(pairs, critic.fit(pairs)).groupBy(F.col("robustness_score").alias("label")).agg(
         F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("rerank_score"), 6).alias("mean_score")
     )
 
