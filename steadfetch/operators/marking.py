@@ -11,12 +11,12 @@ from ..functions.fixed import (
 )
 from ..session import settle
 from .inference import BatchFn, apply_batches
-from .skew import split_hot_join
+from .skew import HotKeys, split_hot_join
 
 PAIR_KEYS = ["query_idx", "pert_idx", "doc_rank"]
 
 
-def expand_pairs(pool: DataFrame, perts: DataFrame, hot: list | None = None) -> DataFrame:
+def expand_pairs(pool: DataFrame, perts: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Every (rewrite, pooled document) pair of a query. `doc_rank` is the pool position."""
     docs = pool.withColumnRenamed("pool_rank", "doc_rank")
     return split_hot_join(docs, perts, ["query_idx"], "query_idx", hot=hot)

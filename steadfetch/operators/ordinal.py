@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .skew import hot_values
+from .skew import HotKeys, hot_keys
 
 _ROW_BITS = 33
 
@@ -55,24 +55,25 @@ def running_start(df: DataFrame, order: list[Column], weight: Column, name: str
 
 
 def ordinal_in_group(
-    df: DataFrame, group: list[str], order: list[Column], name: str = "position", hot: list | None = None
+    df: DataFrame, group: list[str], order: list[Column], name: str = "position", hot: HotKeys | None = None
 ) -> DataFrame:
     """Adds `name`: 0, 1, 2, ... inside each group, also for groups too large for one task.
 
-    Ordinary groups are numbered in a window. `hot` holds the values of the first group
-    column that may have a large share of the rows (found here when not given); those
+    Ordinary groups are numbered in a window. `hot` says which values of the first group
+    column may have a large share of the rows (found here when not given); those
     rows are numbered over ranges.
     """
-    found = hot_values(df, group[0]) if hot is None else hot
+    found = hot_keys(df, group[0]) if hot is None else hot
     place = Window.partitionBy(*group).orderBy(*order)
 
     def windowed(rows: DataFrame) -> DataFrame:
         return rows.withColumn(name, (F.row_number().over(place) - 1).cast("bigint"))
 
-    if not found:
+    if found.table is None:
         return windowed(df)
-    is_hot = F.coalesce(F.col(group[0]).isin(found), F.lit(False))
-    return windowed(df.where(~is_hot)).unionByName(_over_ranges(df.where(is_hot), group, order, name))
+    marked = found.mark(df, group[0])
+    cold, large = (marked.where(f"_salts IS {what}").drop("_salts") for what in ("NULL", "NOT NULL"))
+    return windowed(cold).unionByName(_over_ranges(large, group, order, name))
 
 
 def _over_ranges(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:

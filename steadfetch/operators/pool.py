@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import doc_key
 from .ordinal import ordinal_in_group
-from .skew import hot_values, split_hot_join
+from .skew import HotKeys, hot_keys, split_hot_join
 
 # Longest candidate list in one nested record. Longer pools go on in further records.
 LIST_PART = 10_000
@@ -34,7 +34,7 @@ def last_record(records: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     return records.withColumn("_n", F.row_number().over(latest)).where("_n <= 1").drop("_n")
 
 
-def known_only(perturbed: DataFrame, queries: DataFrame, hot: list | None = None) -> DataFrame:
+def known_only(perturbed: DataFrame, queries: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Perturbed rows of queries that the clean side knows."""
     return split_hot_join(
         perturbed, queries.select("query_idx").distinct(), ["query_idx"], "query_idx", "left_semi", hot=hot
@@ -60,7 +60,7 @@ def first_occurrence(candidates: DataFrame) -> DataFrame:
 
 def build_pool(
     clean: DataFrame, perturbed: DataFrame, queries: DataFrame, max_per_query: int = 0,
-    hot: list | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """(query_idx, pool_rank, doc_key, passage_idx, text, score, src, pert_idx, rank).
 
@@ -99,6 +99,6 @@ def nest_pool(queries: DataFrame, pool: DataFrame, part: int = LIST_PART) -> Dat
     )
 
 
-def hot_queries(candidates: DataFrame) -> list:
+def hot_queries(candidates: DataFrame) -> HotKeys:
     """Queries that hold a large share of the candidates."""
-    return hot_values(candidates, "query_idx")
+    return hot_keys(candidates, "query_idx")

@@ -92,7 +92,9 @@ def sample_beliefs(
 
     picks = F.array(*[F.struct(F.lit(j).alias("j"), place(n).alias("pos")) for j, n in enumerate(names)])
     rows = drawn.select("query_idx", F.explode(picks).alias("_p")).select("query_idx", "_p.j", "_p.pos")
-    found = rows.join(numbered.select(F.col("_pos").alias("pos"), "belief"), "pos", "left")
+    # Draws that the pool is too small for have no number; they do not meet in a join.
+    drawn_ones = rows.where("pos IS NOT NULL").join(numbered.select(F.col("_pos").alias("pos"), "belief"), "pos", "left")
+    found = drawn_ones.unionByName(rows.where("pos IS NULL").withColumn("belief", F.lit(None).cast("string")))
     lists = found.groupBy("query_idx").agg(
         F.array_sort(F.collect_list(F.struct("j", "belief"))).alias("_all")  # k entries
     )

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ordinal import ordinal_in_group
+from .skew import HotKeys, hot_keys, split_hot_join
 
 SCORE_PLACES = 6
 # Queries sent to every task as one matrix must fit in this many bytes, together
@@ -231,7 +232,7 @@ def recall(found: DataFrame, exact: DataFrame, keys: list[str] | None = None) ->
 
 def with_text(hits: DataFrame, passages: DataFrame) -> DataFrame:
     """Brings the text to the hits. Hits without a passage drop out; ranks stay."""
-    return hits.join(passages.select("passage_idx", "text"), "passage_idx")
+    return split_hot_join(hits, passages.select("passage_idx", "text"), ["passage_idx"], "passage_idx")
 
 
 def nest_hits(hits: DataFrame, keys: list[str] | None = None, queries: DataFrame | None = None) -> DataFrame:
@@ -249,7 +250,7 @@ def nest_hits(hits: DataFrame, keys: list[str] | None = None, queries: DataFrame
     return whole.withColumn("candidates", F.coalesce("candidates", none))
 
 
-def pert_ordinals(flat: DataFrame, hot: list | None = None) -> DataFrame:
+def pert_ordinals(flat: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Adds `pert_idx`, the place of a rewrite inside its query by slot."""
     return ordinal_in_group(flat, ["query_idx"], [F.col("slot_idx")], "pert_idx", hot)
 
@@ -257,9 +258,10 @@ def pert_ordinals(flat: DataFrame, hot: list | None = None) -> DataFrame:
 def rescore(hits: DataFrame, scoring: DataFrame, passages: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Hits found with one query vector, scored with another (`scoring` holds keys, embedding)."""
     on = keys or ["query_idx", "pert_idx"]
-    pairs = hits.join(scoring.select(*on, F.col("embedding").alias("_q")), on).join(
-        passages.select("passage_idx", F.col("embedding").alias("_p")), "passage_idx"
-    )
+    asked = hits.join(scoring.select(*on, F.col("embedding").alias("_q")), on)
+    # A passage that many queries hit is a hot key; its hits are counted before vectors come to them.
+    hot = hot_keys(hits, "passage_idx")
+    pairs = split_hot_join(asked, passages.select("passage_idx", F.col("embedding").alias("_p")), ["passage_idx"], "passage_idx", hot=hot)
     products = F.zip_with("_q", "_p", lambda a, b: a.cast("double") * b.cast("double"))
     dot = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
     return pairs.withColumn("scoring_score", F.round(dot, SCORE_PLACES)).drop("_q", "_p")

@@ -32,10 +32,14 @@ def test_running_start(spark, parts):
     assert got == expected
 
 
+def hot_table(spark, keys):
+    return skew.HotKeys(spark.createDataFrame([(k, 3) for k in keys], "key int, salts int") if keys else None)
+
+
 @pytest.mark.parametrize("parts", [1, 3, 16])
-@pytest.mark.parametrize("hot", [None, [], [1], list(range(1, 60))])
-def test_ordinal_in_group(spark, parts, hot):
-    data = rows()
+@pytest.mark.parametrize("keys", [None, [], [1], list(range(1, 60))])
+def test_ordinal_in_group(spark, parts, keys):
+    data, hot = rows(), None if keys is None else hot_table(spark, keys)
     df = spark.createDataFrame(data, "g int, k int, w int").repartition(parts)
     got = {r["k"]: r["position"] for r in ordinal.ordinal_in_group(df, ["g"], [F.col("k")], hot=hot).collect()}
     seen, expected = {}, {}
@@ -47,14 +51,25 @@ def test_ordinal_in_group(spark, parts, hot):
 
 def test_one_group_over_many_ranges(spark):
     df = spark.range(5000).withColumn("g", F.lit(1)).repartition(7)
-    got = ordinal.ordinal_in_group(df, ["g"], [F.col("id")], hot=[1]).where("id != position").count()
+    got = ordinal.ordinal_in_group(df, ["g"], [F.col("id")], hot=hot_table(spark, [1])).where("id != position").count()
     assert got == 0
 
 
-def test_hot_values_are_exact(spark):
-    df = spark.createDataFrame([(1,)] * 50 + [(i,) for i in range(2, 52)], "k int")
-    assert skew.hot_values(df, "k", 0.3) == [1]
-    assert skew.hot_values(df, "k", 0.6) == []
+def test_hot_keys_are_exact(spark):
+    df = spark.createDataFrame([(1,)] * 50 + [(i,) for i in range(2, 52)] + [(None,)] * 40, "k int")
+    assert skew.hot_keys(df, "k", 0.3).table.collect() == [(1, 2)]
+    assert skew.hot_keys(df, "k", 0.05).table.collect() == [(1, 8)]
+    assert skew.hot_keys(df, "k", 0.6).table is None
+    assert skew.hot_keys(df.where("false"), "k").table is None
+
+
+def test_a_hundred_thousand_hot_keys(spark):
+    big = spark.range(400_000).select((F.col("id") % 100_000).alias("g"), F.col("id").alias("v"))
+    hot = skew.hot_keys(big, "g", share=1e-5)
+    assert hot.table.count() == 100_000
+    small = spark.range(0, 200_000, 2).select(F.col("id").alias("g"), (-F.col("id")).alias("w"))
+    out = skew.split_hot_join(big, small, ["g"], "g", hot=hot)
+    assert out.agg(F.count(F.lit(1)), F.sum("v"), F.sum("w")).first() == big.join(small, "g").agg(F.count(F.lit(1)), F.sum("v"), F.sum("w")).first()
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
@@ -68,9 +83,14 @@ def test_split_join_equals_plain_join(spark, how):
 
 def test_hot_rows_spread_over_tasks(spark):
     big = spark.range(10_000).withColumn("g", F.lit(1))
-    small = spark.createDataFrame([(1, "a")], "g int, v string").hint("shuffle_hash")
-    joined = skew.split_hot_join(big, small, ["g"], "g")
-    per_task = joined.groupBy(F.spark_partition_id()).count().collect()
+    small = spark.createDataFrame([(1, "a")], "g int, v string")
+    # Both sides are small enough to be broadcast here; at scale they are not.
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        per_task = skew.split_hot_join(big, small, ["g"], "g").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert len(per_task) > 1 and max(r["count"] for r in per_task) < 6_000
 
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from steadfetch.operators import groups, marking, pool, splits
+from steadfetch.operators import groups, marking, pool, skew, splits
 from steadfetch.plans import catalog, pool_queries, ranking_queries  # noqa: F401
 
 CAND = "query_idx bigint, rank bigint, passage_idx bigint, idx bigint, text string, score double"
@@ -29,8 +29,10 @@ def asked(spark):
 
 
 @pytest.mark.parametrize("cap", [0, 2, 5])
-@pytest.mark.parametrize("hot", [None, [], [1]])
-def test_first_occurrence_wins(spark, cap, hot):
+@pytest.mark.parametrize("keys", [None, [], [1]])
+def test_first_occurrence_wins(spark, cap, keys):
+    table = spark.createDataFrame([(k, 2) for k in keys], "key bigint, salts int") if keys else None
+    hot = None if keys is None else skew.HotKeys(table)
     got = pool.build_pool(clean(spark), perturbed(spark), asked(spark), cap, hot)
     mine = [(r["pool_rank"], r["text"], r["score"]) for r in got.where("query_idx = 1").orderBy("pool_rank").collect()]
     whole = [(0, "a", 0.9), (1, "b", 0.0), (2, "c", 0.5), (3, "d", 0.7), (4, "a", 0.6)]

@@ -1,9 +1,6 @@
 """Every registered query against its SQL at the smallest scale, and the registry's rules."""
 
 import math
-import os
-import subprocess
-import sys
 
 import duckdb
 import pandas as pd
@@ -64,12 +61,3 @@ def test_entry(spark):
     out = registry.entry(spark)
     assert out.columns == ["query_idx", "n_docs", "n_robust", "n_misleading", "mean_robustness"]
     assert out.count() == 500
-
-
-@pytest.mark.parametrize("name, starts, n", [("xxhash", False, 0), ("corpus_pipeline", True, 10), ("steadfetch.llm", True, 0)])
-def test_only_the_training_subpackage_may_be_missing(name, starts, n):
-    code = f"import sys; sys.modules[{name!r}] = None; import __spark_entry__ as e; print(sum(q.startswith('op') or q == 'pipeline' for q in e.queries()))"
-    folder = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    done = subprocess.run([sys.executable, "-c", code], cwd=folder, capture_output=True, text=True)
-    assert (done.returncode == 0) == starts
-    assert not starts or int(done.stdout) == n
