@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,3 +57,14 @@ def hashable(df: DataFrame, column: str = ROW) -> Column:
     fields = df.schema[column].dataType.fields
     usable = [f"{column}.{f.name}" for f in fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
     return F.xxhash64(*[F.col(c) for c in usable])
+
+
+def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; free memory goes back to the system after each, as workers live on after a stage."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if trim is not None:
+            trim(0)

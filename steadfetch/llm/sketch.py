@@ -8,8 +8,10 @@ import pyarrow.compute as pc
 import xxhash
 
 SHINGLE = 5
-BANDS, ROWS = 32, 5
-REGISTERS = BANDS * ROWS
+REGISTERS = 160
+BANDS, ROWS = 64, 7
+# Bits of a register that the short signature keeps.
+SHORT_BITS = 2
 
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) + 2 * k) & 0xFFFFFFFFFFFFFFFF | 1 for k in range(8)], np.uint64)
 
@@ -23,6 +25,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _places() -> np.ndarray:
+    """Which registers each band reads: shuffled registers cut in runs, shuffled anew when used up, so all are read as often."""
+    runs = REGISTERS // ROWS
+    with np.errstate(over="ignore"):
+        draws = _mix(np.arange(1, -(-BANDS // runs) * REGISTERS + 1, dtype=np.uint64) * _ODD[6]).reshape(-1, REGISTERS)
+    shuffled = np.argsort(draws, axis=1, kind="stable")
+    return shuffled[:, : runs * ROWS].reshape(-1, ROWS)[:BANDS]
+
+
+PLACES = _places()
+
+
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, shingle hash, times) of every distinct shingle, sorted by document and hash.
 
@@ -100,22 +114,37 @@ def signatures(doc: np.ndarray, value: np.ndarray, weight: np.ndarray, docs: int
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
     """One 64-bit key per band of registers; equal in two documents that agree in all of the band."""
-    docs = len(signature)
-    rows = signature.reshape(docs, BANDS, ROWS)
     with np.errstate(over="ignore"):
-        mixed = (_mix(rows + np.arange(1, ROWS + 1, dtype=np.uint64)) * _ODD[:ROWS]).sum(axis=2, dtype=np.uint64)
-        return _mix(mixed + np.arange(BANDS, dtype=np.uint64) * _ODD[5]).view(np.int64)
+        mixed = np.zeros((len(signature), BANDS), np.uint64)
+        for k in range(ROWS):
+            mixed += _mix(signature[:, PLACES[:, k]] + np.uint64(k + 1)) * _ODD[k]
+        return _mix(mixed + np.arange(BANDS, dtype=np.uint64) * _ODD[7]).view(np.int64)
 
 
 def short_signature(signature: np.ndarray) -> np.ndarray:
-    """One byte per register."""
-    return (_mix(signature) & np.uint64(0xFF)).astype(np.uint8)
+    """Two bits per register, 32 registers to a 64-bit number."""
+    bits = (_mix(signature) & np.uint64((1 << SHORT_BITS) - 1)).reshape(len(signature), -1, 64 // SHORT_BITS)
+    return (bits << np.arange(0, 64, SHORT_BITS, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
 
 
 def estimate(one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Similarity of signature rows of one byte; the chance that bytes agree by accident is taken off."""
-    agree = (one == other).mean(axis=1)
-    return (agree - 1 / 256) / (1 - 1 / 256)
+    """Similarity by short signatures; the chance that bits agree by accident is taken off."""
+    differ = one ^ other
+    differ = (differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)
+    agree = 1 - np.bitwise_count(differ).sum(axis=1) / REGISTERS
+    by_chance = 0.5**SHORT_BITS
+    return (agree - by_chance) / (1 - by_chance)
+
+
+def likely(one: np.ndarray, other: np.ndarray, least: float) -> np.ndarray:
+    """Whether rows of (weighted, plain) short signatures allow a similarity of `least`.
+
+    Five standard errors of slack: a pair at the bound is lost once in millions.
+    """
+    share = least + (1 - least) * 0.5**SHORT_BITS
+    slack = 5 * np.sqrt(share * (1 - share) / REGISTERS) / (1 - 0.5**SHORT_BITS)
+    half = one.shape[1] // 2
+    return np.maximum(estimate(one[:, :half], other[:, :half]), estimate(one[:, half:], other[:, half:])) >= least - slack
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
