@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .frames import pack
+from .frames import pack, tidied
 from .tokens import encoder, slices
 
 # Lengths are summed in bands of this width, and the bands among themselves.
@@ -24,7 +24,7 @@ def encoded_lengths(docs: DataFrame, path: str, text: str = "text") -> DataFrame
     a length that many documents share is one row per slice.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             for begin, end in slices(batch.column(0)):
                 _, bounds = encoder(path).batch(batch.column(0).slice(begin, end - begin))
                 length, docs = np.unique(np.diff(bounds), return_counts=True)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordinal import dense_ordinal
 from ..session import settle
-from .frames import pack, unpack
+from .frames import pack, tidied, unpack
 from .tokens import encoder, slices
 
 LENGTH = 4096
@@ -34,7 +34,7 @@ def tokenise(
     schema = f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, ids binary"
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             for begin, end in slices(batch.column(1)):
                 part = batch.slice(begin, end - begin)
                 ids, bounds = encoder(path).batch(part.column(1))

@@ -23,11 +23,11 @@ import pyarrow.compute as pc
 _PLAIN = re.compile("[A-Za-z0-9À-ÖØ-öø-ÿ!-/:-@\\[-`{-~]+")
 _MARKS = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-z0-9ß-öø-ÿ]+")
 # Cached words; beyond that the cache starts anew.
-MOST_CACHED = 3 << 18
+MOST_CACHED = 1 << 18
 # New words that are encoded as one text.
 TOGETHER = 4096
 # Texts are encoded in slices of at most this many, and about as many bytes.
-SLICE_DOCS, SLICE_BYTES = 8192, 1 << 24
+SLICE_DOCS, SLICE_BYTES = 8192, 1 << 22
 
 
 def slices(texts: pa.Array, docs: int = SLICE_DOCS, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
