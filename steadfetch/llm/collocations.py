@@ -19,16 +19,16 @@ from pyspark.sql import functions as F
 
 from ..operators.ordinal import dense_ordinal
 from ..session import settle
-from .frames import pack
+from .frames import pack, tidied
 
-# Side of a tile: a dense tile of counts takes 8 MB.
-TILE = 1024
+# Side of a tile: a dense tile of counts takes 32 MB.
+TILE = 2048
 # Slices are cut at about this many bytes of text of one language.
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 22
 # Partial counts of a tile that one task adds up in a round.
-FAN_IN = 128
+FAN_IN = 512
 # Cells that wait to be added, and the share of a tile from which they are added densely.
-WAITING, DENSE = 1 << 21, 1 / 16
+WAITING, DENSE = 1 << 20, 1 / 16
 
 _NO = -1
 # Capital ASCII letters become small; what ends a piece becomes a line end, a tab a space.
@@ -60,7 +60,7 @@ def pieces_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to slices: the different words by falling count, their counts, and codes with -1 between pieces."""
     number = TaskContext.get().partitionId() << 33
-    for batch in batches:
+    for batch in tidied(batches):
         langs = batch.column(0).dictionary_encode()
         for code, lang in enumerate(langs.dictionary.to_pylist()):
             texts = batch.column(1).filter(pc.equal(langs.indices, code))
@@ -152,7 +152,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterato
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices to tiles of their pairs of words."""
-    for batch in batches:
+    for batch in tidied(batches):
         for k in range(batch.num_rows):
             own = _Slice(batch["codes"][k].as_py(), batch["at"][k].values.to_numpy(), batch["ids"][k].values.to_numpy())
             yield _tiles(batch["slice"][k].as_py(), *own.pairs())
@@ -171,42 +171,44 @@ class _Sum:
     def add(self, cells: np.ndarray, counts: np.ndarray) -> None:
         self.waiting.append((cells, counts))
         self.size += len(cells)
-        if self.size > WAITING and len(self.waiting) > 1:
-            self.settle()
-
-    def settle(self) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.waiting) > 1:
-            cells, counts = (np.concatenate([w[k] for w in self.waiting]) for k in (0, 1))
-            if len(cells) >= TILE * TILE * DENSE:
-                # Sums of whole numbers below 2^53 are exact.
-                dense = np.bincount(cells, weights=counts, minlength=TILE * TILE)
-                cells = np.flatnonzero(dense).astype(np.int32)
-                counts = dense[cells].astype(np.int64)
-            else:
-                order = np.argsort(cells, kind="stable")
-                begins = _runs([cells[order]])
-                cells, counts = cells[order][begins], np.add.reduceat(counts[order], begins) if len(begins) else counts
-            self.waiting = [(cells, counts)]
-        self.size = len(self.waiting[0][0])
-        return self.waiting[0]
-
-
-def _added(least: int):
-    """Tile rows sorted by (ti, tj, part) to one row each; cells below `least` are left out."""
+        if self.size > WAITING:
+            self.waiting = [self.total()]
+            # What has been added once takes no more than a tile.
+            self.size = 0
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        cells, counts = (np.concatenate([w[k] for w in self.waiting]) for k in (0, 1))
+        if len(cells) >= TILE * TILE * DENSE:
+            # Sums of whole numbers below 2^53 are exact.
+            dense = np.bincount(cells, weights=counts, minlength=TILE * TILE)
+            cells = np.flatnonzero(dense).astype(np.int32)
+            return cells, dense[cells].astype(np.int64)
+        order = np.argsort(cells, kind="stable")
+        begins = _runs([cells[order]])
+        return cells[order][begins], np.add.reduceat(counts[order], begins) if len(begins) else counts
+
+
+def _added(least: int | None):
+    """Tile rows sorted by (ti, tj, part) to one row each, or to (one, other, a) of the pairs that occur `least` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, _Sum()
 
         def row() -> pa.RecordBatch:
-            cells, counts = total.settle()
-            cells, counts = cells[counts >= least], counts[counts >= least]
-            columns = [pa.array([v]) for v in (now[2], now[0], now[1])]
+            cells, counts = total.total()
+            ti, tj, part = now
+            if least is None:
+                return pa.RecordBatch.from_arrays(
+                    [pa.array([part]), pa.array([ti]), pa.array([tj]), pa.array([cells.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())],
+                    names=["slice", "ti", "tj", "cells", "counts"],
+                )
+            often = counts >= least
+            cells, counts = cells[often].astype(np.int64), counts[often]
             return pa.RecordBatch.from_arrays(
-                [*columns, pa.array([cells.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())],
-                names=["slice", "ti", "tj", "cells", "counts"],
+                [pa.array(ti * TILE + cells // TILE), pa.array(tj * TILE + cells % TILE), pa.array(counts)], names=["one", "other", "a"]
             )
 
-        for key, stretch in _grouped(batches, ("ti", "tj", "part")):
+        for key, stretch in _grouped(tidied(batches), ("ti", "tj", "part")):
             if key != now:
                 if now is not None:
                     yield row()
@@ -218,16 +220,6 @@ def _added(least: int):
     return run
 
 
-def _cells_to_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            cells = np.frombuffer(batch["cells"][k].as_py(), np.int32).astype(np.int64)
-            columns = [batch["ti"][k].as_py() * TILE + cells // TILE, batch["tj"][k].as_py() * TILE + cells % TILE]
-            yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, columns), pa.array(np.frombuffer(batch["counts"][k].as_py(), np.int64))], names=["one", "other", "a"]
-            )
-
-
 def _counted(tiles: DataFrame, slices: int, least: int) -> DataFrame:
     """(one, other, a) of all pairs that occur `least` times: rounds add up FAN_IN rows of a tile each."""
     groups, part = slices, F.col("part")
@@ -236,11 +228,10 @@ def _counted(tiles: DataFrame, slices: int, least: int) -> DataFrame:
         # Slices are numbered from 0 by `part`, then groups of them.
         dealt = tiles.withColumn("part", F.floor(part / FAN_IN).cast("bigint"))
         dealt = dealt.repartition("ti", "tj", "part").sortWithinPartitions("ti", "tj", "part")
-        last = groups <= 1
-        tiles = dealt.drop("slice").select("ti", "tj", "part", "cells", "counts").mapInArrow(_added(least if last else 1), _TILE_ROW)
-        if last:
-            return settle(tiles.mapInArrow(_cells_to_rows, "one bigint, other bigint, a bigint"))
-        tiles = settle(tiles.withColumnRenamed("slice", "part"))
+        dealt = dealt.select("ti", "tj", "part", "cells", "counts")
+        if groups <= 1:
+            return settle(dealt.mapInArrow(_added(least), "one bigint, other bigint, a bigint"))
+        tiles = settle(dealt.mapInArrow(_added(None), _TILE_ROW)).withColumnRenamed("slice", "part")
         part = F.col("part")
 
 
@@ -250,7 +241,7 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Slices get back the cells that are frequent, with their numbers.
     """
     now, names = None, None
-    for key, stretch in _grouped(batches, ("ti", "tj", "part", "kind")):
+    for key, stretch in _grouped(tidied(batches), ("ti", "tj", "part", "kind")):
         if key[:3] != now:
             now, names = key[:3], None
         if key[3] == 0:
@@ -298,7 +289,7 @@ def _tripled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.diff(np.append(begins, len(triple)))
         return _tiles(now, value[triple[begins] // width], own.numbers[triple[begins] % width], counts)
 
-    for (slice_, kind), stretch in _grouped(batches, ("slice", "kind")):
+    for (slice_, kind), stretch in _grouped(tidied(batches), ("slice", "kind")):
         if slice_ != now:
             if own is not None and pairs:
                 yield tiles()
@@ -377,6 +368,13 @@ def _cells_by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         ], names=["slice", "ti", "tj", "cells", "counts"])
 
 
+def score(a: str, l: str, r: str):  # noqa: E741
+    """floor(10^6 a^2 / (l r)) of three counts, exact: products have 38 digits."""
+    wide = lambda c: f"CAST({c} AS decimal(19,0))"
+    # A square of 14 digits at most, a million times it, and a product fit 38 digits each.
+    return F.expr(f"CAST({wide(a)} * {wide(a)} AS decimal(31,0)) * CAST(1000000 AS decimal(7,0)) DIV ({wide(l)} * {wide(r)})")
+
+
 def mine(
     docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 10, covered: int = 50, top: int = 2000
 ) -> DataFrame:
@@ -390,9 +388,6 @@ def mine(
     again; other columns play no part. No words, no rows.
     """
     totals, words, pairs, triples = phrases(docs, text, lang, least)
-    score = lambda a, l, r: F.expr(
-        f"(CAST({a} AS decimal(19,0)) * CAST({a} AS decimal(19,0)) * CAST(1000000 AS decimal(7,0))) DIV (CAST({l} AS decimal(19,0)) * CAST({r} AS decimal(19,0)))"
-    )
     named = triples.join(pairs.select("pair_id", "lang", "one", F.col("other").alias("mid"), "w1", "w2", F.col("f1"), F.col("a").alias("a1")), "pair_id")
     second = pairs.select(F.col("one").alias("mid"), F.col("other").alias("id"), F.col("w2").alias("w3"), F.col("f2").alias("f3"), F.col("a").alias("a2"), F.col("pair_id").alias("second"))
     three = settle(named.join(second, ["mid", "id"]))
