@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from ..operators.ordinal import dense_ordinal
 from ..session import settle
 from .fmindex import Index
-from .frames import pack, position, unpack
+from .frames import pack, position, tidied, unpack
 
 WINDOW = 10
 # A shard is indexed once it has this many words; a document of more words is cut into overlapping parts.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 # Phrases that are searched together, and blocks of them that are broadcast together: about 40 MB at most.
 BLOCK_PHRASES, BLOCKS_AT_ONCE = 8192, 64
 
@@ -62,7 +62,7 @@ def _indexed(window: int, shard_words: int):
         base = TaskContext.get().partitionId() << 33
         held: list[tuple] = []
         words = done = 0
-        for batch in batches:
+        for batch in tidied(batches):
             # A slice holds a bounded number of documents and, but for one very long text, of bytes.
             for begin, end in _slices(batch.column(1)):
                 flat, lengths = split_words(batch.column(1)[begin:end])
@@ -167,7 +167,7 @@ def _searched(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, block = None, None
-        for batch in batches:
+        for batch in tidied(batches):
             for k in range(batch.num_rows):
                 row = {name: batch.column(name)[k] for name in batch.schema.names}
                 if last != row["block"].as_py():
@@ -317,12 +317,12 @@ def cleaned(docs: DataFrame, found: DataFrame, text: str = "text", doc_id: str =
 
     `found` is what `find` says of the same rows. Texts without hits, nulls too, stay as they are.
     """
-    word = re.compile(_PATTERN)
+    word, small = re.compile(_PATTERN), str.maketrans(_CAPITALS, _SMALL)
 
     @F.udf("string")
     def cut(value: str, spans: list) -> str:
         # Few documents have spans; those that have none do not reach this function.
-        places = [m.span() for m in word.finditer(value)]
+        places = [m.span() for m in word.finditer(value.translate(small))]
         out, kept = [], 0
         for span in spans:
             out.append(value[kept : places[span["start"]][0]])
