@@ -88,6 +88,8 @@ def answer(gated: DataFrame, generator: BatchFn | None = None, concurrency: int
     if generator is None:
         said = lexical_reply(F.col("context"), F.col("golds"))
         return gated.withColumn("answer", F.when(F.col("abstained"), ABSTAIN_TEXT).otherwise(said))
+    # A critic that is not exactly repeatable must not put a query on both sides, or on neither.
+    gated = settle(gated)
     quiet = gated.where("abstained").withColumn("answer", F.lit(ABSTAIN_TEXT))
     user = prompts.fill(ANSWER_MESSAGE, evidence=evidence(F.col("context")), q=F.col("query"))
     asked = gated.where(~F.col("abstained")).withColumn(
@@ -290,8 +292,11 @@ def final_answers(answered: DataFrame, gamma: float, by: list[str] | None = None
 
 
 def answer_table(answered: DataFrame, methods: list[str]) -> DataFrame:
-    """One row per (dataset, query): golds, and answer and confidence of each method."""
-    aggs = []
+    """One row per (dataset, query): its text (`query`) and golds, and answer and confidence of each method.
+
+    Text and golds are one query's, whatever methods answered it.
+    """
+    aggs = [F.max("query").alias("query")] if "query" in answered.columns else []
     for m in methods:
         mine = F.col("method") == m
         aggs += [

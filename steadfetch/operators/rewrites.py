@@ -62,7 +62,8 @@ def assemble(rows: DataFrame, note_prefix: str | None = None, end_mark: bool = T
 
     An empty output falls back to the question. `end_mark` closes types 1 and 2 with a
     question mark and makes that sentence the rewrite text; `note_prefix` stands between
-    the question and a distraction.
+    the question and a distraction. `is_fallback` says that the generator gave up (false where
+    the rows do not say).
     """
     out = F.coalesce("output", F.lit(""))
     question, ptype = F.col("question"), F.col("ptype")
@@ -81,6 +82,7 @@ def assemble(rows: DataFrame, note_prefix: str | None = None, end_mark: bool = T
         F.when(ptype == 2, F.col("t2_variant")).alias("t2_variant"),
         F.when(ptype == 3, F.col("topic")).alias("topic"),
         (out == "").alias("is_empty"),
+        (F.coalesce("is_fallback", F.lit(False)) if "is_fallback" in rows.columns else F.lit(False)).alias("is_fallback"),
     )
 
 
@@ -125,6 +127,7 @@ def quality(flat: DataFrame) -> DataFrame:
         F.count_if(testable).alias("n_testable"),
         F.count_if(leaked).alias("n_leaks"),
         F.count_if(F.col("is_empty")).alias("n_empty"),
+        F.count_if(F.col("is_fallback")).alias("n_fallback"),
         F.count_if(F.col("perturbed_query") == question).alias("n_as_question"),
     )
 

@@ -451,10 +451,12 @@ def end_to_end(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("i17_answer_table", with_ctes(
-    f"SELECT dataset, query_id, max(CASE WHEN method = 'O' THEN a END) AS \"answer_O\", max(CASE WHEN method = 'F' THEN a END) AS \"answer_F\", "
+    "SELECT dataset, query_id, 'which part is in order ' || query_id AS query, max(array_to_string(golds, '|')) AS golds, "
+    f"max(CASE WHEN method = 'O' THEN a END) AS \"answer_O\", max(CASE WHEN method = 'F' THEN a END) AS \"answer_F\", "
     "round(max(CASE WHEN method = 'O' THEN confidence END), 9) AS \"confidence_O\", round(max(CASE WHEN method = 'F' THEN confidence END), 9) AS \"confidence_F\" "
     f"FROM (SELECT *, CASE WHEN confidence >= {GAMMA} THEN answer ELSE 'Abstain: Insufficient reliable evidence' END AS a FROM judged) GROUP BY dataset, query_id",
     ANSWERED))
 def answer_table(spark: SparkSession, folder: str) -> DataFrame:
     rows = ev.final_answers(judged(spark, folder), GAMMA)
-    return nine(ev.answer_table(rows, ["O", "F"]).drop("golds"), "confidence_O", "confidence_F")
+    out = ev.answer_table(rows, ["O", "F"])
+    return nine(out.withColumn("golds", F.array_join("golds", "|")), "confidence_O", "confidence_F")

@@ -12,6 +12,7 @@ from ..functions import prompts, text
 from ..functions.fixed import HEDGE_WORDS, TOPICS
 from ..functions.hashing import stable_hash
 from ..operators import queryset, rewrites
+from ..session import settle
 from ..sources.tables import given, spread
 from .catalog import query, sql_hash, sql_text, with_ctes
 
@@ -515,7 +516,7 @@ def flattened_rewrites(spark: SparkSession, folder: str) -> DataFrame:
 @query("e14_quality_counters", with_ctes(
     "SELECT count(*) AS n_rows, count(*) FILTER (testable) AS n_testable, "
     "count(*) FILTER (testable AND regexp_matches(lower(output), '\\b' || regexp_escape(lower(correct_answer)) || '\\b')) AS n_leaks, "
-    "count(*) FILTER (output = '') AS n_empty, count(*) FILTER (ptype <> 3 AND output = question) AS n_as_question "
+    "count(*) FILTER (output = '') AS n_empty, 0::BIGINT AS n_fallback, count(*) FILTER (ptype <> 3 AND output = question) AS n_as_question "
     "FROM (SELECT *, length(correct_answer) > 3 AND NOT contains(lower(question), lower(correct_answer)) AS testable FROM outputs)",
     *FIRST))
 def quality_counters(spark: SparkSession, folder: str) -> DataFrame:
@@ -523,6 +524,26 @@ def quality_counters(spark: SparkSession, folder: str) -> DataFrame:
     return rewrites.quality(rows)
 
 
+# The generator that always leaks when a slot's third digit is 0: its tasks fall back after all rounds.
+@query("e14_fallbacks", with_ctes(
+    "SELECT ptype::BIGINT AS perturbation_type, count(*) AS n_rows, count(*) FILTER (is_fallback OR stubborn) AS n_fallback, "
+    "count(*) FILTER (is_fallback OR stubborn OR output = '') AS n_empty FROM "
+    "(SELECT *, query_idx % 10 = 3 AS stubborn FROM generated) GROUP BY ptype", *ATTEMPTS))
+def fallbacks(spark: SparkSession, folder: str) -> DataFrame:
+    """Counters per type, with a generator that never answers every tenth question."""
+    def silent(batch: pd.DataFrame) -> pd.Series:
+        said = stand_in_generator(batch)
+        return said.where((batch["query_idx"] % 10 != 3).to_numpy(), None)
+
+    rows = rewrites.assemble(rewrites.generate(tasks(spark, folder), silent), end_mark=False)
+    rows = settle(rows)
+    parts = [
+        rewrites.quality(rows.where(F.col("perturbation_type") == t)).select(F.lit(t).cast("bigint").alias("perturbation_type"), "n_rows", "n_fallback", "n_empty")
+        for t in (1, 2, 3)
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("e15_balanced_test_queries", with_ctes(
     "SELECT query_idx, coalesce(min(CASE WHEN perturbation_type = 1 + query_idx % 3 THEN perturbed_query END) FILTER "
     "(slot_idx = first_slot), arg_min(perturbed_query, slot_idx)) AS query FROM (SELECT *, min(CASE WHEN "

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import groups
-from ..session import scratch_path
+from ..session import scratch_path, settle
 from ..sources import jsonl, publish, schemas, tables
 from ..sources.tables import given
 from .catalog import query, with_ctes
@@ -76,9 +76,8 @@ def hosted_exports(spark: SparkSession, folder: str) -> DataFrame:
     best_path = scratch_path(spark, "truthful")
     best.write.parquet(best_path)
     loaded = tables.export(spark, best_path, schemas.TRUTHFUL)
-    golds = tables.truthful_queries(loaded).select("question", F.array_join("golds", "|").alias("golds"))
-    ids = loaded.select("query_idx", "question")
-    truthful = ids.join(golds, "question").select("query_idx", "question", "golds", F.lit("truthful").alias("source"))
+    golds = F.array_join("golds", "|").alias("golds")
+    truthful = tables.truthful_queries(loaded, "query_idx").select("query_idx", "question", golds, F.lit("truthful").alias("source"))
     return qa.unionByName(truthful)
 
 
@@ -100,6 +99,28 @@ def verified_publish(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("a10_failed_publish", """
+SELECT l_returnflag, count(*) AS n_rows, round(sum(l_extendedprice), 2) AS price FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1
+UNION ALL SELECT 'failed', count(*), 0.0 FROM lineitem WHERE l_returnflag = 'R'""")
+def failed_publish(spark: SparkSession, folder: str) -> DataFrame:
+    """A table that a failed replacement leaves alone (counted as it stood then), and that grows by an append."""
+    items, path = given(spark, folder, "lineitem"), scratch_path(spark, "published")
+    publish.publish(items.where("l_returnflag = 'R'"), path)
+
+    def no_returns(staged: DataFrame) -> None:
+        if not staged.where("l_returnflag = 'N'").isEmpty():
+            raise ValueError("not returned")
+
+    try:
+        publish.publish(items, path, "overwrite", no_returns)
+        raise AssertionError("the check let the table pass")
+    except ValueError:
+        left = settle(spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows")))
+    table = publish.publish(items.where("l_returnflag = 'A'"), path, "append", no_returns)
+    sums = table.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
+    return sums.unionByName(left.select(F.lit("failed").alias("l_returnflag"), "n_rows", F.lit(0.0).alias("price")))
+
+
 @query("a11_remaining_work",
        "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def remaining_work(spark: SparkSession, folder: str) -> DataFrame:

@@ -84,10 +84,14 @@ def qa_queries(rows: DataFrame, ordinal: str, source: str) -> DataFrame:
     )
 
 
-def truthful_queries(rows: DataFrame) -> DataFrame:
-    """(question, golds): all correct answers, else the best one."""
-    golds = F.coalesce("correct_answers", F.array("best_answer"))
-    return rows.select("question", golds.alias("golds"))
+def truthful_queries(rows: DataFrame, ordinal: str | None = None) -> DataFrame:
+    """(query_idx, question, golds): all correct answers, else the best one.
+
+    `ordinal` names the export's id; without one the question is all that tells rows apart.
+    """
+    golds = F.coalesce("correct_answers", F.array("best_answer")).alias("golds")
+    own = [] if ordinal is None else [F.col(ordinal).alias("query_idx")]
+    return rows.select(*own, "question", golds)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

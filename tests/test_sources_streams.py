@@ -47,6 +47,32 @@ def test_published_table_is_checked(spark):
         publish.publish(spark.range(1), path)
 
 
+def test_a_failed_publish_leaves_the_old_table(spark):
+    path = scratch_path(spark, "t")
+    publish.publish(spark.range(10), path)
+
+    def refuse(table):
+        assert table.count() == 3
+        raise ValueError("refused")
+
+    for mode in ("overwrite", "append"):
+        with pytest.raises(ValueError, match="refused"):
+            publish.publish(spark.range(3), path, mode, refuse)
+        assert spark.read.parquet(path).count() == 10
+    assert publish.publish(spark.range(20, 25), path, "append").count() == 15
+    assert publish.publish(spark.range(7), path, "overwrite").count() == 7
+    assert publish.publish(spark.range(0), scratch_path(spark, "none"), "append").count() == 0
+    parent, name = path.rsplit("/", 1)
+    left = spark._jvm.org.apache.hadoop.fs.Path(parent)
+    entries = left.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(left)
+    assert [e.getPath().getName() for e in entries] == [name]
+
+
+def test_ids_of_truthfulness_questions_stay(spark):
+    rows = spark.createDataFrame([(1, "q", "b", ["x"]), (2, "q", "y", None)], "n int, question string, best_answer string, correct_answers array<string>")
+    assert sorted(map(tuple, tables.truthful_queries(rows, "n").collect())) == [(1, "q", ["x"]), (2, "q", ["y"])]
+
+
 def test_remaining_work_goes_by_key(spark):
     done = spark.createDataFrame([(5,), (7,), (7,)], "id bigint")
     assert sorted(r[0] for r in publish.remaining(spark.range(9), done, ["id"]).collect()) == [0, 1, 2, 3, 4, 6, 8]
