@@ -21,6 +21,13 @@ def as_stream(spark: SparkSession, rows: DataFrame, name: str, per_trigger: int
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
+def mark_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return marking_pairs(spark, folder).withColumns({
+        "doc_rank": F.lit(0).cast("bigint"), "pert_idx": F.lit(0), "pert_type": F.lit(1), "score": F.lit(0.0),
+        "passage_idx": F.col("query_idx"),
+    })
+
+
 # Some queries lose a slot and stay incomplete; every first slot comes twice.
 LOST = f"({sql_hash('query_idx')}) % 50 = 0"
 
@@ -44,12 +51,50 @@ def group_completion(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("l1_timed_out_groups", with_ctes(
+    "SELECT query_idx, slot_idx::BIGINT AS slot_idx, perturbed_query, wrong_belief, NOT (" + LOST + ") AS is_complete "
+    f"FROM flat WHERE NOT ({LOST} AND slot_idx = 3)", *ASSEMBLED))
+def timed_out_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """As above in event time: groups that lost a slot leave incomplete, duplicates emit nothing, no state is left."""
+    flat = settle(assembled(spark, folder))
+    day = 86_400_000  # the watermark begins at 1970, whose first moment would be late
+    at = F.timestamp_millis(F.lit(day) + F.pmod(F.col("query_idx"), F.lit(1000)) * 1000 + F.col("slot_idx"))
+    timed = flat.withColumn("at", at)
+    lost = (F.col("slot_idx") == 3) & (F.pmod(stable_hash(F.col("query_idx")), F.lit(50)) == 0)
+    path, out, checkpoint = (scratch_path(spark, name) for name in ("timed", "timed_out", "timed_checkpoint"))
+    tick = timed.limit(1).withColumns({"query_idx": F.lit(-1).cast("bigint"), "slot_idx": F.lit(None).cast(timed.schema["slot_idx"].dataType), "at": F.timestamp_millis(F.lit(2 * day))})
+    sent = timed.where(~lost).unionByName(timed.where("slot_idx = 0"))
+    late = timed.where("slot_idx = 1")
+    # First all slots, then late duplicates, then rows that only move the watermark far on: timeouts see it a batch later.
+    for rows in (sent.repartition(spark.sparkContext.defaultParallelism), late, tick, tick):
+        rows.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 4).parquet(path)
+        groups = completion.completed(stream.withWatermark("at", "1 hour"), timeout_ms=60_000, event_time="at")
+        run = groups.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        done = run.trigger(availableNow=True).start()
+        done.awaitTermination()
+    left = sum(op.numRowsTotal for event in done.recentProgress[-1:] for op in event.stateOperators)
+    if left:
+        raise RuntimeError(f"{left} groups are still held")
+    return spark.read.parquet(out).select(
+        "query_idx", F.col("slot_idx").cast("bigint").alias("slot_idx"), "perturbed_query", "wrong_belief", "is_complete"
+    )
+
+
+@query("l2_repeated_pairs", with_ctes(VERDICT_SQL, *MARKS))
+def repeated_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair comes twice, in different files, and the stream runs again from an empty checkpoint: one verdict each."""
+    rows = mark_rows(spark, folder)
+    out = scratch_path(spark, "ledger")
+    stream = as_stream(spark, rows.unionByName(rows), "repeated", per_trigger=3)
+    for run in range(2):
+        stream_marking.start_marking(stream, out, scratch_path(spark, f"ledger_checkpoint_{run}")).awaitTermination()
+    return spark.read.parquet(out).select("query_idx", "pred", "judge_raw", "correct")
+
+
 @query("l2_incremental_marks", with_ctes(VERDICT_SQL, *MARKS))
 def incremental_marks(spark: SparkSession, folder: str) -> DataFrame:
-    rows = marking_pairs(spark, folder).withColumns({
-        "doc_rank": F.lit(0).cast("bigint"), "pert_idx": F.lit(0), "pert_type": F.lit(1), "score": F.lit(0.0),
-        "passage_idx": F.col("query_idx"),
-    })
+    rows = mark_rows(spark, folder)
     out, checkpoint = scratch_path(spark, "verdicts"), scratch_path(spark, "verdicts_checkpoint")
     stream = as_stream(spark, rows, "pairs")
     for _ in range(2):  # the second run finds nothing new

@@ -20,35 +20,72 @@ OUTPUT = (
 )
 
 
-def completed(rows: DataFrame, slots: int = 5, timeout_ms: int | None = None) -> DataFrame:
+# The state of a query that has left: no slot, only a mark.
+_LEFT = ([-1], [""])
+
+
+def completed(rows: DataFrame, slots: int = 5, timeout_ms: int | None = None, event_time: str | None = None) -> DataFrame:
     """All slots of a query in one go, when the last of them has arrived.
 
-    State holds one JSON text per slot seen, so at most `slots` of them, and goes away
-    with the emission. A slot delivered again before that is ignored; a query delivered
-    again in full after it is emitted again, so sinks go by (query_idx, slot_idx). With `timeout_ms` a query that
-    gets no more rows for that long leaves as it is, with is_complete false.
+    State holds one JSON text per slot seen, so at most `slots` of them. A slot delivered again before the
+    emission is ignored. With `timeout_ms` a query that gets no more rows for that long leaves as it is, with
+    is_complete false, and a query that has left keeps a mark for that long, so that late duplicates emit
+    nothing and open no state; marks expire. Time is the clock's, or that of column `event_time`, which must have
+    a watermark: then the outcome does not depend on when batches run, and rows older than the watermark are
+    dropped. Rows without a slot, under a query_idx of their own, only move the watermark. Without `timeout_ms` state goes away
+    with the emission, and a late duplicate opens a group that never fills, so sinks go by (query_idx, slot_idx).
     """
     payload = F.to_json(F.struct(*SLOT_FIELDS))
-    narrow = rows.select("query_idx", F.col("slot_idx").cast("int").alias("slot_idx"), payload.alias("payload"))
-    policy = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
+    at = F.col(event_time) if event_time else F.lit(None).cast("timestamp")
+    narrow = rows.select(
+        "query_idx", F.col("slot_idx").cast("int").alias("slot_idx"), payload.alias("payload"), at.alias("at")
+    )
+    if event_time and not timeout_ms:
+        raise ValueError("event time only serves timeouts; give timeout_ms")
+    policy = (
+        GroupStateTimeout.EventTimeTimeout if event_time
+        else GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
+    )
+
+    def wait(state: GroupState, latest) -> None:
+        if event_time:
+            until = int(latest.timestamp() * 1000) + timeout_ms
+            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        elif timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = dict(zip(*state.get)) if state.exists else {}
+        gone = -1 in held
         if state.hasTimedOut:
-            held = dict(zip(*state.get))
             state.remove()
-            yield emit(key, held, False)
+            if not gone:
+                yield emit(key, held, False)
             return
-        held = dict(zip(*state.get)) if state.exists else {}
+        latest = None
         for pdf in batches:
+            if event_time:
+                latest = pdf["at"].max() if latest is None else max(latest, pdf["at"].max())
             for slot, text in zip(pdf["slot_idx"], pdf["payload"]):
-                held.setdefault(int(slot), text)
-        if len(held) >= slots:
-            state.remove()
-            yield emit(key, held, True)
+                # Not left to a filter, which Spark would move below the watermark.
+                if not pd.isna(slot):
+                    held.setdefault(int(slot), text)
+        if not held:
+            return
+        if gone:
+            state.update(_LEFT)
+            wait(state, latest)
+            return
+        if len(held) < slots:
+            state.update((list(held), list(held.values())))
+            wait(state, latest)
             return
-        state.update((list(held), list(held.values())))
         if timeout_ms:
-            state.setTimeoutDuration(timeout_ms)
+            state.update(_LEFT)
+            wait(state, latest)
+        elif state.exists:
+            state.remove()
+        yield emit(key, held, True)
 
     def emit(key: tuple, held: dict[int, str], complete: bool) -> pd.DataFrame:
         order = sorted(held)

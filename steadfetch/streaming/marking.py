@@ -8,19 +8,43 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import marking
 from ..operators.inference import BatchFn
+from ..session import settle
+from ..sources.tables import exists
+
+
+# Verdicts lie in this many buckets by their key, so a batch reads the keys of its own buckets only.
+BUCKETS = 256
+
+
+def _bucket():
+    return F.pmod(F.xxhash64(*marking.PAIR_KEYS), F.lit(BUCKETS)).cast("int")
+
+
+def _unmarked(batch: DataFrame, out: str, number: int) -> DataFrame:
+    """One row per pair of the batch that no other batch has marked; the verdicts themselves are the ledger."""
+    spark = batch.sparkSession
+    fresh = settle(batch.dropDuplicates(marking.PAIR_KEYS).withColumn("bucket", _bucket()))
+    if not exists(spark, out):
+        return fresh
+    ledger = spark.read.parquet(out)
+    needed = [r[0] for r in fresh.select("bucket").distinct().collect()]  # BUCKETS numbers at most
+    done = ledger.where(F.col("bucket").isin(needed) & (F.col("batch") != number)).select("bucket", *marking.PAIR_KEYS)
+    return fresh.join(done, ["bucket", *marking.PAIR_KEYS], "left_anti")
 
 
 def start_marking(
     pairs: DataFrame, out: str, checkpoint: str, teacher: BatchFn | None = None, judge: BatchFn | None = None
 ) -> StreamingQuery:
-    """Appends the verdicts of each batch to `out`; a restart goes on where it stopped.
+    """Appends the verdicts of each batch to `out`; each pair is marked once, by (query_idx, pert_idx, doc_rank).
 
-    Every batch has its own folder which a repeated batch replaces, so a batch that ran
-    twice leaves its verdicts once.
+    A pair that comes again, in the same batch, a later one, or after a restart from an empty checkpoint, is
+    left out before the teacher is asked. Every batch has its own folder, in buckets by key, which a
+    repeated batch replaces, so a batch that was killed leaves its verdicts once.
     """
     def mark_batch(batch: DataFrame, number: int) -> None:
-        verdicts = marking.verdict_rows(marking.mark(batch, teacher, judge))
-        verdicts.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        new = _unmarked(batch, out, number)
+        verdicts = marking.verdict_rows(marking.mark(new.drop("bucket"), teacher, judge)).withColumn("bucket", _bucket())
+        verdicts.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/batch={number}")
 
     return (
         pairs.writeStream.foreachBatch(mark_batch)

@@ -127,6 +127,30 @@ def test_stream_equals_batch_and_restarts(spark, small):
     assert {(r["query_idx"], r["slot_idx"], r["perturbed_query"]) for r in rows} == expected
 
 
+def test_a_killed_batch_and_repeated_pairs_give_one_verdict(spark, monkeypatch):
+    rows = spark.createDataFrame(
+        [(q, d, 0, 1, f"what is {d}", f"it is {d}.", [f"{d}"], 0.5, 7) for q in range(6) for d in range(4)],
+        "query_idx bigint, doc_rank bigint, pert_idx int, pert_type int, perturbed_query string, text string, golds array<string>, score double, passage_idx bigint",
+    )
+    stream = stream_queries.as_stream(spark, rows.unionByName(rows.where("query_idx < 3")), "killed", per_trigger=2)
+    out, checkpoint = scratch_path(spark, "v"), scratch_path(spark, "vc")
+    real, calls = marking.marking.verdict_rows, []
+
+    def dies_once(marked):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("killed")
+        return real(marked)
+
+    monkeypatch.setattr(marking.marking, "verdict_rows", dies_once)
+    with pytest.raises(Exception, match="killed"):
+        marking.start_marking(stream, out, checkpoint).awaitTermination()
+    for fresh in (checkpoint, scratch_path(spark, "vc2")):
+        marking.start_marking(stream, out, fresh).awaitTermination()
+    got = [(r["query_idx"], r["doc_rank"]) for r in spark.read.parquet(out).collect()]
+    assert sorted(got) == [(q, d) for q in range(6) for d in range(4)]
+
+
 def test_progress_of_a_run(spark):
     rows = spark.createDataFrame([(i % 2 == 0, "yes (em)" if i % 4 == 0 else "no") for i in range(20)],
                                  "correct boolean, judge_raw string")
