@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import settle
 from .ordinal import ordinal_in_group
 from .skew import HotKeys, hot_keys, split_hot_join
 
@@ -71,7 +72,7 @@ def _schema(queries: DataFrame, keys: list[str]) -> T.StructType:
     )
 
 
-def _ranked(hits: DataFrame, keys: list[str], k: int) -> DataFrame:
+def best_hits(hits: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The k best of all tasks. Each task already holds at most k per query."""
     best = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("passage_idx"))
     return (
@@ -94,17 +95,19 @@ def top_k(
     and every block pair is one bounded group.
     """
     keys = keys or ["query_idx", "pert_idx"]
+    # Counted, looked at and met: made once.
+    queries = settle(queries.select(*keys, "embedding"))
     n_queries, head = queries.count(), queries.select("embedding").first()
     dim = len(head[0]) if head else 0
     if n_queries * (8 * dim + 48 * k) <= broadcast_bytes:
         hits = _search_with_matrix(queries, passages, k, keys)
     else:
         cells = passages.agg(F.count(F.lit(1)).alias("_n")).withColumn("_cell", F.lit(0))
-        hits = _search_cells(
+        hits = search_cells(
             queries.withColumn("_cell", F.lit(0)), passages.withColumn("_cell", F.lit(0)), cells,
-            n_queries, k, keys, query_block, passage_block,
+            k, keys, query_block, passage_block,
         )
-    return _ranked(hits, keys, k)
+    return best_hits(hits, keys, k)
 
 
 def _search_with_matrix(queries: DataFrame, passages: DataFrame, k: int, keys: list[str]) -> DataFrame:
@@ -130,29 +133,31 @@ def _search_with_matrix(queries: DataFrame, passages: DataFrame, k: int, keys: l
     return passages.select("passage_idx", "embedding").mapInArrow(run, _schema(queries, keys))
 
 
-def _search_cells(
-    queries: DataFrame, passages: DataFrame, cells: DataFrame, n_queries: int, k: int,
-    keys: list[str], query_block: int, passage_block: int,
+def search_cells(
+    queries: DataFrame, passages: DataFrame, cells: DataFrame, k: int, keys: list[str], query_block: int,
+    passage_block: int,
 ) -> DataFrame:
     """Meets queries and passages of the same `_cell`, in blocks of bounded size.
 
     `cells` holds the passage count of each cell (`_n`) and has one row per cell, so its
-    size is bounded by the number of cells the caller chose.
+    size is bounded by the number of cells the caller chose. A passage is repeated for each block of queries
+    that ask for its own cell, which is one block unless a cell is asked for by more than `query_block`.
     """
-    q_blocks = max(1, math.ceil(n_queries / query_block))
-    blocks = F.broadcast(
-        cells.select("_cell", F.ceil(F.col("_n") / passage_block).cast("int").alias("_parts"))
-    )
+    per_cell = queries.groupBy("_cell").agg(F.count(F.lit(1)).alias("_asked"))
+    blocks = F.broadcast(settle(cells.join(per_cell, "_cell").select(
+        "_cell", F.ceil(F.col("_n") / passage_block).cast("int").alias("_parts"),
+        F.ceil(F.col("_asked") / query_block).cast("int").alias("_lots"),
+    )))
     left = (
-        queries.withColumn("_qb", F.pmod(F.xxhash64(*keys), F.lit(q_blocks)).cast("int"))
-        .join(blocks, "_cell")
+        queries.join(blocks, "_cell")
+        .withColumn("_qb", F.pmod(F.xxhash64(*keys), F.col("_lots")).cast("int"))
         .withColumn("_pb", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
         .select("_cell", "_qb", "_pb", *keys, "embedding")
     )
     right = (
         passages.join(blocks, "_cell")
         .withColumn("_pb", F.pmod(F.xxhash64("passage_idx"), F.col("_parts")).cast("int"))
-        .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+        .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_lots") - 1)))
         .select("_cell", "_qb", "_pb", "passage_idx", "embedding")
     )
     schema = _schema(queries, keys)
@@ -212,11 +217,12 @@ def probed_top_k(
     is cut further. With as many probes as cells the result is exact.
     """
     keys = keys or ["query_idx", "pert_idx"]
-    placed = nearest_cells(passages, ["passage_idx"], centres, 1)
+    # Cells are counted and met in two passes that must agree.
+    placed = settle(nearest_cells(passages, ["passage_idx"], centres, 1))
     cells = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
-    asked = nearest_cells(queries, keys, centres, min(probes, len(centres)))
-    hits = _search_cells(asked, placed, cells, queries.count(), k, keys, query_block, passage_block)
-    return _ranked(hits, keys, k)
+    asked = settle(nearest_cells(queries, keys, centres, min(probes, len(centres))))
+    hits = search_cells(asked, placed, cells, k, keys, query_block, passage_block)
+    return best_hits(hits, keys, k)
 
 
 def recall(found: DataFrame, exact: DataFrame, keys: list[str] | None = None) -> DataFrame:

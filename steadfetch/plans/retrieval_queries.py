@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import queryset, retrieval
+from ..operators import cell_index, queryset, retrieval
+from ..session import scratch_path, settle
 from ..sources.tables import given, spread
 from .catalog import query, with_ctes
 
@@ -133,6 +134,40 @@ def probed_recall(spark: SparkSession, folder: str) -> DataFrame:
     return rows
 
 
+def stored_index(spark: SparkSession, folder: str) -> str:
+    """An index written from the passages with even ids; the others are appended without a new fit."""
+    held, path = passages(spark, folder), scratch_path(spark, "cells")
+    even = F.col("passage_idx") % 2 == 0
+    cell_index.build(held.where(even), path, N_CELLS)
+    cell_index.append(held.where(~even), path)
+    return path
+
+
+@query("f3_stored_index", with_ctes(HITS + "perturbed_top", *PERTURBED_TOP))
+def stored_index_all_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """A search of all cells of an index written earlier equals the exact one."""
+    return hit_columns(cell_index.search(perturbed_vectors(spark, folder), stored_index(spark, folder), K, probes=N_CELLS))
+
+
+# From this many of 16 cells on, nine in ten of the exact hits are found.
+ENOUGH = 12
+
+
+@query("f3_stored_recall", with_ctes(
+    f"SELECT probes, (SELECT count(*) FROM perturbed_top) AS n_exact, true AS not_falling, probes >= {ENOUGH} AS enough, "
+    f"probes >= {N_CELLS} AS whole FROM (SELECT unnest([1, 4, {ENOUGH}, {N_CELLS}]) AS probes)", *PERTURBED_TOP))
+def stored_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Recall of the stored index does not fall with the probes, reaches 0.9 at `ENOUGH` and 1 at all cells."""
+    path, asked = stored_index(spark, folder), settle(perturbed_vectors(spark, folder))
+    exact = settle(retrieval.top_k(asked, passages(spark, folder), K))
+    rows, before = [], 0.0
+    for probes in (1, 4, ENOUGH, N_CELLS):
+        found = retrieval.recall(cell_index.search(asked, path, K, probes=probes), exact).first()
+        rows.append((probes, found["n_exact"], found["recall"] >= before, probes >= ENOUGH and found["recall"] >= 0.9, found["recall"] == 1.0))
+        before = found["recall"]
+    return spark.createDataFrame(rows, "probes int, n_exact bigint, not_falling boolean, enough boolean, whole boolean")
+
+
 # Texts exist only for the labelled documents, so some hits are missing.
 TEXTS = "texts AS (SELECT doc_id AS passage_idx, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))"
 

@@ -62,7 +62,8 @@ def settle(df: DataFrame) -> DataFrame:
     plain = plain.withColumns({
         n: F.col(n).cast("string") for n, f in zip(names, shape.fields) if f.dataType.typeName() == "void"
     })
-    plain.write.parquet(path)
+    # Read once or twice and then kept until the application ends: small counts for more than fast.
+    plain.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
 
 

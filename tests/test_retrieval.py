@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from steadfetch.operators import retrieval
+from steadfetch.operators import cell_index, retrieval
+from steadfetch.session import scratch_path
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +61,31 @@ def test_text_join_keeps_ranks(spark, data):
     assert kept.where("passage_idx % 2 = 1").count() == 0
     expected = {(q, r, p) for q, r, p in found(hits) if p % 2 == 0}
     assert found(kept) == expected
+
+
+def test_stored_index_grows_and_reads_only_probed_cells(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(400, 8))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    held = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "passage_idx bigint, embedding array<double>")
+    asked = held.where("passage_idx < 20").select(F.col("passage_idx").alias("query_idx"), F.lit(0).alias("pert_idx"), "embedding")
+    path = scratch_path(spark, "index")
+    cell_index.build(held.where("passage_idx < 300"), path, 6, sample_rows=100)
+    before = cell_index.centres_of(spark, path)
+    cell_index.append(held.where("passage_idx >= 300"), path)
+    assert np.array_equal(before, cell_index.centres_of(spark, path))
+    rows = lambda df: sorted((r["query_idx"], r["rank"], r["passage_idx"]) for r in df.collect())
+    assert rows(cell_index.search(asked, path, 5, probes=6)) == rows(retrieval.top_k(asked, held, 5))
+    one = cell_index.search(asked.limit(1), path, 5, probes=1)
+    assert one.count() == 5 and one.where("passage_idx = query_idx AND rank = 0").count() == 1
+    assert cell_index.search(asked.where("false"), path, 5).collect() == []
+    assert 50 <= cell_index.sample(held, 100).count() <= 150 and cell_index.sample(held, 400).count() == 400
+
+
+def test_blocks_of_cells_give_the_same_hits(spark):
+    rng = np.random.default_rng(6)
+    held = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(90, 4)))], "passage_idx bigint, embedding array<double>")
+    asked = held.select(F.col("passage_idx").alias("query_idx"), F.lit(0).alias("pert_idx"), "embedding")
+    rows = lambda df: sorted((r["query_idx"], r["rank"], r["passage_idx"]) for r in df.collect())
+    small = retrieval.top_k(asked, held, 3, broadcast_bytes=0, query_block=20, passage_block=25)
+    assert rows(small) == rows(retrieval.top_k(asked, held, 3))
