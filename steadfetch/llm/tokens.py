@@ -27,7 +27,7 @@ MOST_CACHED = 1 << 18
 # New words that are encoded as one text.
 TOGETHER = 4096
 # Texts are encoded in slices of at most this many, and about as many bytes.
-SLICE_DOCS, SLICE_BYTES = 8192, 1 << 22
+SLICE_DOCS, SLICE_BYTES = 8192, 1 << 21
 
 
 def slices(texts: pa.Array, docs: int = SLICE_DOCS, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
