@@ -9,7 +9,6 @@ from ..functions.hashing import stable_hash
 from ..session import settle
 from .groups import PAD_ID
 from .ordinal import dense_ordinal
-from .skew import split_hot_join
 
 
 def query_of(key: Column) -> Column:
@@ -78,12 +77,27 @@ def _with_starts(groups: DataFrame) -> DataFrame:
     return groups.join(starts, ["key", "part_no"])
 
 
+def draw_numbers(free: Column, n: int, *parts) -> Column:
+    """min(n, free) different numbers below `free`, each set of them as likely; draw j follows a hash of (parts, j).
+
+    Draw j is a number below free - j that steps over the ones drawn before it, so nothing is sorted or rejected.
+    """
+    def add(drawn: Column, j: Column) -> Column:
+        raw = F.pmod(stable_hash(*parts, j), F.greatest(free - j, F.lit(1))).cast("bigint")
+        stepped = F.aggregate(F.array_sort(drawn), raw, lambda at, p: at + F.when(at >= p, 1).otherwise(0).cast("bigint"))
+        return F.when(free > j, F.array_append(drawn, stepped)).otherwise(drawn)
+
+    if n <= 0:
+        return F.array().cast("array<bigint>")
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.array().cast("array<bigint>"), add)
+
+
 def sample_items(
     items: DataFrame, n_neg: int = 10, seed: int = 42, epoch: int = 0, redraw_positive: bool = False
 ) -> DataFrame:
     """Adds `picked`: places of one positive, then up to `n_neg` negatives of the group.
 
-    Everything happens inside the row, in the seeded order of (seed, epoch, key, item); for groups in
+    Everything happens inside the row, by numbers drawn from a hash of (seed, epoch, key, item); for groups in
     parts see `sample_over_parts`, which makes the same draws. With `redraw_positive` any positive of the group may come first and negatives are
     documents with score zero; else the item's own positive stays and negatives are all
     documents that are not positive.
@@ -99,15 +113,35 @@ def sample_items(
     else:
         is_neg = lambda i: ~F.get("pos_mask", i)
         first = F.col("pos_at")
-    hashed = F.transform(
-        F.filter(places, is_neg),
-        lambda i: F.struct(
-            stable_hash(seed, epoch, F.col("key"), F.col("item_no"), i).alias("h"), i.alias("i")
-        ),
-    )
-    negatives = F.transform(F.slice(F.array_sort(hashed), 1, n_neg), lambda s: s["i"])
-    return items.withColumn("picked", F.concat(F.array(first), negatives)).withColumn(
+    drawn = items.withColumn("_neg", F.filter(places, is_neg))
+    drawn = drawn.withColumn("_draws", draw_numbers(F.size("_neg"), n_neg, seed, epoch, F.col("key"), F.col("item_no")))
+    negatives = F.transform("_draws", lambda d: F.get("_neg", d.cast("int")))
+    return drawn.withColumn("picked", F.concat(F.array(first), negatives)).withColumn(
         "labels", F.transform("picked", lambda i: F.get("scores", i))
+    ).drop("_neg", "_draws")
+
+
+def _numbered(groups: DataFrame, chosen, total: str) -> DataFrame:
+    """(key, number, place, score) of the chosen documents, numbered from 0 in each key over its parts.
+
+    `chosen` tells of (pos_mask, score). Further columns whose name begins with `_of_` are counts of the key and
+    come along; `total` adds one of the chosen ones. The windows see one narrow row per part.
+    """
+    entries = F.transform(F.arrays_zip("pos_mask", "scores"), lambda e, i: F.struct(i.alias("i"), e["pos_mask"].alias("m"), e["scores"].alias("s")))
+    kept = F.filter(entries, lambda e: chosen(e["m"], e["s"]))
+    sizes = groups.select("key", "part_no", F.size("pos_mask").cast("bigint").alias("_n"), F.size(kept).cast("bigint").alias("_k"))
+    whole = Window.partitionBy("key")
+    before = whole.orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    starts = sizes.select(
+        "key", "part_no", F.coalesce(F.sum("_n").over(before), zero).alias("_from"),
+        F.coalesce(F.sum("_k").over(before), zero).alias("_first"), F.sum("_k").over(whole).alias(total),
+    )
+    more = [c for c in groups.columns if c.startswith("_of_")]
+    rows = groups.select("key", "part_no", *more, kept.alias("_kept")).join(starts, ["key", "part_no"])
+    rows = rows.select("key", "_from", "_first", total, *more, F.posexplode("_kept").alias("_at", "_e"))
+    return rows.select(
+        "key", (F.col("_first") + F.col("_at")).alias("number"), (F.col("_from") + F.col("_e.i")).alias("place"), F.col("_e.s").alias("score"), total, *more
     )
 
 
@@ -116,33 +150,30 @@ def sample_over_parts(
 ) -> DataFrame:
     """(key, item_no, pos_at, picked, labels) of all positives of groups with a part_no.
 
-    The draws of `sample_items` from the whole group: each item meets all parts of its key, a part
-    gives its first `n_neg` negatives in seeded order, and the first of those are taken.
+    The draws of `sample_items` from the whole group: its negatives are numbered once, an item draws numbers,
+    and number meets negative in an equi-join on (key, number), no hot key. The work grows with documents and with
+    items x `n_neg`, never with items x documents.
     """
     groups = settle(groups)
-    drawn = lambda *more: stable_hash(seed, epoch, F.col("key"), F.col("item_no"), *more)
-    items = positive_items(groups).select(
-        "key", "item_no", "pos_at", "n_items", F.get("scores", (F.col("pos_at") - F.col("part_start")).cast("int")).alias("_label")
-    )
-    parts = _with_starts(groups).select("key", "part_start", "pos_mask", "scores")
-    is_neg = (lambda i: F.get("scores", i) == 0) if redraw_positive else (lambda i: ~F.get("pos_mask", i))
-    places = F.filter(F.sequence(F.lit(0), F.size("pos_mask") - 1), is_neg)
-    place = lambda i: F.col("part_start") + i
-    hashed = F.transform(places, lambda i: F.struct(drawn(place(i)).alias("h"), place(i).alias("i"), F.get("scores", i).alias("s")))
-    few = split_hot_join(items.select("key", "item_no"), parts, ["key"], "key").select(
-        "key", "item_no", F.slice(F.array_sort(hashed), 1, n_neg).alias("few")
-    )
-    negatives = few.groupBy("key", "item_no").agg(
-        F.slice(F.array_sort(F.flatten(F.collect_list("few"))), 1, n_neg).alias("_neg")
-    )
-    first = items.withColumns({"_first": F.col("pos_at"), "_first_label": F.col("_label")})
+    is_neg = (lambda mask, score: score == 0) if redraw_positive else (lambda mask, score: ~mask)
+    negatives = settle(_numbered(groups, is_neg, "_total"))
+    free = negatives.groupBy("key").agg(F.max("_total").alias("_of_negatives"))
+    # Counts come to the parts, of which a key has few, not to the items.
+    known = groups.join(free, "key", "left").withColumn("_of_negatives", F.coalesce("_of_negatives", F.lit(0).cast("bigint")))
+    items = settle(_numbered(known, lambda mask, score: mask, "_positives").withColumnRenamed("number", "item_no"))
+    numbers = draw_numbers(F.col("_of_negatives"), n_neg, seed, epoch, F.col("key"), F.col("item_no"))
+    asked = items.select("key", "item_no", F.posexplode(numbers).alias("j", "number"))
+    met = asked.join(negatives.select("key", "number", "place", "score"), ["key", "number"])
+    drawn = met.groupBy("key", "item_no").agg(F.sort_array(F.collect_list(F.struct("j", "place", "score"))).alias("_neg"))  # n_neg entries
+    first = items.select("key", "item_no", F.col("place").alias("pos_at"), F.col("place").alias("_first"), F.col("score").alias("_label"))
     if redraw_positive:
-        all_pos = items.select("key", F.col("item_no").alias("_pick"), F.col("pos_at").alias("_first"), F.col("_label").alias("_first_label"))
-        first = items.withColumn("_pick", F.pmod(drawn(), F.col("n_items"))).join(all_pos, ["key", "_pick"])
-    return first.join(negatives, ["key", "item_no"]).select(
-        "key", "item_no", "pos_at",
-        F.concat(F.array("_first"), F.transform("_neg", lambda x: x["i"])).alias("picked"),
-        F.concat(F.array("_first_label"), F.transform("_neg", lambda x: x["s"])).alias("labels"),
+        pick = F.pmod(stable_hash(seed, epoch, F.col("key"), F.col("item_no")), F.col("_positives"))
+        all_pos = items.select("key", F.col("item_no").alias("_pick"), F.col("place").alias("_first"), F.col("score").alias("_label"))
+        first = items.select("key", "item_no", F.col("place").alias("pos_at"), pick.alias("_pick")).join(all_pos, ["key", "_pick"])
+    joined = first.join(drawn, ["key", "item_no"], "left")
+    rest = lambda name: F.coalesce(F.transform("_neg", lambda x: x[name]), F.array())
+    return joined.select(
+        "key", "item_no", "pos_at", F.concat(F.array("_first"), rest("place")).alias("picked"), F.concat(F.array("_label"), rest("score")).alias("labels"),
     )
 
 

@@ -82,13 +82,20 @@ def positive_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def picked_sql(first: str, condition: str) -> str:
-    h = sql_hash("42", "0", "i.key", "i.item_no", "d.place")
-    return f"""picked AS (
+    """The first document, then two negatives by number: the second draw steps over the first."""
+    h = [f"({sql_hash('42', '0', 'i.key', 'i.item_no', str(j))})" for j in (0, 1)]
+    one, two = f"{h[0]} % n.m", f"{h[1]} % greatest(n.m - 1, 1)"
+    return f"""negs AS (
+  SELECT key, place, row_number() OVER (PARTITION BY key ORDER BY place) - 1 AS num, count(*) OVER (PARTITION BY key) AS m
+  FROM docs d WHERE {condition}
+),
+picked AS (
   SELECT key, item_no, 0 AS ord, {first} AS place FROM items i
   UNION ALL
-  SELECT i.key, i.item_no, row_number() OVER (PARTITION BY i.key, i.item_no ORDER BY {h}, d.place) AS ord, d.place
-  FROM items i JOIN docs d ON d.key = i.key AND {condition}
-  QUALIFY ord <= 2
+  SELECT i.key, i.item_no, 1, n.place FROM items i JOIN negs n ON n.key = i.key AND n.num = {one}
+  UNION ALL
+  SELECT i.key, i.item_no, 2, n.place FROM items i JOIN negs n ON n.key = i.key AND n.m > 1
+    AND n.num = {two} + ({two} >= {one})::INT
 )"""
 
 

@@ -167,6 +167,16 @@ def test_sampled_items(spark):
     assert any(splits.sample_items(items, 2, epoch=e).collect() != first for e in range(1, 5))
 
 
+def test_drawn_numbers_differ_and_are_even(spark):
+    df = spark.range(3000).select("id", F.array(*[splits.draw_numbers(F.lit(free), 4, 7, F.col("id")) for free in (0, 1, 3, 6)]).alias("d"))
+    rows = [r["d"] for r in df.collect()]
+    for k, free in enumerate((0, 1, 3, 6)):
+        assert all(len(set(d[k])) == len(d[k]) == min(4, free) and set(d[k]) <= set(range(free)) for d in rows)
+    firsts, pairs = ([d[3][at] for d in rows] for at in (0, 3))
+    for found in (firsts, pairs):
+        assert all(400 < found.count(n) < 600 for n in range(6))
+
+
 def in_parts(spark, part):
     scores = {"1_0": [0.5, 0.7, 0.0, 0.0, 1.0, 0.0, 0.2], "2_0": [0.0, 0.5]}
     return spark.createDataFrame(
