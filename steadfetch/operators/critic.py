@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import simple_norm
+from ..session import settle
 from .inference import BatchFn, apply_batches
 from pyspark.sql import types as T
 
@@ -96,12 +97,17 @@ def score(pairs: DataFrame, model: Critic) -> DataFrame:
     return pairs.withColumn("rerank_score", sigmoid(logit))
 
 
-def score_with(pairs: DataFrame, logits: BatchFn, concurrency: int | None = None) -> DataFrame:
-    """Adds `rerank_score` = sigmoid of a user model's logits, one call per Arrow batch."""
+def score_with(
+    pairs: DataFrame, logits: BatchFn, concurrency: int | None = None, inputs: list[str] | None = None
+) -> DataFrame:
+    """Adds `rerank_score` = sigmoid of a user model's logits, one call per Arrow batch; written once.
+
+    Only `inputs` (all columns if none are named) go to the model. A pair whose call fails has null.
+    """
     def run(pdf: pd.DataFrame) -> pd.Series:
         return pd.Series(1.0 / (1.0 + np.exp(-np.asarray(logits(pdf), dtype=np.float64))))
 
-    return apply_batches(pairs, run, "rerank_score", T.DoubleType(), concurrency)
+    return settle(apply_batches(pairs, run, "rerank_score", T.DoubleType(), concurrency, inputs))
 
 
 def sigmoid(logit: Column) -> Column:

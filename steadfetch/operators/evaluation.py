@@ -83,8 +83,10 @@ def lexical_reply(context: Column, golds: Column) -> Column:
     return F.coalesce(F.get(F.filter(golds, lambda g: F.contains(low, F.lower(g))), 0), F.lit("unknown"))
 
 
-def answer(gated: DataFrame, generator: BatchFn | None = None, concurrency: int | None = None) -> DataFrame:
-    """Adds `answer`. Only queries that do not abstain reach the generator."""
+def answer(
+    gated: DataFrame, generator: BatchFn | None = None, concurrency: int | None = None, inputs: list[str] | None = None
+) -> DataFrame:
+    """Adds `answer`. Only queries that do not abstain reach the generator, and of them `inputs` (or all columns)."""
     if generator is None:
         said = lexical_reply(F.col("context"), F.col("golds"))
         return gated.withColumn("answer", F.when(F.col("abstained"), ABSTAIN_TEXT).otherwise(said))
@@ -95,7 +97,7 @@ def answer(gated: DataFrame, generator: BatchFn | None = None, concurrency: int
     asked = gated.where(~F.col("abstained")).withColumn(
         "prompt", prompts.messages(prompts.ANSWER_SYSTEM, user)
     )
-    raw = apply_batches(asked, generator, "_raw", concurrency=concurrency)
+    raw = apply_batches(asked, generator, "_raw", concurrency=concurrency, inputs=inputs)
     said = raw.withColumn("answer", text.salvage_answer(F.col("_raw"))).drop("prompt", "_raw")
     return settle(said).unionByName(quiet)
 

@@ -20,13 +20,14 @@ NESTED_FIELDS = [
 
 def generate(
     tasks: DataFrame, generator: BatchFn, rounds: int = 5, seed: int = 42,
-    reasoning: bool = False, concurrency: int | None = None,
+    reasoning: bool = False, concurrency: int | None = None, inputs: list[str] | None = None,
 ) -> DataFrame:
     """Asks the generator until a rewrite is valid, at most `rounds` times.
 
     Each round calls the model for the tasks still open, writes the answers once, and
     checks them with the Column rules; a retried distraction gets another topic. The
-    result has `output` (null when every round failed), `attempt` and `is_fallback`.
+    result has `output` (null when every round failed), `attempt` and `is_fallback`. Only `inputs` (with `prompt`,
+    `attempt` and `asked_topic` made here) go to the model; all columns if none are named.
     """
     clean = text.strip_reasoning_block if reasoning else text.clean_output
     open_tasks, done = tasks, []
@@ -37,7 +38,7 @@ def generate(
         asked = open_tasks.withColumn("attempt", F.lit(attempt)).withColumn("asked_topic", topic).withColumn(
             "prompt", prompts.messages(prompts.REWRITE_SYSTEM, prompt_text(F.col("asked_topic")))
         )
-        answered = apply_batches(asked, generator, "raw", concurrency=concurrency)
+        answered = apply_batches(asked, generator, "raw", concurrency=concurrency, inputs=inputs)
         checked = answered.withColumn("output", clean(F.coalesce("raw", F.lit("")))).withColumn(
             "_ok",
             text.is_valid_rewrite(

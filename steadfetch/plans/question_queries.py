@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import prompts, text
 from ..functions.fixed import HEDGE_WORDS, TOPICS
 from ..functions.hashing import stable_hash
-from ..operators import queryset, rewrites
+from ..operators import inference, queryset, rewrites
 from ..session import settle
 from ..sources.tables import given, spread
 from .catalog import query, sql_hash, sql_text, with_ctes
@@ -357,6 +357,36 @@ def generation_rounds(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("d2_failed_calls", """
+SELECT 'picky' AS model, count(*) FILTER (doc_id % 50 <> 7) AS n_answered, count(*) FILTER (doc_id % 50 = 7) AS n_failed FROM documents
+UNION ALL SELECT 'down', 0, count(*) FROM documents
+UNION ALL SELECT 'resumed', count(*), 0 FROM documents""")
+def failed_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """A model that fails for some rows, one that fails for all, and the second run resumed with the first one mended."""
+    asked = given(spark, folder, "documents").select("doc_id", F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("prompt"))
+
+    def mended(batch: pd.DataFrame) -> pd.Series:
+        return batch["prompt"].str.upper()
+
+    def picky(batch: pd.DataFrame) -> pd.Series:
+        if (batch["doc_id"] % 50 == 7).any():
+            raise ConnectionError("refused")
+        return mended(batch)
+
+    def down(batch: pd.DataFrame) -> pd.Series:
+        raise TimeoutError("no reply")
+
+    how = {"inputs": ["doc_id", "prompt"], "pause": 0.0}
+    runs = {"picky": settle(inference.call_batches(asked, picky, "call", **how)), "down": settle(inference.call_batches(asked, down, "call", **how))}
+    runs["resumed"] = settle(inference.resume(runs["down"], mended, "call", **how))
+    right = F.col("call.answer") == F.upper("prompt")
+    counts = [
+        rows.agg(F.lit(name).alias("model"), F.count_if(right).alias("n_answered"), F.count("call.error").alias("n_failed"))
+        for name, rows in runs.items()
+    ]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 # First answers only, as columns: the text rules below need no model call.
 FIRST = [*TASKS, f"""outputs AS (
   SELECT *, {sql_body('kind', 'topic')} AS output
