@@ -117,6 +117,24 @@ def running_robustness(spark: SparkSession, folder: str) -> DataFrame:
     return stream_marking.latest(spark.read.parquet(out)).withColumn("robustness", F.round("robustness", 9))
 
 
+@query("l3_folded_robustness", with_ctes(
+    "SELECT query_idx, doc_key, n_marks, n_correct, round(robustness, 9) AS robustness, 0::BIGINT AS n_updates_left FROM scores", *SCORED))
+def folded_robustness(spark: SparkSession, folder: str) -> DataFrame:
+    """The means after many small batches in two runs, each folded into the state."""
+    rows = settle(pairs(spark, folder).select("query_idx", "doc_key", "correct"))
+    path, out, checkpoint, state = (scratch_path(spark, n) for n in ("folds", "folded", "fold_checkpoint", "state"))
+    for half in range(2):
+        own = rows.where(F.pmod(stable_hash(F.col("query_idx"), F.col("doc_key"), F.col("correct")), F.lit(2)) == half)
+        own.repartition(4).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        stream_marking.start_running_robustness(stream, out, checkpoint).awaitTermination()
+        stream_marking.fold(spark, out, state)
+    left = stream_marking.fold(spark, out, state)
+    return stream_marking.newest(spark, out, state).select(
+        "query_idx", "doc_key", "n_marks", "n_correct", F.round("robustness", 9).alias("robustness"), F.lit(left).cast("bigint").alias("n_updates_left")
+    )
+
+
 @query("l4_progress", with_ctes(
     "SELECT count(*) AS n_done, count(*) FILTER (correct) AS n_correct, count(*) FILTER (correct) AS n_judge_skipped FROM pairs",
     *SCORED))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -118,5 +120,57 @@ def start_running_robustness(verdicts: DataFrame, out: str, checkpoint: str) ->
 
 def latest(updates: DataFrame) -> DataFrame:
     """The last written row per (query, document). `batch` comes from the folder names."""
+    return _newest(updates).drop("batch")
+
+
+def _newest(updates: DataFrame) -> DataFrame:
     newest = Window.partitionBy("query_idx", "doc_key").orderBy(F.desc("batch"))
-    return updates.withColumn("_n", F.row_number().over(newest)).where("_n <= 1").drop("_n", "batch")
+    return updates.withColumn("_n", F.row_number().over(newest)).where("_n <= 1").drop("_n")
+
+
+def _pending(spark: SparkSession, out: str) -> list[tuple[int, str]]:
+    """(batch, folder) of the updates that have been written in full and not folded."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    if not exists(spark, out):
+        return []
+    fs = at(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [(e.getPath().getName(), e.getPath().toString()) for e in fs.listStatus(at(out)) if e.isDirectory()]
+    named = [(int(name.removeprefix("batch=")), path) for name, path in folders if name.startswith("batch=")]
+    return sorted((number, path) for number, path in named if exists(spark, f"{path}/_SUCCESS"))
+
+
+def fold(spark: SparkSession, out: str, state: str) -> int:
+    """Merges the updates below `out` into the bucketed table `state`; returns how many batches were folded.
+
+    Only buckets that the updates touch are read and rewritten. Rows carry their batch, so folding the same
+    updates twice changes nothing; their folders are deleted once the state holds them. One caller at a time, and
+    not while the stream writes.
+    """
+    batches = _pending(spark, out)
+    if not batches:
+        return 0
+    parts = [spark.read.parquet(path).withColumn("batch", F.lit(number).cast("bigint")) for number, path in batches]
+    bucket = F.pmod(F.xxhash64("query_idx", "doc_key"), F.lit(BUCKETS)).cast("int")
+    fresh = settle(_newest(reduce(DataFrame.unionByName, parts)).withColumn("bucket", bucket))
+    merged = fresh
+    if exists(spark, state):
+        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # BUCKETS numbers at most
+        held = spark.read.parquet(state).where(F.col("bucket").isin(touched))
+        merged = settle(_newest(held.select(fresh.columns).unionByName(fresh)))
+    dealt = merged.repartition("bucket")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(state)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    for _, path in batches:
+        at(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(at(path), True)
+    return len(batches)
+
+
+def newest(spark: SparkSession, out: str, state: str) -> DataFrame:
+    """The newest mean per (query, document): the folded table, and whatever updates came since."""
+    rows = [spark.read.parquet(path).withColumn("batch", F.lit(number).cast("bigint")) for number, path in _pending(spark, out)]
+    if exists(spark, state):
+        folded = spark.read.parquet(state).drop("bucket")
+        if not rows:
+            return folded.drop("batch")
+        rows.append(folded)
+    return latest(reduce(DataFrame.unionByName, rows))
