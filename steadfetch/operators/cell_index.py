@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .retrieval import BROADCAST_BYTES, PASSAGE_BLOCK, QUERY_BLOCK, fit_cells, nearest_cells, search_cells, best_hits
+from .retrieval import BROADCAST_BYTES, PASSAGE_BLOCK, QUERY_BLOCK, best_hits, fit_cells, nearest_cells, search_cells, with_cells
 
 # The centres are fitted on about this many vectors at most, picked by a hash of their ids.
 SAMPLE_ROWS = 100_000
@@ -64,9 +64,8 @@ def search(
     """
     spark, keys = queries.sparkSession, keys or ["query_idx", "pert_idx"]
     centres = centres_of(spark, path)
-    asked = settle(nearest_cells(queries, keys, centres, min(probes, len(centres))))
+    asked = settle(with_cells(queries, keys, centres, probes))
     # At most one number per cell; the filter reaches the scan as partitions to read.
-    wanted = [r["_cell"] for r in asked.select("_cell").distinct().collect()]
+    wanted = [r[0] for r in asked.select(F.explode("_cells")).distinct().collect()]
     vectors = spark.read.parquet(f"{path}/vectors").where(F.col("cell").isin(wanted)).withColumnRenamed("cell", "_cell")
-    cells = vectors.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
-    return best_hits(search_cells(asked, vectors, cells, k, keys, query_block, passage_block), keys, k)
+    return settle(best_hits(search_cells(asked, vectors, k, keys, query_block, passage_block), keys, k))

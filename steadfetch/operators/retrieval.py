@@ -1,8 +1,9 @@
 """Top-k passages by inner product, exact and by probed cells.
 
 Scores are rounded to six places and ties go to the smaller passage id, so results
-do not depend on partitioning. Inside a task the product is one matrix product per
-Arrow batch and only the best k per query leave it.
+do not depend on partitioning. A task holds some queries with their k best passages so
+far and lets passages stream by. Products are taken in single precision; whatever may be
+among the best within the error bound of such a product is scored again in double precision.
 """
 
 from __future__ import annotations
@@ -18,25 +19,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import settle
+from ..sources.tables import spread
 from .ordinal import ordinal_in_group
 from .skew import HotKeys, hot_keys, split_hot_join
 
 SCORE_PLACES = 6
-# Queries sent to every task as one matrix must fit in this many bytes, together
-# with their k best hits; more queries are met in blocks instead.
+# Centres of cells go to every task and must fit in this many bytes.
 BROADCAST_BYTES = 256 << 20
+# So must queries with their k best hits to go to every task; more queries are dealt out in lots.
+QUERY_BYTES = 32 << 20
+# Queries and their best hits that one task holds.
+LOT_BYTES = 128 << 20
+# Most queries and passages of one matrix product.
 QUERY_BLOCK = 16_384
 PASSAGE_BLOCK = 65_536
-_MATRIX_CELLS = 1 << 24
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
+# A lot has at least this many queries, or all.
+_LOT_QUERIES = 4_096
+# Passages are looked at so many at a time, and one product has so many cells.
+_STREAM_ROWS = 8_192
+_MATRIX_CELLS = 1 << 22
+# Pairs scored again at a time.
+_EXACT_PAIRS = 1 << 16
+# Beyond such lengths single precision may overflow.
+_SINGLE_RANGE = 1e15
+_NO_ID = np.iinfo(np.int64).max
+
+
+def _matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
     """A list column as rows of a matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if len(column) == 0:
-        return np.zeros((0, 0))
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+        return np.zeros((0, 0), dtype)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(column), -1)
 
 
 def _best(row: np.ndarray, score: np.ndarray, ident: np.ndarray, k: int):
@@ -48,21 +63,91 @@ def _best(row: np.ndarray, score: np.ndarray, ident: np.ndarray, k: int):
     return row[keep], score[keep], ident[keep]
 
 
+class _Search:
+    """Some queries and the k best passages of each among those met so far."""
+
+    def __init__(self, queries: np.ndarray, k: int, query_block: int = QUERY_BLOCK, passage_block: int = PASSAGE_BLOCK):
+        self.queries, self.k = queries, k
+        self.lengths = np.sqrt(np.einsum("ij,ij->i", queries, queries))
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.single = queries.astype(np.float32)
+        self.scores = np.full((len(queries), k), -np.inf)
+        self.ids = np.full((len(queries), k), _NO_ID)
+        self.width = max(1, min(passage_block, _STREAM_ROWS))
+        self.height = max(1, min(query_block, _MATRIX_CELLS // self.width))
+
+    def meet(self, passages: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Lets the queries (`rows` of them, or all) meet passages."""
+        n = len(self.queries) if rows is None else len(rows)
+        for at in range(0, len(ids), self.width):
+            held, named = passages[at:at + self.width], ids[at:at + self.width]
+            reach = np.sqrt(np.einsum("ij,ij->i", held, held, dtype=np.float64)).max()
+            with np.errstate(over="ignore", invalid="ignore"):
+                single = held.astype(np.float32)
+            for start in range(0, n, self.height):
+                some = slice(start, start + self.height) if rows is None else rows[start:start + self.height]
+                self._meet(np.arange(n)[some] if rows is None else some, some, held, single, reach, named)
+
+    def _meet(self, names, some, held, single, reach, ids) -> None:
+        bound = self.lengths[some] * reach
+        rounding = 0.51 * 10.0 ** -SCORE_PLACES
+        if np.all(bound < _SINGLE_RANGE):
+            scores = self.single[some] @ single.T
+            # Twice the bound on the error of a product of this many terms and of its factors.
+            margin = bound * ((held.shape[1] + 4) * 2.0 ** -23) + rounding
+        else:
+            with np.errstate(over="ignore", invalid="ignore"):
+                scores = self.queries[some] @ held.astype(np.float64).T
+            scores[np.isnan(scores)] = -np.inf
+            margin = np.nan_to_num(bound, posinf=0.0) * ((held.shape[1] + 4) * 2.0 ** -52) + rounding
+        worst = self.scores[some, -1]
+        floor = worst - margin
+        open_rows = np.flatnonzero(worst == -np.inf)
+        if len(open_rows) and scores.shape[1] > self.k:
+            edge = np.partition(scores[open_rows], scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
+            floor[open_rows] = edge - 2 * margin[open_rows]
+        floor = _below(floor, scores.dtype)
+        near = np.flatnonzero(scores.max(axis=1) >= floor)
+        if len(near) == 0:
+            return
+        row, col = np.nonzero(scores[near] >= floor[near, None])
+        row = names[near][row]
+        exact = np.empty(len(row))
+        for at in range(0, len(row), _EXACT_PAIRS):
+            r, c = row[at:at + _EXACT_PAIRS], col[at:at + _EXACT_PAIRS]
+            exact[at:at + _EXACT_PAIRS] = np.einsum("ij,ij->i", self.queries[r], held[c].astype(np.float64))
+        self._take(row, np.round(exact, SCORE_PLACES), ids[col])
+
+    def _take(self, row: np.ndarray, score: np.ndarray, ident: np.ndarray) -> None:
+        met = score >= self.scores[row, -1]
+        row, score, ident = row[met], score[met], ident[met]
+        if len(row) == 0:
+            return
+        changed = np.unique(row)
+        _, scores, ids = _best(
+            np.concatenate([np.repeat(changed, self.k), row]),
+            np.concatenate([self.scores[changed].ravel(), score]),
+            np.concatenate([self.ids[changed].ravel(), ident]), self.k,
+        )
+        self.scores[changed], self.ids[changed] = scores.reshape(-1, self.k), ids.reshape(-1, self.k)
+
+    def found(self):
+        """(query row, score, id) of all that is held, row by row."""
+        row, place = np.nonzero(self.ids != _NO_ID)
+        return row, self.scores[row, place], self.ids[row, place]
+
+
+def _below(floor: np.ndarray, dtype) -> np.ndarray:
+    """The bounds in the type of the scores, never rounded up."""
+    cast = floor.astype(dtype)
+    return np.where(cast > floor, np.nextafter(cast, dtype.type(-np.inf)), cast)
+
+
 def _top_k(queries: np.ndarray, passages: np.ndarray, ids: np.ndarray, k: int):
     """(query row, score, id) of the k best passages per query row."""
-    parts = []
-    step = max(1, _MATRIX_CELLS // max(1, len(ids)))
-    for at in range(0, len(queries), step):
-        scores = np.round(queries[at:at + step] @ passages.T, SCORE_PLACES)
-        if scores.shape[1] > k:
-            edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-            rows, cols = np.nonzero(scores >= edge[:, None])
-        else:
-            rows, cols = (a.ravel() for a in np.indices(scores.shape))
-        parts.append(_best(rows + at, scores[rows, cols], ids[cols], k))
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-    return tuple(np.concatenate([p[i] for p in parts]) for i in range(3))
+    search = _Search(queries, k)
+    search.meet(passages, ids)
+    return search.found()
 
 
 def _schema(queries: DataFrame, keys: list[str]) -> T.StructType:
@@ -72,6 +157,15 @@ def _schema(queries: DataFrame, keys: list[str]) -> T.StructType:
     )
 
 
+def _hits(names: pa.Table, search: _Search):
+    """What a search holds, as batches of (keys, passage_idx, score)."""
+    rows, scores, ids = search.found()
+    for at in range(0, len(rows), _EXACT_PAIRS):
+        part = slice(at, at + _EXACT_PAIRS)
+        table = names.take(pa.array(rows[part])).append_column("passage_idx", pa.array(ids[part]))
+        yield from table.append_column("score", pa.array(scores[part])).combine_chunks().to_batches()
+
+
 def best_hits(hits: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The k best of all tasks. Each task already holds at most k per query."""
     best = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("passage_idx"))
@@ -85,29 +179,25 @@ def best_hits(hits: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 def top_k(
     queries: DataFrame, passages: DataFrame, k: int = 100, keys: list[str] | None = None,
-    broadcast_bytes: int = BROADCAST_BYTES, query_block: int = QUERY_BLOCK,
+    broadcast_bytes: int = QUERY_BYTES, query_block: int = QUERY_BLOCK,
     passage_block: int = PASSAGE_BLOCK,
 ) -> DataFrame:
     """Exact top-k: (keys, rank from 0, passage_idx, score).
 
     Queries whose measured size fits the budget go to every task once and the passages
-    stay where they are. Otherwise both sides are cut into blocks by hash of their ids
-    and every block pair is one bounded group.
+    stay where they are. Otherwise they are dealt out in lots, which all passages visit. The result is
+    written once, as a search is dear and its hits are often used more than once.
     """
     keys = keys or ["query_idx", "pert_idx"]
     # Counted, looked at and met: made once.
-    queries = settle(queries.select(*keys, "embedding"))
+    queries = settle(queries.select(*keys, "embedding").where(F.col("embedding").isNotNull()))
     n_queries, head = queries.count(), queries.select("embedding").first()
     dim = len(head[0]) if head else 0
-    if n_queries * (8 * dim + 48 * k) <= broadcast_bytes:
+    if n_queries * (12 * dim + 48 * k) <= broadcast_bytes:
         hits = _search_with_matrix(queries, passages, k, keys)
     else:
-        cells = passages.agg(F.count(F.lit(1)).alias("_n")).withColumn("_cell", F.lit(0))
-        hits = search_cells(
-            queries.withColumn("_cell", F.lit(0)), passages.withColumn("_cell", F.lit(0)), cells,
-            k, keys, query_block, passage_block,
-        )
-    return best_hits(hits, keys, k)
+        hits = search_cells(queries, passages, k, keys, query_block, passage_block)
+    return settle(best_hits(hits, keys, k))
 
 
 def _search_with_matrix(queries: DataFrame, passages: DataFrame, k: int, keys: list[str]) -> DataFrame:
@@ -118,64 +208,101 @@ def _search_with_matrix(queries: DataFrame, passages: DataFrame, k: int, keys: l
 
     def run(batches):
         names, matrix = shared.value
-        held = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        search = _Search(matrix, k)
         for batch in batches:
-            if len(batch) == 0:
-                continue
-            found = _top_k(matrix, _matrix(batch.column(1)), batch.column(0).to_numpy(), k)
-            held = _best(*(np.concatenate(pair) for pair in zip(held, found)), k)
-        rows, scores, ids = held
-        for part in names.take(pa.array(rows)).append_column("passage_idx", pa.array(ids)).append_column(
-            "score", pa.array(scores)
-        ).to_batches():
-            yield part
+            if len(batch):
+                search.meet(_stored(batch.column(1)), batch.column(0).to_numpy())
+        yield from _hits(names, search)
+
+    held = passages.select("passage_idx", "embedding").where(F.col("embedding").isNotNull())
+    return spread(held).mapInArrow(run, _schema(queries, keys))
 
-    return passages.select("passage_idx", "embedding").mapInArrow(run, _schema(queries, keys))
+
+def _stored(column: pa.Array) -> np.ndarray:
+    """A list column as rows of a matrix, floats as floats."""
+    return _matrix(column, np.float32 if column.type.value_type == pa.float32() else np.float64)
 
 
 def search_cells(
-    queries: DataFrame, passages: DataFrame, cells: DataFrame, k: int, keys: list[str], query_block: int,
-    passage_block: int,
+    queries: DataFrame, passages: DataFrame, k: int, keys: list[str], query_block: int = QUERY_BLOCK,
+    passage_block: int = PASSAGE_BLOCK,
 ) -> DataFrame:
-    """Meets queries and passages of the same `_cell`, in blocks of bounded size.
+    """The k best passages of each query, in lots of queries: (keys, passage_idx, score).
 
-    `cells` holds the passage count of each cell (`_n`) and has one row per cell, so its
-    size is bounded by the number of cells the caller chose. A passage is repeated for each block of queries
-    that ask for its own cell, which is one block unless a cell is asked for by more than `query_block`.
+    A lot is one task. It holds its queries, of bounded size, and the k best passages of each; all passages are
+    sent to every lot and pass by as a stream, so what moves is the queries once and the passages once per lot.
+    With columns `_cells` (array<int>) of queries and `_cell` of passages a query meets the passages of its own cells
+    only, and a lot gets the passages of the cells that its queries ask for. Of passages with the same vector those
+    with the k smallest ids stand for all, as they have the same score.
     """
-    per_cell = queries.groupBy("_cell").agg(F.count(F.lit(1)).alias("_asked"))
-    blocks = F.broadcast(settle(cells.join(per_cell, "_cell").select(
-        "_cell", F.ceil(F.col("_n") / passage_block).cast("int").alias("_parts"),
-        F.ceil(F.col("_asked") / query_block).cast("int").alias("_lots"),
-    )))
-    left = (
-        queries.join(blocks, "_cell")
-        .withColumn("_qb", F.pmod(F.xxhash64(*keys), F.col("_lots")).cast("int"))
-        .withColumn("_pb", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-        .select("_cell", "_qb", "_pb", *keys, "embedding")
+    spark = queries.sparkSession
+    celled = "_cells" in queries.columns
+    head = queries.select("embedding").first()
+    n, dim = queries.count(), len(head[0]) if head else 0
+    asked_cells = F.col("_cells") if celled else F.lit(None).cast("array<int>")
+    n_cells = queries.agg(F.max(F.size("_cells"))).first()[0] or 0 if celled else 0
+    cores = spark.sparkContext.defaultParallelism
+    most = max(1, LOT_BYTES // (12 * dim + 32 * k + 16 * n_cells + 64))
+    lots = max(math.ceil(n / most), min(cores, math.ceil(n / _LOT_QUERIES)), 1)
+    if lots > cores:
+        lots = math.ceil(lots / cores) * cores
+    lot = F.pmod(F.xxhash64(*keys), F.lit(lots)).cast("int")
+    left = queries.select(
+        lot.alias("_lot"), F.lit(0).alias("_kind"), F.lit(0).alias("_cell"), *keys, F.col("embedding").alias("_q"),
+        asked_cells.alias("_cells"), F.lit(None).cast("bigint").alias("passage_idx"),
+        F.lit(None).cast(passages.schema["embedding"].dataType).alias("_p"),
     )
-    right = (
-        passages.join(blocks, "_cell")
-        .withColumn("_pb", F.pmod(F.xxhash64("passage_idx"), F.col("_parts")).cast("int"))
-        .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_lots") - 1)))
-        .select("_cell", "_qb", "_pb", "passage_idx", "embedding")
+    alike = Window.partitionBy("embedding").orderBy("passage_idx")
+    held = passages.where(F.col("embedding").isNotNull()).withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= k).drop("_n")
+    if celled:
+        # One row per cell, with at most as many numbers as there are lots.
+        wanted = queries.select(lot.alias("_lot"), F.explode("_cells").alias("_cell")).distinct()
+        wanted = settle(wanted.groupBy("_cell").agg(F.collect_list("_lot").alias("_lots")))
+        held = held.join(F.broadcast(wanted), "_cell")
+    else:
+        held = held.withColumns({"_cell": F.lit(0), "_lots": F.sequence(F.lit(0), F.lit(lots - 1))})
+    right = held.select(
+        F.explode("_lots").alias("_lot"), F.lit(1).alias("_kind"), F.col("_cell").cast("int").alias("_cell"),
+        *[F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in keys],
+        F.lit(None).cast(queries.schema["embedding"].dataType).alias("_q"), F.lit(None).cast("array<int>").alias("_cells"),
+        "passage_idx", F.col("embedding").alias("_p"),
     )
-    schema = _schema(queries, keys)
-
-    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
-        if asked.num_rows == 0 or held.num_rows == 0:
-            return asked.select(keys).slice(0, 0).append_column(
-                "passage_idx", pa.array([], pa.int64())
-            ).append_column("score", pa.array([], pa.float64()))
-        rows, scores, ids = _top_k(
-            _matrix(asked.column("embedding")), _matrix(held.column("embedding")),
-            held.column("passage_idx").to_numpy(), k,
-        )
-        named = asked.select(keys).take(pa.array(rows))
-        return named.append_column("passage_idx", pa.array(ids)).append_column("score", pa.array(scores))
 
-    group = ["_cell", "_qb", "_pb"]
-    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(run, schema)
+    def run(batches):
+        asked, search, places = [], None, None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            n_asked = int(np.searchsorted(table.column("_kind").to_numpy(), 1))
+            if n_asked:
+                asked.append(table.slice(0, n_asked).select([*keys, "_q", "_cells"]))
+            if n_asked == len(batch) or not asked and search is None:
+                continue
+            if search is None:
+                asked = pa.concat_tables(asked).combine_chunks()
+                names, search = asked.select(keys), _Search(_matrix(asked.column("_q")), k, query_block, passage_block)
+                places = _rows_by_cell(asked.column("_cells")) if celled else None
+                asked = []
+            rest = table.slice(n_asked)
+            met, ids, vectors = (f(rest.column(c).combine_chunks()) for f, c in (
+                (lambda x: x.to_numpy(), "_cell"), (lambda x: x.to_numpy(), "passage_idx"), (_stored, "_p")))
+            edges = np.flatnonzero(np.diff(met, prepend=met[0] - 1)).tolist() + [len(met)]
+            for a, b in zip(edges, edges[1:]):
+                search.meet(vectors[a:b], ids[a:b], places[int(met[a])] if celled else None)
+        if search is not None:
+            yield from _hits(names, search)
+
+    dealt = left.unionByName(right).repartitionById(lots, F.col("_lot")).sortWithinPartitions("_kind", "_cell")
+    return dealt.drop("_lot").mapInArrow(run, _schema(queries, keys))
+
+
+def _rows_by_cell(cells: pa.ChunkedArray) -> dict[int, np.ndarray]:
+    """Which rows ask for a cell, by cell."""
+    cells = cells.combine_chunks()
+    row = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
+    cell = cells.flatten().to_numpy()
+    order = np.argsort(cell, kind="stable")
+    names, first = np.unique(cell[order], return_index=True)
+    return dict(zip(names.tolist(), np.split(row[order], first[1:])))
 
 
 def fit_cells(passages: DataFrame, n_cells: int, seed: int = 42, max_iter: int = 10) -> np.ndarray:
@@ -204,7 +331,26 @@ def nearest_cells(df: DataFrame, keys: list[str], centres: np.ndarray, n: int) -
                 taken.columns + [pa.array(cells, pa.int32())], names=[f.name for f in schema.fields]
             )
 
-    return df.select(*keys, "embedding").mapInArrow(run, schema)
+    return spread(df.select(*keys, "embedding").where(F.col("embedding").isNotNull())).mapInArrow(run, schema)
+
+
+def with_cells(queries: DataFrame, keys: list[str], centres: np.ndarray, n: int) -> DataFrame:
+    """The queries (keys, embedding) with `_cells`, the n cells nearest to each."""
+    shared = queries.sparkSession.sparkContext.broadcast(np.asarray(centres, dtype=np.float64))
+    n = min(n, len(centres))
+    rows = queries.select(*keys, "embedding").where(F.col("embedding").isNotNull())
+    schema = T.StructType(rows.schema.fields + [T.StructField("_cells", T.ArrayType(T.IntegerType()))])
+
+    def run(batches):
+        for batch in batches:
+            if len(batch) == 0:
+                continue
+            search = _Search(_matrix(batch.column(len(keys))), n)
+            search.meet(shared.value, np.arange(len(shared.value)))
+            cells = pa.FixedSizeListArray.from_arrays(pa.array(search.ids.ravel(), pa.int32()), n).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(batch.columns + [cells], names=[f.name for f in schema.fields])
+
+    return rows.mapInArrow(run, schema)
 
 
 def probed_top_k(
@@ -213,16 +359,12 @@ def probed_top_k(
 ) -> DataFrame:
     """Approximate top-k: each query meets the passages of its `probes` nearest cells.
 
-    Query and passages meet in an equi-join on the cell; a cell too full for one group
-    is cut further. With as many probes as cells the result is exact.
+    With as many probes as cells the result is exact. It is written once, like that of `top_k`.
     """
     keys = keys or ["query_idx", "pert_idx"]
-    # Cells are counted and met in two passes that must agree.
-    placed = settle(nearest_cells(passages, ["passage_idx"], centres, 1))
-    cells = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
-    asked = settle(nearest_cells(queries, keys, centres, min(probes, len(centres))))
-    hits = search_cells(asked, placed, cells, k, keys, query_block, passage_block)
-    return best_hits(hits, keys, k)
+    placed = nearest_cells(passages, ["passage_idx"], centres, 1)
+    asked = settle(with_cells(queries, keys, centres, probes))
+    return settle(best_hits(search_cells(asked, placed, k, keys, query_block, passage_block), keys, k))
 
 
 def recall(found: DataFrame, exact: DataFrame, keys: list[str] | None = None) -> DataFrame:

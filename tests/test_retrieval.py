@@ -89,3 +89,61 @@ def test_blocks_of_cells_give_the_same_hits(spark):
     rows = lambda df: sorted((r["query_idx"], r["rank"], r["passage_idx"]) for r in df.collect())
     small = retrieval.top_k(asked, held, 3, broadcast_bytes=0, query_block=20, passage_block=25)
     assert rows(small) == rows(retrieval.top_k(asked, held, 3))
+
+
+def shuffled(df):
+    """Rows that all exchanges of an executed plan wrote."""
+    df.collect()
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        own = node.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+        return own + sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_small_blocks_do_not_multiply_what_moves(data):
+    queries, passages, _ = data
+    hits = retrieval.search_cells(queries, passages, 7, ["query_idx", "pert_idx"], query_block=1, passage_block=1)
+    # The queries, the passages for one lot, and the passages once more to find equal vectors.
+    assert shuffled(hits) <= 40 + 2 * 300
+
+
+def test_many_lots_equal_one(data, monkeypatch):
+    queries, passages, best = data
+    monkeypatch.setattr(retrieval, "LOT_BYTES", 4_000)
+    assert found(retrieval.top_k(queries, passages, 7, broadcast_bytes=0)) == best
+    centres = np.eye(8)[:5]
+    assert found(retrieval.probed_top_k(queries, passages, centres, 7, probes=5)) == best
+
+
+@pytest.mark.parametrize("length", [1.0, 1e-4, 1e5, 1e12, 1e18])
+def test_single_precision_loses_no_hit(length):
+    """Scores that single precision cannot tell apart, ties, and lengths beyond its range."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=64)
+    held = (base + rng.normal(size=(500, 64)) * 1e-6) * length
+    held[400:] = held[:100]
+    asked = (base + rng.normal(size=(20, 64)) * 1e-6) * length
+    exact = np.round(np.array([[np.einsum("i,i", q, p) for p in held] for q in asked]), 6)
+    rows, scores, ids = retrieval._top_k(asked, held, np.arange(500), 9)
+    for q in range(20):
+        order = sorted(range(500), key=lambda p: (-exact[q, p], p))[:9]
+        got = scores[rows == q]
+        assert np.allclose(got, exact[q, order], rtol=1e-14, atol=2e-6 * min(1, length ** 2))
+        if length <= 1:
+            assert ids[rows == q].tolist() == order
+
+
+def test_many_copies_of_a_passage(spark):
+    """Equal vectors have equal scores, so the smallest ids are the hits and the others need not meet anybody."""
+    held = spark.range(3000).select(F.col("id").alias("passage_idx"), F.array(F.lit(0.6), F.when(F.col("id") < 5, 0.1).otherwise(0.8)).alias("embedding"))
+    asked = held.select(F.col("passage_idx").alias("query_idx"), F.lit(0).alias("pert_idx"), "embedding")
+    hits = retrieval.top_k(asked, held, 3, broadcast_bytes=0)
+    assert hits.count() == 9000 and hits.where("passage_idx != rank + 5").count() == 0
+    assert shuffled(retrieval.search_cells(asked, held, 3, ["query_idx", "pert_idx"])) < 3000 + 3000
