@@ -386,10 +386,11 @@ def with_text(hits: DataFrame, passages: DataFrame) -> DataFrame:
 def nest_hits(hits: DataFrame, keys: list[str] | None = None, queries: DataFrame | None = None) -> DataFrame:
     """One record per query with all its candidates in rank order; `top_k` sets how many there are.
 
+    Hits without a column `text` give candidates without one.
     With `queries`, which has the keys, every query gets a record, an empty list if nothing was found.
     """
     keys = keys or ["query_idx", "pert_idx"]
-    entry = F.struct("rank", "passage_idx", "text", "score")
+    entry = F.struct(*[c for c in ("rank", "passage_idx", "text", "score") if c in hits.columns])
     nested = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("candidates"))
     if queries is None:
         return nested

@@ -124,7 +124,7 @@ def probed_all_cells(spark: SparkSession, folder: str) -> DataFrame:
 @query("f3_probed_recall")
 def probed_recall(spark: SparkSession, folder: str) -> DataFrame:
     centres = cells(spark, folder)
-    asked, held = perturbed_vectors(spark, folder), passages(spark, folder)
+    asked, held = settle(perturbed_vectors(spark, folder)), passages(spark, folder)
     exact = retrieval.top_k(asked, held, K)
     rows = None
     for probes in (1, 4, N_CELLS):
@@ -159,7 +159,7 @@ ENOUGH = 12
 def stored_recall(spark: SparkSession, folder: str) -> DataFrame:
     """Recall of the stored index does not fall with the probes, reaches 0.9 at `ENOUGH` and 1 at all cells."""
     path, asked = stored_index(spark, folder), settle(perturbed_vectors(spark, folder))
-    exact = settle(retrieval.top_k(asked, passages(spark, folder), K))
+    exact = retrieval.top_k(asked, passages(spark, folder), K)
     rows, before = [], 0.0
     for probes in (1, 4, ENOUGH, N_CELLS):
         found = retrieval.recall(cell_index.search(asked, path, K, probes=probes), exact).first()
@@ -183,9 +183,11 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
     "SELECT query_idx, pert_idx::BIGINT AS pert_idx, rank, passage_idx, md5(text) AS text_md5 "
     "FROM perturbed_top JOIN texts USING (passage_idx)", *PERTURBED_TOP, TEXTS))
 def passage_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The digest is taken once per passage, so no text travels to the hits."""
     hits = hit_columns(perturbed_hits(spark, folder))
-    return retrieval.with_text(hits, texts(spark, folder)).select(
-        "query_idx", "pert_idx", "rank", "passage_idx", F.md5("text").alias("text_md5")
+    digests = texts(spark, folder).withColumn("text", F.md5("text"))
+    return retrieval.with_text(hits, digests).select(
+        "query_idx", "pert_idx", "rank", "passage_idx", F.col("text").alias("text_md5")
     )
 
 
@@ -199,11 +201,12 @@ ALL_TEXTS = "all_texts AS (SELECT doc_id AS passage_idx, text FROM documents)"
     "FROM perturbed_top JOIN all_texts USING (passage_idx) GROUP BY ALL) USING (query_idx, pert_idx)",
     *PERTURBED_TOP, ALL_TEXTS))
 def nested_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """A record for every query, also for those whose hits have no text."""
+    """A record for every query, also for those whose hits have no text. Shown are ids alone, so texts are not carried."""
     all_texts = given(spark, folder, "documents").select(F.col("doc_id").alias("passage_idx"), "text")
-    hits = retrieval.with_text(hit_columns(perturbed_hits(spark, folder)), all_texts)
+    asked = settle(perturbed_vectors(spark, folder))
+    hits = retrieval.with_text(hit_columns(retrieval.top_k(asked, passages(spark, folder), K)), all_texts).drop("text")
     shown = F.transform("candidates", lambda c: F.concat_ws(":", c["rank"].cast("string"), c["passage_idx"].cast("string")))
-    records = retrieval.nest_hits(hits, queries=perturbed_vectors(spark, folder))
+    records = retrieval.nest_hits(hits, queries=asked)
     return records.select("query_idx", "pert_idx", F.array_join(shown, ",").alias("candidates"))
 
 

@@ -147,3 +147,18 @@ def test_many_copies_of_a_passage(spark):
     hits = retrieval.top_k(asked, held, 3, broadcast_bytes=0)
     assert hits.count() == 9000 and hits.where("passage_idx != rank + 5").count() == 0
     assert shuffled(retrieval.search_cells(asked, held, 3, ["query_idx", "pert_idx"])) < 3000 + 3000
+
+
+def test_hits_are_searched_once(data):
+    """Hits are read back, so counting hot keys, joining and comparing do not search again."""
+    queries, passages, _ = data
+    centres = np.eye(8)[:5]
+    for hits in (retrieval.top_k(queries, passages, 7), retrieval.top_k(queries, passages, 7, broadcast_bytes=0),
+                 retrieval.probed_top_k(queries, passages, centres, 7, probes=2)):
+        assert "MapInArrow" not in hits._jdf.queryExecution().toString()
+
+
+def test_candidates_without_text(data):
+    queries, passages, best = data
+    nested = retrieval.nest_hits(retrieval.top_k(queries, passages, 7), queries=queries).collect()
+    assert {(r["query_idx"], c["rank"], c["passage_idx"]) for r in nested for c in r["candidates"]} == best
