@@ -170,3 +170,21 @@ def test_report_replaces_the_older_one(spark):
         publish.write_report(spark.range(n), path)
     lines = [json.loads(x) for f in glob.glob(f"{path}/*.json") for x in open(f)]
     assert sorted(x["id"] for x in lines) == [0, 1]
+
+
+def test_queries_of_a_bucket_share_a_state(spark):
+    """However many queries are open, a batch calls Python once per bucket."""
+    columns = {c: F.lit(None).cast(t) for c, t in (f.split(" ") for f in (
+        "question string,correct_answer string,all_answers array<string>,perturbation_type int,perturbation_text string,"
+        "perturbed_query string,wrong_belief string,t2_variant string,topic string,is_empty boolean").split(","))}
+    rows = spark.range(3000).select(F.col("id").alias("query_idx"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("slot_idx")).withColumns(columns)
+    rows = rows.unionByName(rows.where("query_idx < 5").withColumn("query_idx", F.lit(None).cast("bigint")))
+    folder, out, checkpoint = (scratch_path(spark, n) for n in ("many", "many_out", "many_checkpoint"))
+    for part, total in ((rows.where("slot_idx < 3"), 9), (rows.where("slot_idx >= 2"), 0)):
+        part.coalesce(1).write.mode("append").parquet(folder)
+        groups = completion.completed(spark.readStream.schema(rows.schema).parquet(folder), buckets=8)
+        done = groups.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        done.awaitTermination()
+        assert sum(op.numRowsTotal for op in done.recentProgress[-1].stateOperators) == total
+    got = spark.read.parquet(out)
+    assert got.where("is_complete").count() == 15_005 and got.distinct().count() == 15_005
