@@ -188,3 +188,18 @@ def test_queries_of_a_bucket_share_a_state(spark):
         assert sum(op.numRowsTotal for op in done.recentProgress[-1].stateOperators) == total
     got = spark.read.parquet(out)
     assert got.where("is_complete").count() == 15_005 and got.distinct().count() == 15_005
+
+
+def test_a_large_stream_has_more_files_and_as_many_batches(spark, monkeypatch):
+    """Tasks that write a stream stay small, and the files of a trigger grow in number instead."""
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 100)
+    rows = spark.range(4000).select((F.col("id") % 2 == 0).alias("correct"), F.lit("no").alias("judge_raw"))
+    cores = spark.sparkContext.defaultParallelism
+    out = scratch_path(spark, "large")
+    run = marking.start_counting(stream_queries.as_stream(spark, rows, "l", per_trigger=2, most=4000), out, scratch_path(spark, "lc"))
+    run.awaitTermination()
+    assert marking.counted(spark, out).first()["n_done"] == 4000
+    assert len(glob.glob(f"{out}/batch=*")) == -(-cores // 2)
+    source = json.loads(run.lastProgress.json)["sources"][0]["description"]
+    files = glob.glob(source.split("[file:")[1].rstrip("]") + "/*.parquet")
+    assert len(files) == cores * -(-4000 // (cores * 100))
