@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 
 # The split pattern of the tokenizer (a fixed value), narrowed to letters with one code point in
 # Latin-1, ASCII digits and ASCII punctuation, and to lines; other chunks go to the tokenizer whole.
-_PLAIN = re.compile("[A-Za-z0-9À-ÖØ-öø-ÿ!-/:-@\\[-`{-~]+")
+_PLAIN = "\\A[A-Za-z0-9À-ÖØ-öø-ÿ!-/:-@\\[-`{-~]+\\z"
 _MARKS = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-z0-9ß-öø-ÿ]+")
 # Cached words; beyond that the cache starts anew.
 MOST_CACHED = 1 << 18
@@ -96,9 +96,10 @@ class Encoder:
         self._words.update(zip(new, self._encode_words(new)))
         return [self._words[w] for w in words]
 
-    def _of_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _of_chunks(self, found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of different chunks: all ids, and where each chunk's begin and how many they are."""
-        plain = np.fromiter((_PLAIN.fullmatch(c) is not None for c in chunks), bool, len(chunks))
+        chunks = found.to_pylist()
+        plain = pc.match_substring_regex(found, _PLAIN).to_numpy(zero_copy_only=False).astype(bool)
         whole_text = "\n".join(chunks)
         if any(s in whole_text for s in self._special):
             plain &= np.fromiter((not any(s in c for s in self._special) for c in chunks), bool, len(chunks))
@@ -130,7 +131,7 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = split.flatten().dictionary_encode()
-        found = self._of_chunks(coded.dictionary.to_pylist())
+        found = self._of_chunks(coded.dictionary)
         ids, ends = _gather(*found, coded.indices.to_numpy())
         at = split.offsets.to_numpy().astype(np.int64)
         return ids, np.concatenate([[0], ends])[at - at[0]]

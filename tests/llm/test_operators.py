@@ -351,3 +351,18 @@ def test_base_hash_of_no_spans(docs):
     empty = docs.where("doc_id = 5")
     found = pii.find(empty).select(F.sha2(pii.span_list(F.col("base_spans")), 256)).first()[0]
     assert found == hashlib.sha256(b"").hexdigest()
+
+
+def test_plain_chunks_are_told_by_one_vectorised_match():
+    """The test of chunks gives what a full match of each gives."""
+    import re
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from steadfetch.llm import tokens
+
+    plain = re.compile("[A-Za-z0-9À-ÖØ-öø-ÿ!-/:-@\\[-`{-~]+")
+    chunks = [a + chr(i) + b for i in range(1, 0x500) for a, b in (("", ""), ("a", "b"))] + ["", "a\n", "é漢", "Straße"]
+    found = pc.match_substring_regex(pa.array(chunks), tokens._PLAIN).to_pylist()
+    assert found == [plain.fullmatch(c) is not None for c in chunks]
