@@ -21,15 +21,18 @@ from .question_queries import ASSEMBLED, assembled
 FILE_ROWS = 1_000_000
 
 
-def as_stream(spark: SparkSession, rows: DataFrame, name: str, per_trigger: int = 2, most: int = 0) -> DataFrame:
+def as_stream(
+    spark: SparkSession, rows: DataFrame, name: str, per_trigger: int = 2, most: int = 0, by: list[str] | None = None
+) -> DataFrame:
     """The rows as a stream of files, a few per trigger, in no useful order.
 
+    `by` names columns that tell rows apart: files are then dealt by their hash, which needs no sort of the rows.
     `most` is a bound on the number of rows: above FILE_ROWS for a core there are more files, and as many more
     per trigger, so that tasks stay small and batches as many as they were.
     """
     path, cores = scratch_path(spark, name), spark.sparkContext.defaultParallelism
     times = max(1, math.ceil(most / (cores * FILE_ROWS)))
-    rows.repartition(cores * times).write.parquet(path)
+    rows.repartition(cores * times, *(by or [])).write.parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_trigger * times).parquet(path)
 
 
@@ -116,10 +119,11 @@ def incremental_marks(spark: SparkSession, folder: str) -> DataFrame:
 
 def verdict_stream(spark: SparkSession, folder: str) -> DataFrame:
     rows = pairs(spark, folder).select(
-        "query_idx", "doc_key", "correct", F.when(F.col("correct"), "yes (em)").otherwise("no").alias("judge_raw")
+        "query_idx", "doc_key", "pert_idx", "correct", F.when(F.col("correct"), "yes (em)").otherwise("no").alias("judge_raw")
     )
     # A candidate has five rewrites.
-    return as_stream(spark, rows, "marks", per_trigger=4, most=5 * given(spark, folder, "lineitem").count())
+    most = 5 * given(spark, folder, "lineitem").count()
+    return as_stream(spark, rows, "marks", per_trigger=4, most=most, by=["query_idx", "doc_key", "pert_idx"])
 
 
 @query("l3_running_robustness", with_ctes(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -106,26 +106,32 @@ def progress_rows(query: StreamingQuery, name: str = "progress") -> list[tuple[i
 
 
 def start_running_robustness(verdicts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Writes the changed means of each batch to a folder of its own, in update mode."""
+    """Writes the counts of each batch, one row per (query, document) it marks, to a folder of its own.
+
+    The stream holds no state: what a pair has so far is the sum over the folders (`latest`), or over the folded
+    table and the folders since (`newest`), so a batch costs what it brings, however many pairs came before it.
+    """
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        running_robustness(batch).drop("robustness").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return (
-        running_robustness(verdicts).writeStream.outputMode("update").foreachBatch(keep)
+        verdicts.writeStream.foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def latest(updates: DataFrame) -> DataFrame:
-    """The last written row per (query, document). `batch` comes from the folder names."""
-    return _newest(updates).drop("batch")
+def _summed(counts: DataFrame, *more) -> DataFrame:
+    """Adds up counts per (query, document); sums combine per task before they move."""
+    return counts.groupBy("query_idx", "doc_key").agg(
+        F.sum("n_marks").alias("n_marks"), F.sum("n_correct").alias("n_correct"), *more
+    )
 
 
-def _newest(updates: DataFrame) -> DataFrame:
-    newest = Window.partitionBy("query_idx", "doc_key").orderBy(F.desc("batch"))
-    return updates.withColumn("_n", F.row_number().over(newest)).where("_n <= 1").drop("_n")
+def latest(counts: DataFrame) -> DataFrame:
+    """Counts and mean mark per (query, document) over all batches so far."""
+    return _summed(counts).withColumn("robustness", F.col("n_correct") / F.col("n_marks"))
 
 
 def _pending(spark: SparkSession, out: str) -> list[tuple[int, str]]:
@@ -140,24 +146,26 @@ def _pending(spark: SparkSession, out: str) -> list[tuple[int, str]]:
 
 
 def fold(spark: SparkSession, out: str, state: str) -> int:
-    """Merges the updates below `out` into the bucketed table `state`; returns how many batches were folded.
+    """Adds the counts below `out` to the bucketed table `state`; returns how many batches were folded.
 
-    Only buckets that the updates touch are read and rewritten. Rows carry their batch, so folding the same
-    updates twice changes nothing; their folders are deleted once the state holds them. One caller at a time, and
-    not while the stream writes.
+    Only buckets that the counts touch are read and rewritten. A row of the state carries the last batch that is in
+    it, and batches up to that one are not added again, so folding the same folders twice changes nothing; they
+    are deleted once the state holds them. One caller at a time, and not while the stream writes.
     """
     batches = _pending(spark, out)
     if not batches:
         return 0
     parts = [spark.read.parquet(path).withColumn("batch", F.lit(number).cast("bigint")) for number, path in batches]
     bucket = F.pmod(F.xxhash64("query_idx", "doc_key"), F.lit(BUCKETS)).cast("int")
-    fresh = settle(_newest(reduce(DataFrame.unionByName, parts)).withColumn("bucket", bucket))
+    fresh = settle(reduce(DataFrame.unionByName, parts).withColumn("bucket", bucket))
     merged = fresh
     if exists(spark, state):
         touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # BUCKETS numbers at most
-        held = spark.read.parquet(state).where(F.col("bucket").isin(touched))
-        merged = settle(_newest(held.select(fresh.columns).unionByName(fresh)))
-    dealt = merged.repartition("bucket")
+        held = settle(spark.read.parquet(state).where(F.col("bucket").isin(touched)).select(fresh.columns))
+        known = held.select("query_idx", "doc_key", F.col("batch").alias("_known"))
+        added = fresh.join(known, ["query_idx", "doc_key"], "left").where("_known IS NULL OR batch > _known").drop("_known")
+        merged = held.unionByName(added)
+    dealt = _summed(merged, F.max("batch").alias("batch"), F.any_value("bucket").alias("bucket")).repartition("bucket")
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(state)
     at = spark._jvm.org.apache.hadoop.fs.Path
     for _, path in batches:
@@ -166,11 +174,8 @@ def fold(spark: SparkSession, out: str, state: str) -> int:
 
 
 def newest(spark: SparkSession, out: str, state: str) -> DataFrame:
-    """The newest mean per (query, document): the folded table, and whatever updates came since."""
-    rows = [spark.read.parquet(path).withColumn("batch", F.lit(number).cast("bigint")) for number, path in _pending(spark, out)]
+    """Counts and mean mark per (query, document): the folded table, and whatever batches came since."""
+    rows = [spark.read.parquet(path) for _, path in _pending(spark, out)]
     if exists(spark, state):
-        folded = spark.read.parquet(state).drop("bucket")
-        if not rows:
-            return folded.drop("batch")
-        rows.append(folded)
+        rows.append(spark.read.parquet(state).drop("bucket", "batch"))
     return latest(reduce(DataFrame.unionByName, rows))
