@@ -133,15 +133,18 @@ def group_key() -> Column:
     return F.concat_ws("_", F.col("query_idx"), F.coalesce(F.col("pert_idx"), F.lit(-1)))
 
 
-def nest_groups(records: DataFrame, part: int = LIST_PART) -> DataFrame:
+NESTED_FIELDS = ("doc_ord", "text", "score", "doc_rank")
+
+
+def nest_groups(records: DataFrame, part: int = LIST_PART, *, fields: tuple[str, ...] = NESTED_FIELDS) -> DataFrame:
     """One record per (query, rewrite) with its documents in `doc_ord` order.
 
     Groups from the drawing above hold 1 + N documents. A group with more than `part`
-    goes on in records with part_no 1, 2, ... `doc_ord` must count from 0 in each group.
+    goes on in records with part_no 1, 2, ... `doc_ord` must count from 0 in each group. Who needs few of a
+    document's `fields` names them, `doc_ord` first, and the others do not move.
     """
-    entry = F.struct(
-        "doc_ord", F.col("document").alias("text"), F.col("robustness_score").alias("score"), "doc_rank"
-    )
+    source = {"text": "document", "score": "robustness_score"}
+    entry = F.struct(*[F.col(source.get(name, name)).alias(name) for name in fields])
     keyed = records.withColumn("key", group_key()).withColumn("part_no", F.floor(F.col("doc_ord") / part))
     return keyed.groupBy("key", "part_no").agg(
         F.min_by("question", "doc_ord").alias("question"),

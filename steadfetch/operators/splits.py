@@ -10,6 +10,9 @@ from ..session import settle
 from .groups import PAD_ID
 from .ordinal import dense_ordinal
 
+# Groups of at most this many documents are sampled inside their row.
+SMALL_GROUP = 64
+
 
 def query_of(key: Column) -> Column:
     return F.split_part(key, F.lit("_"), F.lit(1)).cast("bigint")
@@ -145,16 +148,14 @@ def _numbered(groups: DataFrame, chosen, total: str) -> DataFrame:
     )
 
 
-def sample_over_parts(
+def _sample_by_number(
     groups: DataFrame, n_neg: int = 10, seed: int = 42, epoch: int = 0, redraw_positive: bool = False
 ) -> DataFrame:
-    """(key, item_no, pos_at, picked, labels) of all positives of groups with a part_no.
+    """`sample_over_parts` for groups of any size.
 
-    The draws of `sample_items` from the whole group: its negatives are numbered once, an item draws numbers,
-    and number meets negative in an equi-join on (key, number), no hot key. The work grows with documents and with
-    items x `n_neg`, never with items x documents.
+    A group's negatives are numbered once, an item draws numbers, and number meets negative in an equi-join on
+    (key, number), no hot key. The work grows with documents and with items x `n_neg`, never with items x documents.
     """
-    groups = settle(groups)
     is_neg = (lambda mask, score: score == 0) if redraw_positive else (lambda mask, score: ~mask)
     negatives = settle(_numbered(groups, is_neg, "_total"))
     free = negatives.groupBy("key").agg(F.max("_total").alias("_of_negatives"))
@@ -177,6 +178,31 @@ def sample_over_parts(
     )
 
 
+def sample_over_parts(
+    groups: DataFrame, n_neg: int = 10, seed: int = 42, epoch: int = 0, redraw_positive: bool = False
+) -> DataFrame:
+    """(key, item_no, pos_at, picked, labels) of all positives of groups with a part_no.
+
+    The draws of `sample_items` from the whole group. Groups of one part and at most SMALL_GROUP documents
+    draw inside their row and do not move; all others meet their negatives by number.
+    """
+    groups = settle(groups)
+    few = F.coalesce((F.col("part_no") == 0) & (F.size("pos_mask") <= SMALL_GROUP), F.lit(False))
+    longer = groups.where("part_no <> 0").select("key").distinct()
+    small, large = groups.where(few), groups.where(~few)
+    if not longer.isEmpty():
+        # A key's parts stay together, however short its first one is.
+        small, large = small.join(longer, "key", "left_anti"), large.unionByName(small.join(longer, "key", "left_semi"))
+    drawn = sample_items(positive_items(small.drop("part_no")), n_neg, seed, epoch, redraw_positive)
+    inside = drawn.select(
+        "key", F.col("item_no").cast("bigint").alias("item_no"), F.col("pos_at").cast("bigint").alias("pos_at"),
+        F.col("picked").cast("array<bigint>").alias("picked"), "labels",
+    )
+    if large.isEmpty():
+        return inside
+    return inside.unionByName(_sample_by_number(large, n_neg, seed, epoch, redraw_positive))
+
+
 def padded_batches(rows: DataFrame, order: list[Column], batch_size: int = 32) -> DataFrame:
     """Adds batch, input_ids padded to the longest of the batch, and attention_mask."""
     numbered = dense_ordinal(rows, order).withColumn("batch", F.floor(F.col("ordinal") / batch_size))

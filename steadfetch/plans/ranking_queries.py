@@ -67,7 +67,7 @@ items AS (
 
 
 def array_groups(spark: SparkSession, folder: str) -> DataFrame:
-    nested = groups.nest_groups(ordered(spark, folder))
+    nested = groups.nest_groups(ordered(spark, folder), fields=("doc_ord", "score"))
     return nested.select(
         "key", "part_no", F.transform("docs", lambda d: d["score"] > 0).alias("pos_mask"),
         F.transform("docs", lambda d: d["score"]).alias("scores"),
