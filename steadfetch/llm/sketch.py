@@ -127,11 +127,16 @@ def short_signature(signature: np.ndarray) -> np.ndarray:
     return (bits << np.arange(0, 64, SHORT_BITS, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
 
 
-def estimate(one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Similarity by short signatures; the chance that bits agree by accident is taken off."""
+def differing(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many registers of short signatures differ."""
     differ = one ^ other
     differ = (differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)
-    agree = 1 - np.bitwise_count(differ).sum(axis=1) / REGISTERS
+    return np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+
+
+def estimate(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Similarity by short signatures; the chance that bits agree by accident is taken off."""
+    agree = 1 - differing(one, other) / REGISTERS
     by_chance = 0.5**SHORT_BITS
     return (agree - by_chance) / (1 - by_chance)
 

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Paths that `settle` has written inside a `settle_last`.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
 def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
     """A local session for tests and benches; clusters bring their own session."""
     builder = (
@@ -64,9 +70,27 @@ def settle(df: DataFrame) -> DataFrame:
     })
     # Read once or twice and then kept until the application ends: small counts for more than fast.
     plain.write.option("compression", "zstd").parquet(path)
+    if (passing := _passing.get()) is not None:
+        passing.append(path)
     return spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
 
 
+def settle_last(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """Settles what `build` returns and deletes the tables that were settled on the way to it."""
+    held: list[str] = []
+    outer = _passing.set(held)
+    try:
+        last = build()
+        _passing.reset(outer)
+        outer = None
+        return settle(last)
+    finally:
+        if outer is not None:
+            _passing.reset(outer)
+        for path in held:
+            _delete(spark, path.rsplit("/", 1)[0])
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the checkpoint folder."""
     return f"{_scratch_root(spark)}/{uuid.uuid4().hex}/{name}"
@@ -78,5 +102,9 @@ def _scratch_root(spark: SparkSession) -> str:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes all that this application settled; call it when no result is needed any more."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
-    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+    _delete(spark, _scratch_root(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
