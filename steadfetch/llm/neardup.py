@@ -22,6 +22,8 @@ SLICE_DOCS, SLICE_BYTES = 512, 1 << 22
 BLOCK_NODES, PAIRS = 4096, 1 << 17
 # Texts that are compared in one group of a task, by number and bytes, and those that go to every such group of a neighbourhood.
 GROUP_NODES, GROUP_BYTES, HEADS = 1024, 1 << 24, 32
+# Nodes whose hashes, 8 bytes each, go to all tasks, so that other texts need not move.
+FEW_NODES = 2_000_000
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -327,6 +329,14 @@ def _links(held: DataFrame, least: float) -> DataFrame:
     return found.unionByName(_compare(left.unionByName(right), least))
 
 
+def _texts_of(near: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of the nodes of `near`, and at most a few others whose hashes are the same."""
+    if near.count() > FEW_NODES:
+        return texts.join(near, "node", "left_semi")
+    keys = near.select(F.xxhash64("node").alias("key"))
+    return texts.withColumn("key", F.xxhash64("node")).join(F.broadcast(keys), "key", "left_semi").drop("key")
+
+
 def _classes(packed: DataFrame, least: float) -> DataFrame:
     """(node, comp) of all texts that are similar to another text; `packed` has node and text."""
     texts = packed.where("node IS NOT NULL").select("node", "text")
@@ -337,7 +347,7 @@ def _classes(packed: DataFrame, least: float) -> DataFrame:
     members = settle(members.join(shared, "band", "left_semi"))
     near = settle(_neighbourhoods(members, nodes, least))
     # Copies combine before the texts move.
-    needed = texts.join(near, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text"))
+    needed = _texts_of(near, texts).groupBy("node").agg(F.any_value("text").alias("text"))
     held = settle(needed.join(near, "node").join(nodes.select("node", "signature"), "node"))
     return components(_links(held, least))
 

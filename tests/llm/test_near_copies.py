@@ -130,6 +130,20 @@ def test_tables_on_the_way_are_deleted(spark):
         assert run(docs).count() and len(set(root.glob("*")) - before) == 1
 
 
+def test_few_texts_are_found_without_moving_the_others(spark, monkeypatch):
+    """By broadcast hashes or by a join, each text of a wanted node comes as often as it is there."""
+    texts_of = spark.range(200).selectExpr("CAST(CAST(id % 50 AS STRING) AS BINARY) AS node", "CAST(id AS STRING) AS text")
+    near = texts_of.where("text < '3'").select("node").distinct()
+    want = sorted((bytes(r["node"]), r["text"]) for r in texts_of.join(near, "node").collect())
+    plans = []
+    for few in (neardup.FEW_NODES, 1):
+        monkeypatch.setattr(neardup, "FEW_NODES", few)
+        found = neardup._texts_of(near, texts_of)
+        assert sorted((bytes(r["node"]), r["text"]) for r in found.collect()) == want
+        plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+    assert "strategy=broadcast" in plans[0] and "strategy=broadcast" not in plans[1]
+
+
 def test_recall_of_the_bands():
     """Registers that agree with chance 0.8 share a band but for some in 100,000."""
     rng = np.random.default_rng(0)
