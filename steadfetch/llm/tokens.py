@@ -22,10 +22,10 @@ import pyarrow.compute as pc
 # Latin-1, ASCII digits and ASCII punctuation, and to lines; other chunks go to the tokenizer whole.
 _PLAIN = "\\A[A-Za-z0-9À-ÖØ-öø-ÿ!-/:-@\\[-`{-~]+\\z"
 _MARKS = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-z0-9ß-öø-ÿ]+")
-# Cached words; beyond that the cache starts anew.
+# Cached words, half of them in the older part; the words of one slice come on top.
 MOST_CACHED = 1 << 18
 # New words that are encoded as one text.
-TOGETHER = 4096
+TOGETHER = 256
 # Texts are encoded in slices of at most this many, and about as many bytes.
 SLICE_DOCS, SLICE_BYTES = 8192, 1 << 21
 
@@ -54,6 +54,11 @@ def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint32), np.cumsum(counts) - counts, counts
 
 
+def _strings(found: pa.Array) -> list[str]:
+    """The values of an array without nulls; `to_pylist` makes a scalar of each first, which takes several times as long."""
+    return found.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """Ids of texts by a tokenizer file."""
 
@@ -70,17 +75,20 @@ class Encoder:
         self._last = np.zeros(max(vocabulary.values()) + 1, bool)
         if suffix:
             self._last[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
+        # Words of plain chunks are in normal form already: the same model and pattern without the normalizer.
+        self._word_tokenizer = Tokenizer(self._tokenizer.model)
+        self._word_tokenizer.pre_tokenizer = self._tokenizer.pre_tokenizer
         self._words: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    def _encode(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        found = (tokenizer or self._tokenizer).encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for begin in range(0, len(words), TOGETHER):
-            some = words[begin : begin + TOGETHER]
-            data = self._encode([" ".join(some)])[0]
+        lots = [words[begin : begin + TOGETHER] for begin in range(0, len(words), TOGETHER)]
+        for some, data in zip(lots, self._encode([" ".join(some) for some in lots], self._word_tokenizer)):
             ends = 4 * (np.flatnonzero(self._last[np.frombuffer(data, np.uint32)]) + 1)
             if len(ends) != len(some) or ends[-1] != len(data):
                 out += self._encode(some)
@@ -90,29 +98,35 @@ class Encoder:
         return out
 
     def _of_words(self, words: list[str]) -> list[bytes]:
-        if len(self._words) > MOST_CACHED:
-            self._words.clear()
-        new = [w for w in words if w not in self._words]
-        self._words.update(zip(new, self._encode_words(new)))
-        return [self._words[w] for w in words]
+        # Words that were not seen since the parts last changed go; the frequent ones stay.
+        if len(self._words) > MOST_CACHED // 2:
+            self._older, self._words = self._words, {}
+        parts = [self._words.get(w) or self._older.get(w) for w in words]
+        new = [k for k, part in enumerate(parts) if part is None]
+        for k, part in zip(new, self._encode_words([words[k] for k in new])):
+            parts[k] = part
+        self._words.update(zip(words, parts))
+        return parts
 
     def _of_chunks(self, found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of different chunks: all ids, and where each chunk's begin and how many they are."""
-        chunks = found.to_pylist()
+        chunks = _strings(found)
         plain = pc.match_substring_regex(found, _PLAIN).to_numpy(zero_copy_only=False).astype(bool)
-        whole_text = "\n".join(chunks)
-        if any(s in whole_text for s in self._special):
+        # Every plain chunk is followed by a line end, which has no ids.
+        lines = "\n".join(chunks) + "\n"
+        if any(s in lines for s in self._special):
             plain &= np.fromiter((not any(s in c for s in self._special) for c in chunks), bool, len(chunks))
-        rest = [c for c, p in zip(chunks, plain) if not p]
+        rest = []
+        if not plain.all():
+            rest = [chunks[k] for k in np.flatnonzero(~plain).tolist()]
+            lines = "".join([chunks[k] + "\n" for k in np.flatnonzero(plain).tolist()])
         flat, starts, counts = _joined(self._encode(rest) if rest else [])
         all_starts, all_counts = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
         all_starts[~plain], all_counts[~plain] = starts, counts
         if not plain.any():
             return flat, all_starts, all_counts
-        # Every plain chunk is followed by a line end, which has no ids.
-        cut = _MARKS.findall("".join([c + "\n" for c, p in zip(chunks, plain) if p]).lower())
-        coded = pa.array(cut).dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        coded = pa.array(_MARKS.findall(lines.lower()), pa.string()).dictionary_encode()
+        words, codes = _strings(coded.dictionary), coded.indices.to_numpy()
         line_end = words.index("\n")
         parts = self._of_words([*words[:line_end], *words[line_end + 1 :]])
         parts.insert(line_end, b"")

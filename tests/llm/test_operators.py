@@ -366,3 +366,41 @@ def test_plain_chunks_are_told_by_one_vectorised_match():
     chunks = [a + chr(i) + b for i in range(1, 0x500) for a, b in (("", ""), ("a", "b"))] + ["", "a\n", "é漢", "Straße"]
     found = pc.match_substring_regex(pa.array(chunks), tokens._PLAIN).to_pylist()
     assert found == [plain.fullmatch(c) is not None for c in chunks]
+
+
+def test_frequent_words_are_encoded_once(monkeypatch):
+    """A word of every slice stays cached while rare ones come and go, and no ids change."""
+    import pyarrow as pa
+
+    from steadfetch.llm import tokens
+
+    monkeypatch.setattr(tokens, "MOST_CACHED", 40)
+    path = queries.tokenizer_path()
+    own, plain = tokens.Encoder(path), Tokenizer.from_file(path)
+    encoded, encode_words = Counter(), own._encode_words
+    monkeypatch.setattr(own, "_encode_words", lambda words: encoded.update(words) or encode_words(words))
+    for k in range(30):
+        texts = ["Often, rare" + "".join("abcdefghij"[int(d)] for d in str(100 * k + j)) for j in range(15)]
+        ids, bounds = own.batch(pa.array(texts))
+        for text, begin, end in zip(texts, bounds, bounds[1:]):
+            assert ids[begin:end].tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert set(encoded.values()) == {1} and len(encoded) == 2 + 30 * 15
+    assert len(own._words) + len(own._older) <= 40 + 2 * 17
+
+
+def test_words_without_the_normalizer_have_the_same_ids():
+    """Every letter, digit and mark of plain chunks, alone, doubled and between letters."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from steadfetch.llm import tokens
+
+    path = queries.tokenizer_path()
+    own, plain = tokens.Encoder(path), Tokenizer.from_file(path)
+    signs = pa.array([chr(i) for i in range(1, 0x500)])
+    signs = signs.filter(pc.match_substring_regex(signs, tokens._PLAIN)).to_pylist()
+    chunks = [pattern.replace("*", c) for c in signs for pattern in ("*", "**", "a*b", "É*'s", "'*7")]
+    ids, bounds = own.batch(pa.array(chunks))
+    assert own._word_tokenizer.normalizer is None and len(signs) == 156
+    for chunk, begin, end in zip(chunks, bounds, bounds[1:]):
+        assert ids[begin:end].tolist() == plain.encode(chunk, add_special_tokens=False).ids
