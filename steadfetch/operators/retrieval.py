@@ -9,16 +9,18 @@ among the best within the error bound of such a product is scored again in doubl
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import settle
+from ..session import settle, settle_last
 from ..sources.tables import spread
 from .ordinal import ordinal_in_group
 from .skew import HotKeys, hot_keys, split_hot_join
@@ -38,6 +40,8 @@ _LOT_QUERIES = 4_096
 # Passages are looked at so many at a time, and one product has so many cells.
 _STREAM_ROWS = 8_192
 _MATRIX_CELLS = 1 << 22
+# A product is made and looked at in tiles of so many columns.
+_TILE_COLUMNS = 2_048
 # Pairs scored again at a time.
 _EXACT_PAIRS = 1 << 16
 # Beyond such lengths single precision may overflow.
@@ -69,12 +73,13 @@ class _Search:
     def __init__(self, queries: np.ndarray, k: int, query_block: int = QUERY_BLOCK, passage_block: int = PASSAGE_BLOCK):
         self.queries, self.k = queries, k
         self.lengths = np.sqrt(np.einsum("ij,ij->i", queries, queries))
-        with np.errstate(over="ignore", invalid="ignore"):
-            self.single = queries.astype(np.float32)
         self.scores = np.full((len(queries), k), -np.inf)
         self.ids = np.full((len(queries), k), _NO_ID)
         self.width = max(1, min(passage_block, _STREAM_ROWS))
         self.height = max(1, min(query_block, _MATRIX_CELLS // self.width))
+        # Products and what is near enough are written to the same place again and again.
+        self.cells = np.empty(self.height * min(self.width, _TILE_COLUMNS), np.float32)
+        self.near = np.empty(self.cells.size + 8, bool)
 
     def meet(self, passages: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None) -> None:
         """Lets the queries (`rows` of them, or all) meet passages."""
@@ -85,39 +90,60 @@ class _Search:
             with np.errstate(over="ignore", invalid="ignore"):
                 single = held.astype(np.float32)
             for start in range(0, n, self.height):
-                some = slice(start, start + self.height) if rows is None else rows[start:start + self.height]
-                self._meet(np.arange(n)[some] if rows is None else some, some, held, single, reach, named)
+                some = slice(start, min(n, start + self.height)) if rows is None else rows[start:start + self.height]
+                self._meet(np.arange(some.start, some.stop) if rows is None else some, some, held, single, reach, named)
 
     def _meet(self, names, some, held, single, reach, ids) -> None:
         bound = self.lengths[some] * reach
         rounding = 0.51 * 10.0 ** -SCORE_PLACES
+        asked = self.queries[some]
+        worst = self.scores[some, -1]
         if np.all(bound < _SINGLE_RANGE):
-            scores = self.single[some] @ single.T
             # Twice the bound on the error of a product of this many terms and of its factors.
             margin = bound * ((held.shape[1] + 4) * 2.0 ** -23) + rounding
+            asked = asked.astype(np.float32)
+            floor = worst - margin
+            open_rows = np.flatnonzero(worst == -np.inf)
+            if len(open_rows) and len(ids) > self.k:
+                floor[open_rows] = _kth(asked[open_rows] @ single.T, self.k) - 2 * margin[open_rows]
+            row, col = self._near(asked, single, _below(floor, np.dtype(np.float32)))
         else:
             with np.errstate(over="ignore", invalid="ignore"):
-                scores = self.queries[some] @ held.astype(np.float64).T
+                scores = asked @ held.astype(np.float64).T
             scores[np.isnan(scores)] = -np.inf
             margin = np.nan_to_num(bound, posinf=0.0) * ((held.shape[1] + 4) * 2.0 ** -52) + rounding
-        worst = self.scores[some, -1]
-        floor = worst - margin
-        open_rows = np.flatnonzero(worst == -np.inf)
-        if len(open_rows) and scores.shape[1] > self.k:
-            edge = np.partition(scores[open_rows], scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
-            floor[open_rows] = edge - 2 * margin[open_rows]
-        floor = _below(floor, scores.dtype)
-        near = np.flatnonzero(scores.max(axis=1) >= floor)
-        if len(near) == 0:
+            floor = worst - margin
+            open_rows = np.flatnonzero(worst == -np.inf)
+            if len(open_rows) and len(ids) > self.k:
+                floor[open_rows] = _kth(scores[open_rows], self.k) - 2 * margin[open_rows]
+            row, col = np.nonzero(scores >= floor[:, None])
+        if len(row) == 0:
             return
-        row, col = np.nonzero(scores[near] >= floor[near, None])
-        row = names[near][row]
+        row = names[row]
         exact = np.empty(len(row))
         for at in range(0, len(row), _EXACT_PAIRS):
             r, c = row[at:at + _EXACT_PAIRS], col[at:at + _EXACT_PAIRS]
             exact[at:at + _EXACT_PAIRS] = np.einsum("ij,ij->i", self.queries[r], held[c].astype(np.float64))
         self._take(row, np.round(exact, SCORE_PLACES), ids[col])
 
+    def _near(self, asked: np.ndarray, passages: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, column) of the products that reach the bound of their row, found in tiles that fit a core's cache."""
+        n, rows, cols = len(asked), [], []
+        for at in range(0, len(passages), _TILE_COLUMNS):
+            tile = passages[at:at + _TILE_COLUMNS]
+            size, wide = n * len(tile), len(tile)
+            scores, near = self.cells[:size].reshape(n, wide), self.near[:size].reshape(n, wide)
+            np.matmul(asked, tile.T, out=scores)
+            np.greater_equal(scores, floor[:, None], out=near)
+            # Few are near, so eight are looked at as one word.
+            self.near[size:size + 8] = False
+            words = np.flatnonzero(self.near[:(size + 7) // 8 * 8].view(np.uint64))
+            word, place = np.nonzero(self.near[:(size + 7) // 8 * 8].reshape(-1, 8)[words])
+            row, col = np.divmod(words[word] * 8 + place, wide)
+            rows.append(row)
+            cols.append(col + at)
+        return np.concatenate(rows), np.concatenate(cols)
+
     def _take(self, row: np.ndarray, score: np.ndarray, ident: np.ndarray) -> None:
         met = score >= self.scores[row, -1]
         row, score, ident = row[met], score[met], ident[met]
@@ -137,6 +163,11 @@ class _Search:
         return row, self.scores[row, place], self.ids[row, place]
 
 
+def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of every row."""
+    return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+
+
 def _below(floor: np.ndarray, dtype) -> np.ndarray:
     """The bounds in the type of the scores, never rounded up."""
     cast = floor.astype(dtype)
@@ -189,15 +220,19 @@ def top_k(
     written once, as a search is dear and its hits are often used more than once.
     """
     keys = keys or ["query_idx", "pert_idx"]
-    # Counted, looked at and met: made once.
-    queries = settle(queries.select(*keys, "embedding").where(F.col("embedding").isNotNull()))
-    n_queries, head = queries.count(), queries.select("embedding").first()
-    dim = len(head[0]) if head else 0
-    if n_queries * (12 * dim + 48 * k) <= broadcast_bytes:
-        hits = _search_with_matrix(queries, passages, k, keys)
-    else:
-        hits = search_cells(queries, passages, k, keys, query_block, passage_block)
-    return settle(best_hits(hits, keys, k))
+
+    def search() -> DataFrame:
+        # Counted, looked at and met: made once.
+        asked = settle(queries.select(*keys, "embedding").where(F.col("embedding").isNotNull()))
+        n_queries, head = asked.count(), asked.select("embedding").first()
+        dim = len(head[0]) if head else 0
+        if n_queries * (12 * dim + 48 * k) <= broadcast_bytes:
+            hits = _search_with_matrix(asked, passages, k, keys)
+        else:
+            hits = search_cells(asked, passages, k, keys, query_block, passage_block)
+        return best_hits(hits, keys, k)
+
+    return settle_last(queries.sparkSession, search)
 
 
 def _search_with_matrix(queries: DataFrame, passages: DataFrame, k: int, keys: list[str]) -> DataFrame:
@@ -223,6 +258,11 @@ def _stored(column: pa.Array) -> np.ndarray:
     return _matrix(column, np.float32 if column.type.value_type == pa.float32() else np.float64)
 
 
+def _no_list(dtype: T.ArrayType) -> Column:
+    """A list for rows that have none. On its way to Python a row looks at all rows since the last one with a list that is not null."""
+    return F.array().cast(dtype)
+
+
 def search_cells(
     queries: DataFrame, passages: DataFrame, k: int, keys: list[str], query_block: int = QUERY_BLOCK,
     passage_block: int = PASSAGE_BLOCK,
@@ -239,10 +279,11 @@ def search_cells(
     celled = "_cells" in queries.columns
     head = queries.select("embedding").first()
     n, dim = queries.count(), len(head[0]) if head else 0
-    asked_cells = F.col("_cells") if celled else F.lit(None).cast("array<int>")
+    no_cells = _no_list(T.ArrayType(T.IntegerType()))
+    asked_cells = F.col("_cells") if celled else no_cells
     n_cells = queries.agg(F.max(F.size("_cells"))).first()[0] or 0 if celled else 0
     cores = spark.sparkContext.defaultParallelism
-    most = max(1, LOT_BYTES // (12 * dim + 32 * k + 16 * n_cells + 64))
+    most = max(1, LOT_BYTES // (8 * dim + 32 * k + 16 * n_cells + 64))
     lots = max(math.ceil(n / most), min(cores, math.ceil(n / _LOT_QUERIES)), 1)
     if lots > cores:
         lots = math.ceil(lots / cores) * cores
@@ -250,7 +291,7 @@ def search_cells(
     left = queries.select(
         lot.alias("_lot"), F.lit(0).alias("_kind"), F.lit(0).alias("_cell"), *keys, F.col("embedding").alias("_q"),
         asked_cells.alias("_cells"), F.lit(None).cast("bigint").alias("passage_idx"),
-        F.lit(None).cast(passages.schema["embedding"].dataType).alias("_p"),
+        _no_list(passages.schema["embedding"].dataType).alias("_p"),
     )
     alike = Window.partitionBy("embedding").orderBy("passage_idx")
     held = passages.where(F.col("embedding").isNotNull()).withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= k).drop("_n")
@@ -264,7 +305,7 @@ def search_cells(
     right = held.select(
         F.explode("_lots").alias("_lot"), F.lit(1).alias("_kind"), F.col("_cell").cast("int").alias("_cell"),
         *[F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in keys],
-        F.lit(None).cast(queries.schema["embedding"].dataType).alias("_q"), F.lit(None).cast("array<int>").alias("_cells"),
+        _no_list(queries.schema["embedding"].dataType).alias("_q"), no_cells.alias("_cells"),
         "passage_idx", F.col("embedding").alias("_p"),
     )
 
@@ -363,8 +404,12 @@ def probed_top_k(
     """
     keys = keys or ["query_idx", "pert_idx"]
     placed = nearest_cells(passages, ["passage_idx"], centres, 1)
-    asked = settle(with_cells(queries, keys, centres, probes))
-    return settle(best_hits(search_cells(asked, placed, k, keys, query_block, passage_block), keys, k))
+
+    def search() -> DataFrame:
+        asked = settle(with_cells(queries, keys, centres, probes))
+        return best_hits(search_cells(asked, placed, k, keys, query_block, passage_block), keys, k)
+
+    return settle_last(queries.sparkSession, search)
 
 
 def recall(found: DataFrame, exact: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -404,13 +449,133 @@ def pert_ordinals(flat: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     return ordinal_in_group(flat, ["query_idx"], [F.col("slot_idx")], "pert_idx", hot)
 
 
-def rescore(hits: DataFrame, scoring: DataFrame, passages: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Hits found with one query vector, scored with another (`scoring` holds keys, embedding)."""
-    on = keys or ["query_idx", "pert_idx"]
-    asked = hits.join(scoring.select(*on, F.col("embedding").alias("_q")), on)
-    # A passage that many queries hit is a hot key; its hits are counted before vectors come to them.
-    hot = hot_keys(hits, "passage_idx")
-    pairs = split_hot_join(asked, passages.select("passage_idx", F.col("embedding").alias("_p")), ["passage_idx"], "passage_idx", hot=hot)
-    products = F.zip_with("_q", "_p", lambda a, b: a.cast("double") * b.cast("double"))
-    dot = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
-    return pairs.withColumn("scoring_score", F.round(dot, SCORE_PLACES)).drop("_q", "_p")
+class _Pairs:
+    """Hits and the query vectors of one lot, met by passages that pass by."""
+
+    def __init__(self, asked: pa.Table, hits: pa.Table, on: list[str], own: list[str], carried: list[str]):
+        self.on, self.own, self.carried = on, own, carried
+        self.asked, self.hits = asked.drop_columns("_q").combine_chunks(), hits.combine_chunks()
+        self.vectors, self.whole = _vectors(asked.column("_q"), np.float64)
+        group = asked.column("_group").to_numpy()
+        self.asked_order = np.argsort(group, kind="stable")
+        group, wanted = group[self.asked_order], hits.column("_group").to_numpy()
+        self.first = np.searchsorted(group, wanted, side="left")
+        self.times = np.searchsorted(group, wanted, side="right") - self.first
+        met = hits.column("passage_idx").to_numpy()
+        self.hit_order = np.argsort(met, kind="stable")
+        self.met = met[self.hit_order]
+
+    def score(self, passages: pa.Table, told: list[str]):
+        """Batches of (hit, columns of its query vector, columns of its passage, product)."""
+        ids = passages.column("_id").to_numpy()
+        vectors, whole = _vectors(passages.column("_p"), None)
+        first = np.searchsorted(self.met, ids, side="left")
+        times = np.searchsorted(self.met, ids, side="right") - first
+        of_passage, hit = np.repeat(np.arange(len(ids)), times), self.hit_order[_runs(first, times)]
+        for at in range(0, len(hit), _STREAM_ROWS):
+            some = hit[at:at + _STREAM_ROWS]
+            times = self.times[some]
+            q = self.asked_order[_runs(self.first[some], times)]
+            h, p = np.repeat(some, times), np.repeat(of_passage[at:at + _STREAM_ROWS], times)
+            # Equal hashes of keys do not make equal keys, and null keys meet nothing.
+            same = np.ones(len(h), bool)
+            for c in self.on:
+                alike = pc.equal(self.hits.column(c).take(pa.array(h)), self.asked.column(c).take(pa.array(q)))
+                same &= alike.fill_null(False).to_numpy()
+            q, h, p = q[same], h[same], p[same]
+            if len(h) == 0:
+                continue
+            known = self.whole[q] & whole[p]
+            dot = np.zeros(len(h))
+            if known.any():
+                dot[known] = np.einsum("ij,ij->i", self.vectors[q[known]], vectors[p[known]].astype(np.float64))
+            columns = [self.hits.column(c).take(pa.array(h)) for c in self.own]
+            columns += [self.asked.column(c).take(pa.array(q)) for c in self.carried]
+            columns += [passages.column(c).take(pa.array(p)) for c in told]
+            names = [*self.own, *self.carried, *told, "_dot"]
+            yield from pa.table([*columns, pa.array(dot, mask=~known)], names=names).combine_chunks().to_batches()
+
+
+def _vectors(column: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a matrix and which of them are not null. Vectors of different lengths are an error."""
+    column = column.combine_chunks()
+    whole = column.is_valid().to_numpy(zero_copy_only=False)
+    held = column.drop_null()
+    if len(np.unique(held.value_lengths().to_numpy())) > 1:
+        raise ValueError("vectors of different lengths")
+    rows = _stored(held) if dtype is None else _matrix(held, dtype)
+    if whole.all():
+        return rows, whole
+    matrix = np.zeros((len(column), rows.shape[1]), rows.dtype)
+    matrix[whole] = rows
+    return matrix, whole
+
+
+def _runs(first: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each entry, as many as `times` says."""
+    return np.arange(times.sum()) + np.repeat(first - (np.cumsum(times) - times), times)
+
+
+def rescore(
+    hits: DataFrame, scoring: DataFrame, passages: DataFrame, keys: list[str] | None = None,
+    carry: list[str] | None = None,
+) -> DataFrame:
+    """Hits found with one query vector, scored with another (`scoring` holds keys, embedding).
+
+    A hit meets every row of `scoring` with its keys; `carry` names further columns of `scoring` or `passages` that
+    come along. Hits and query vectors are dealt out in lots, and a passage goes once to each lot with a hit on it, so
+    no vector moves per pair. A vector that is null or has a null in it gives a null score.
+    """
+    on, own = keys or ["query_idx", "pert_idx"], hits.columns
+    asks, told = ([c for c in carry or [] if c in df.columns] for df in (scoring, passages))
+    n_hits, n_asked = hits.count(), scoring.count()
+    head = scoring.select("embedding").where(F.col("embedding").isNotNull()).first()
+    cores = hits.sparkSession.sparkContext.defaultParallelism
+    held_bytes = n_asked * (8 * (len(head[0]) if head else 0) + 32) + n_hits * (16 * len(own) + 16)
+    lots = max(math.ceil(held_bytes / LOT_BYTES), min(cores, math.ceil(n_hits / _LOT_QUERIES)), 1)
+    if lots > cores:
+        lots = math.ceil(lots / cores) * cores
+    # Keys are compared in the types that a union gives them, as in a join.
+    wide = {f.name: f.dataType for f in scoring.select(*on).union(hits.select(*on)).schema}
+    group = F.xxhash64(*[F.col(c).cast(wide[c]) for c in on])
+    named = hits.where(F.col("passage_idx").isNotNull()).withColumn("_group", group)
+    # A key with many hits has several parts, and its vectors go to the lots of all of them.
+    hot = hot_keys(named, "_group")
+    parts = F.coalesce("_salts", F.lit(1))
+    dealt = hot.mark(named, "_group").withColumn("_part", F.pmod(F.xxhash64("passage_idx"), parts).cast("int"))
+    asked = hot.mark(scoring.withColumn("_group", group), "_group").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    lot = F.pmod(F.xxhash64("_group", "_part"), F.lit(lots)).cast("int").alias("_lot")
+    wanted = dealt.select(lot, F.col("passage_idx").alias("_id")).distinct().groupBy("_id").agg(F.collect_list("_lot").alias("_lots"))
+    whole = F.when(F.forall("embedding", lambda x: x.isNotNull()), F.col("embedding"))
+    no_q, no_p = (_no_list(df.schema["embedding"].dataType) for df in (scoring, passages))
+    rows = [
+        asked.select(lot, F.lit(0).alias("_kind"), "_group", "_part", *on, *[F.col(c).alias(f"_asks_{c}") for c in asks], whole.alias("_q"), no_p.alias("_p")),
+        dealt.select(lot, F.lit(1).alias("_kind"), "_group", "_part", *own, no_q.alias("_q"), no_p.alias("_p")),
+        passages.select(F.col("passage_idx").alias("_id"), *[F.col(c).alias(f"_told_{c}") for c in told], whole.alias("_p"))
+        .join(wanted, "_id").withColumns({"_lot": F.explode("_lots"), "_kind": F.lit(2), "_q": no_q}).drop("_lots"),
+    ]
+    sent = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    sent = sent.repartitionById(lots, F.col("_lot")).sortWithinPartitions("_kind").drop("_lot")
+    asks, told = [f"_asks_{c}" for c in asks], [f"_told_{c}" for c in told]
+
+    def run(batches):
+        asked, held, pairs = [], [], None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            a, b = np.searchsorted(table.column("_kind").to_numpy(), [1, 2]).tolist()
+            if a:
+                asked.append(table.slice(0, a).select(["_group", "_part", *on, *asks, "_q"]))
+            if b > a:
+                held.append(table.slice(a, b - a).select(["_group", "_part", *own]))
+            if b == len(batch) or not (asked and held or pairs):
+                continue
+            if pairs is None:
+                pairs = _Pairs(pa.concat_tables(asked), pa.concat_tables(held), ["_part", *on], own, asks)
+                asked, held = [], []
+            yield from pairs.score(table.slice(b), told)
+
+    shape = T.StructType([sent.schema[c] for c in [*own, *asks, *told]] + [T.StructField("_dot", T.DoubleType())])
+    return sent.mapInArrow(run, shape).select(
+        *[F.col(c).cast(hits.schema[c].dataType) for c in own], *[F.col(c).alias(c[6:]) for c in [*asks, *told]],
+        F.round("_dot", SCORE_PLACES).alias("scoring_score"),
+    )

@@ -13,7 +13,7 @@ from ..operators import marking, pool, retrieval
 from ..session import settle
 from ..sources.tables import given
 from .catalog import query, with_ctes
-from .retrieval_queries import CLEAN, K, MOVED, clean_hits, passages, perturbed_hits, perturbed_vectors, top_sql
+from .retrieval_queries import CLEAN, K, MOVED, clean_hits, perturbed_hits, perturbed_vectors, top_sql
 
 MIN_DOT = 0.2
 
@@ -42,17 +42,16 @@ def marked_pairs(spark: SparkSession, folder: str) -> DataFrame:
     clean = flat(clean_hits(spark, folder).drop("pert_idx"))
     perturbed = flat(perturbed_hits(spark, folder))
     once = pool.first_occurrence(pool.with_key(pool.union_candidates(clean, perturbed)))
-    docs = once.select("query_idx", "doc_key", "passage_idx")
-    asked, held = perturbed_vectors(spark, folder), passages(spark, folder)
-    pairs = docs.join(asked.select("query_idx", "pert_idx"), "query_idx")
-    scored = retrieval.rescore(pairs, asked, held)
-    labels = given(spark, folder, "embeddings").select("vec_id", "label")
-    return (
-        scored.join(labels.select(F.col("vec_id").alias("query_idx"), F.col("label").alias("_a")), "query_idx")
-        .join(labels.select(F.col("vec_id").alias("passage_idx"), F.col("label").alias("_b")), "passage_idx")
-        .withColumn("correct", (F.col("_a") == F.col("_b")) & (F.col("scoring_score") >= MIN_DOT))
-        .drop("_a", "_b")
+    given_rows = given(spark, folder, "embeddings")
+    labels = given_rows.select("vec_id", "label")
+    docs = settle(
+        once.select("query_idx", "doc_key", "passage_idx")
+        .join(labels.select(F.col("vec_id").alias("query_idx"), F.col("label").alias("_a")), "query_idx")
     )
+    # A passage brings its label with its vector, so pairs meet no further table.
+    held = given_rows.select(F.col("vec_id").alias("passage_idx"), "embedding", F.col("label").alias("_b"))
+    scored = retrieval.rescore(docs, perturbed_vectors(spark, folder), held, ["query_idx"], carry=["pert_idx", "_b"])
+    return scored.withColumn("correct", (F.col("_a") == F.col("_b")) & (F.col("scoring_score") >= MIN_DOT)).drop("_a", "_b")
 
 
 @query("robust_passages", with_ctes(

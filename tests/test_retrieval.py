@@ -162,3 +162,53 @@ def test_candidates_without_text(data):
     queries, passages, best = data
     nested = retrieval.nest_hits(retrieval.top_k(queries, passages, 7), queries=queries).collect()
     assert {(r["query_idx"], c["rank"], c["passage_idx"]) for r in nested for c in r["candidates"]} == best
+
+
+@pytest.mark.parametrize("lot_bytes", [128 << 20, 20_000])
+def test_rescored_pairs_against_all_products(spark, monkeypatch, lot_bytes):
+    """Several vectors per key, passages that are there twice, nulls, a key with most hits, keys of another type."""
+    monkeypatch.setattr(retrieval, "LOT_BYTES", lot_bytes)
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(60, 4)).round(2)
+    held = [(i, v.tolist(), f"t{i}") for i, v in enumerate(vectors[:40])]
+    held += [(3, [1.0, 2.0, 3.0, 4.0], "again"), (40, None, "none"), (41, [1.0, None, 0.0, 0.0], "half"), (None, [1.0] * 4, "lost")]
+    asked = [(q, s, vectors[40 + q + s].tolist()) for q in range(12) for s in range(5)]
+    asked += [(0, 5, None), (None, 0, [1.0] * 4)]
+    hits = [(q, p, f"k{p}") for q in range(12) for p in range(0, 44, 1 if q == 7 else 6)] + [(None, 1, "x"), (2, None, "y"), (99, 1, "z")]
+    expected = []
+    for q, p, key in hits:
+        for a, s, v in asked:
+            for i, w, told in held:
+                if q is not None and p is not None and (q, p) == (a, i):
+                    whole = v is not None and w is not None and None not in w
+                    expected.append((q, p, key, s, told, round(float(np.dot(v, w)), 6) if whole else None))
+    scored = retrieval.rescore(
+        spark.createDataFrame(hits, "query_idx bigint, passage_idx bigint, doc_key string"),
+        spark.createDataFrame(asked, "query_idx int, pert_idx int, embedding array<double>"),
+        spark.createDataFrame(held, "passage_idx bigint, embedding array<double>, told string"), ["query_idx"], carry=["pert_idx", "told"],
+    )
+    assert scored.columns == ["query_idx", "passage_idx", "doc_key", "pert_idx", "told", "scoring_score"]
+    order = lambda r: (*r[:5], r[5] is None, r[5] or 0.0)
+    got = sorted((tuple(r) for r in scored.collect()), key=order)
+    assert len(got) == len(expected)
+    for g, e in zip(got, sorted(expected, key=order)):
+        assert g[:5] == e[:5] and (g[5] == e[5] if e[5] is None else abs(g[5] - e[5]) < 2e-6)
+
+
+def test_rescoring_moves_no_vector_per_pair(spark):
+    asked = spark.range(1000).select((F.col("id") % 200).alias("query_idx"), F.floor(F.col("id") / 200).alias("pert_idx"), F.array(F.rand(1), F.rand(2)).alias("embedding"))
+    held = spark.range(50).select(F.col("id").alias("passage_idx"), F.array(F.rand(3), F.rand(4)).alias("embedding"))
+    hits = spark.range(6000).select((F.col("id") % 200).alias("query_idx"), F.floor(F.col("id") / 200).alias("passage_idx")).localCheckpoint()
+    scored = retrieval.rescore(hits, asked, held, ["query_idx"], carry=["pert_idx"])
+    lots = min(spark.sparkContext.defaultParallelism, 2)
+    # Hits, query vectors and passages of the lots; who wants what (per task, then per passage) and the passages it goes to.
+    assert scored.count() == 30_000
+    assert shuffled(scored) <= 6000 + 1000 + 50 * lots + 6000 + 50 * lots * 9 + 50
+
+
+def test_rescoring_refuses_vectors_of_different_lengths(spark):
+    hits = spark.createDataFrame([(0, 0, 0), (0, 0, 1)], "query_idx bigint, pert_idx bigint, passage_idx bigint")
+    asked = spark.createDataFrame([(0, 0, [1.0, 2.0])], "query_idx bigint, pert_idx bigint, embedding array<double>")
+    held = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0, 3.0])], "passage_idx bigint, embedding array<double>")
+    with pytest.raises(Exception, match="different lengths"):
+        retrieval.rescore(hits, asked, held).collect()
