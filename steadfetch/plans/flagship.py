@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import marking, pool, retrieval
-from ..session import settle
+from ..session import settle, settle_last
 from ..sources.tables import given
 from .catalog import query, with_ctes
 from .retrieval_queries import CLEAN, K, MOVED, clean_hits, perturbed_hits, perturbed_vectors, top_sql
@@ -72,7 +72,7 @@ def robust_passages(spark: SparkSession, folder: str) -> DataFrame:
     "SELECT query_idx, passage_idx, round(robustness, 9) AS robustness FROM scores", *CHAIN))
 def robust_pool(spark: SparkSession, folder: str) -> DataFrame:
     """The soft score of every pooled passage."""
-    marks = settle(marked_pairs(spark, folder).select("query_idx", "passage_idx", "doc_key", "correct"))
+    marks = settle_last(spark, lambda: marked_pairs(spark, folder).select("query_idx", "passage_idx", "doc_key", "correct"))
     ids = marks.select("query_idx", "doc_key", "passage_idx").distinct()
     return marking.robustness(marks).join(ids, ["query_idx", "doc_key"]).select(
         "query_idx", "passage_idx", F.round("robustness", 9).alias("robustness")
