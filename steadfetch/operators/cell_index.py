@@ -10,8 +10,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import settle
-from .retrieval import BROADCAST_BYTES, PASSAGE_BLOCK, QUERY_BLOCK, best_hits, fit_cells, nearest_cells, search_cells, with_cells
+from ..session import settle, settle_last
+from .retrieval import (
+    BROADCAST_BYTES, PASSAGE_BLOCK, QUERY_BLOCK, best_hits, fit_cells, nearest_cells, search_cells, with_cells, with_found, with_least,
+)
 
 # The centres are fitted on about this many vectors at most, picked by a hash of their ids.
 SAMPLE_ROWS = 100_000
@@ -56,16 +58,21 @@ def append(passages: DataFrame, path: str) -> None:
 
 def search(
     queries: DataFrame, path: str, k: int = 100, probes: int = 16, keys: list[str] | None = None,
-    query_block: int = QUERY_BLOCK, passage_block: int = PASSAGE_BLOCK,
+    query_block: int = QUERY_BLOCK, passage_block: int = PASSAGE_BLOCK, found: DataFrame | None = None, probed: int = 0,
 ) -> DataFrame:
     """Top-k among the passages of each query's `probes` nearest cells: (keys, rank from 0, passage_idx, score).
 
-    With as many probes as cells the result is exact.
+    With as many probes as cells the result is exact. `found`, the result of the same search with `probed` cells, is
+    carried on: its cells are not visited again, so more passages must not have come to the index since.
     """
     spark, keys = queries.sparkSession, keys or ["query_idx", "pert_idx"]
     centres = centres_of(spark, path)
-    asked = settle(with_cells(queries, keys, centres, probes))
-    # At most one number per cell; the filter reaches the scan as partitions to read.
-    wanted = [r[0] for r in asked.select(F.explode("_cells")).distinct().collect()]
-    vectors = spark.read.parquet(f"{path}/vectors").where(F.col("cell").isin(wanted)).withColumnRenamed("cell", "_cell")
-    return settle(best_hits(search_cells(asked, vectors, k, keys, query_block, passage_block), keys, k))
+
+    def further() -> DataFrame:
+        asked = settle(with_cells(with_least(queries, found, keys, k), keys, centres, probes, probed if found is not None else 0))
+        # At most one number per cell; the filter reaches the scan as partitions to read.
+        wanted = [r[0] for r in asked.select(F.explode("_cells")).distinct().collect()]
+        vectors = spark.read.parquet(f"{path}/vectors").where(F.col("cell").isin(wanted)).withColumnRenamed("cell", "_cell")
+        return best_hits(with_found(search_cells(asked, vectors, k, keys, query_block, passage_block), found), keys, k)
+
+    return settle_last(spark, further)

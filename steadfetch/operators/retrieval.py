@@ -37,8 +37,8 @@ QUERY_BLOCK = 16_384
 PASSAGE_BLOCK = 65_536
 # A lot has at least this many queries, or all.
 _LOT_QUERIES = 4_096
-# Passages are looked at so many at a time, and one product has so many cells.
-_STREAM_ROWS = 8_192
+# Passages are looked at so many at a time (an Arrow batch has 10,000), and so many products with them.
+_STREAM_ROWS = 10_240
 _MATRIX_CELLS = 1 << 22
 # A product is made and looked at in tiles of so many columns.
 _TILE_COLUMNS = 2_048
@@ -68,10 +68,14 @@ def _best(row: np.ndarray, score: np.ndarray, ident: np.ndarray, k: int):
 
 
 class _Search:
-    """Some queries and the k best passages of each among those met so far."""
+    """Some queries and the k best passages of each among those met so far. Scores below `least` are of no interest."""
 
-    def __init__(self, queries: np.ndarray, k: int, query_block: int = QUERY_BLOCK, passage_block: int = PASSAGE_BLOCK):
+    def __init__(
+        self, queries: np.ndarray, k: int, query_block: int = QUERY_BLOCK, passage_block: int = PASSAGE_BLOCK,
+        least: np.ndarray | None = None,
+    ):
         self.queries, self.k = queries, k
+        self.worst = np.full(len(queries), -np.inf) if least is None else least
         self.lengths = np.sqrt(np.einsum("ij,ij->i", queries, queries))
         self.scores = np.full((len(queries), k), -np.inf)
         self.ids = np.full((len(queries), k), _NO_ID)
@@ -97,7 +101,7 @@ class _Search:
         bound = self.lengths[some] * reach
         rounding = 0.51 * 10.0 ** -SCORE_PLACES
         asked = self.queries[some]
-        worst = self.scores[some, -1]
+        worst = self.worst[some]
         if np.all(bound < _SINGLE_RANGE):
             # Twice the bound on the error of a product of this many terms and of its factors.
             margin = bound * ((held.shape[1] + 4) * 2.0 ** -23) + rounding
@@ -128,24 +132,33 @@ class _Search:
 
     def _near(self, asked: np.ndarray, passages: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, column) of the products that reach the bound of their row, found in tiles that fit a core's cache."""
-        n, rows, cols = len(asked), [], []
+        n, rows, cols = len(asked), [np.zeros(0, np.intp)], [np.zeros(0, np.intp)]
         for at in range(0, len(passages), _TILE_COLUMNS):
             tile = passages[at:at + _TILE_COLUMNS]
-            size, wide = n * len(tile), len(tile)
-            scores, near = self.cells[:size].reshape(n, wide), self.near[:size].reshape(n, wide)
+            wide = len(tile)
+            scores = self.cells[:n * wide].reshape(n, wide)
             np.matmul(asked, tile.T, out=scores)
-            np.greater_equal(scores, floor[:, None], out=near)
+            some = np.flatnonzero(scores.max(axis=1) >= floor)
+            if len(some) == 0:
+                continue
+            if 2 * len(some) < n:
+                scores = scores[some]
+            else:
+                some = np.arange(n)
+            size = scores.size
             # Few are near, so eight are looked at as one word.
-            self.near[size:size + 8] = False
-            words = np.flatnonzero(self.near[:(size + 7) // 8 * 8].view(np.uint64))
-            word, place = np.nonzero(self.near[:(size + 7) // 8 * 8].reshape(-1, 8)[words])
-            row, col = np.divmod(words[word] * 8 + place, wide)
-            rows.append(row)
+            words = self.near[:(size + 7) // 8 * 8]
+            words[size:] = False
+            np.greater_equal(scores, floor[some, None], out=words[:size].reshape(scores.shape))
+            word = np.flatnonzero(words.view(np.uint64))
+            of, place = np.nonzero(words.reshape(-1, 8)[word])
+            row, col = np.divmod(word[of] * 8 + place, wide)
+            rows.append(some[row])
             cols.append(col + at)
         return np.concatenate(rows), np.concatenate(cols)
 
     def _take(self, row: np.ndarray, score: np.ndarray, ident: np.ndarray) -> None:
-        met = score >= self.scores[row, -1]
+        met = score >= self.worst[row]
         row, score, ident = row[met], score[met], ident[met]
         if len(row) == 0:
             return
@@ -156,6 +169,7 @@ class _Search:
             np.concatenate([self.ids[changed].ravel(), ident]), self.k,
         )
         self.scores[changed], self.ids[changed] = scores.reshape(-1, self.k), ids.reshape(-1, self.k)
+        self.worst[changed] = np.maximum(self.worst[changed], self.scores[changed, -1])
 
     def found(self):
         """(query row, score, id) of all that is held, row by row."""
@@ -271,12 +285,13 @@ def search_cells(
 
     A lot is one task. It holds its queries, of bounded size, and the k best passages of each; all passages are
     sent to every lot and pass by as a stream, so what moves is the queries once and the passages once per lot.
+    A column `_least` of queries is a score below which hits are of no interest; null for none.
     With columns `_cells` (array<int>) of queries and `_cell` of passages a query meets the passages of its own cells
     only, and a lot gets the passages of the cells that its queries ask for. Of passages with the same vector those
     with the k smallest ids stand for all, as they have the same score.
     """
     spark = queries.sparkSession
-    celled = "_cells" in queries.columns
+    celled, no_least = "_cells" in queries.columns, F.lit(None).cast("double").alias("_least")
     head = queries.select("embedding").first()
     n, dim = queries.count(), len(head[0]) if head else 0
     no_cells = _no_list(T.ArrayType(T.IntegerType()))
@@ -290,7 +305,7 @@ def search_cells(
     lot = F.pmod(F.xxhash64(*keys), F.lit(lots)).cast("int")
     left = queries.select(
         lot.alias("_lot"), F.lit(0).alias("_kind"), F.lit(0).alias("_cell"), *keys, F.col("embedding").alias("_q"),
-        asked_cells.alias("_cells"), F.lit(None).cast("bigint").alias("passage_idx"),
+        asked_cells.alias("_cells"), F.col("_least") if "_least" in queries.columns else no_least, F.lit(None).cast("bigint").alias("passage_idx"),
         _no_list(passages.schema["embedding"].dataType).alias("_p"),
     )
     alike = Window.partitionBy("embedding").orderBy("passage_idx")
@@ -306,7 +321,7 @@ def search_cells(
         F.explode("_lots").alias("_lot"), F.lit(1).alias("_kind"), F.col("_cell").cast("int").alias("_cell"),
         *[F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in keys],
         _no_list(queries.schema["embedding"].dataType).alias("_q"), no_cells.alias("_cells"),
-        "passage_idx", F.col("embedding").alias("_p"),
+        no_least, "passage_idx", F.col("embedding").alias("_p"),
     )
 
     def run(batches):
@@ -315,12 +330,13 @@ def search_cells(
             table = pa.Table.from_batches([batch])
             n_asked = int(np.searchsorted(table.column("_kind").to_numpy(), 1))
             if n_asked:
-                asked.append(table.slice(0, n_asked).select([*keys, "_q", "_cells"]))
+                asked.append(table.slice(0, n_asked).select([*keys, "_q", "_cells", "_least"]))
             if n_asked == len(batch) or not asked and search is None:
                 continue
             if search is None:
                 asked = pa.concat_tables(asked).combine_chunks()
-                names, search = asked.select(keys), _Search(_matrix(asked.column("_q")), k, query_block, passage_block)
+                names, least = asked.select(keys), np.nan_to_num(asked.column("_least").to_numpy(), nan=-np.inf)
+                search = _Search(_matrix(asked.column("_q")), k, query_block, passage_block, least)
                 places = _rows_by_cell(asked.column("_cells")) if celled else None
                 asked = []
             rest = table.slice(n_asked)
@@ -375,11 +391,12 @@ def nearest_cells(df: DataFrame, keys: list[str], centres: np.ndarray, n: int) -
     return spread(df.select(*keys, "embedding").where(F.col("embedding").isNotNull())).mapInArrow(run, schema)
 
 
-def with_cells(queries: DataFrame, keys: list[str], centres: np.ndarray, n: int) -> DataFrame:
-    """The queries (keys, embedding) with `_cells`, the n cells nearest to each."""
+def with_cells(queries: DataFrame, keys: list[str], centres: np.ndarray, n: int, skip: int = 0) -> DataFrame:
+    """The queries (keys, embedding, perhaps `_least`) with `_cells`, the n cells nearest to each but for the first `skip` of them."""
     shared = queries.sparkSession.sparkContext.broadcast(np.asarray(centres, dtype=np.float64))
     n = min(n, len(centres))
-    rows = queries.select(*keys, "embedding").where(F.col("embedding").isNotNull())
+    skip = min(skip, n)
+    rows = queries.select(*keys, "embedding", *[c for c in ("_least",) if c in queries.columns]).where(F.col("embedding").isNotNull())
     schema = T.StructType(rows.schema.fields + [T.StructField("_cells", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
@@ -388,7 +405,9 @@ def with_cells(queries: DataFrame, keys: list[str], centres: np.ndarray, n: int)
                 continue
             search = _Search(_matrix(batch.column(len(keys))), n)
             search.meet(shared.value, np.arange(len(shared.value)))
-            cells = pa.FixedSizeListArray.from_arrays(pa.array(search.ids.ravel(), pa.int32()), n).cast(pa.list_(pa.int32()))
+            # Nearest first, and the same order for any n.
+            cells = pa.ListArray.from_arrays(
+                np.arange(len(batch) + 1, dtype=np.int32) * (n - skip), pa.array(search.ids[:, skip:].ravel(), pa.int32()))
             yield pa.RecordBatch.from_arrays(batch.columns + [cells], names=[f.name for f in schema.fields])
 
     return rows.mapInArrow(run, schema)
@@ -397,21 +416,36 @@ def with_cells(queries: DataFrame, keys: list[str], centres: np.ndarray, n: int)
 def probed_top_k(
     queries: DataFrame, passages: DataFrame, centres: np.ndarray, k: int = 100, probes: int = 16,
     keys: list[str] | None = None, query_block: int = QUERY_BLOCK, passage_block: int = PASSAGE_BLOCK,
+    found: DataFrame | None = None, probed: int = 0,
 ) -> DataFrame:
     """Approximate top-k: each query meets the passages of its `probes` nearest cells.
 
-    With as many probes as cells the result is exact. It is written once, like that of `top_k`.
+    With as many probes as cells the result is exact. It is written once, like that of `top_k`. `found`, the result of
+    the same search with `probed` cells, is carried on: its cells are not visited again.
     """
     keys = keys or ["query_idx", "pert_idx"]
     placed = nearest_cells(passages, ["passage_idx"], centres, 1)
 
     def search() -> DataFrame:
-        asked = settle(with_cells(queries, keys, centres, probes))
-        return best_hits(search_cells(asked, placed, k, keys, query_block, passage_block), keys, k)
+        asked = settle(with_cells(with_least(queries, found, keys, k), keys, centres, probes, probed if found is not None else 0))
+        hits = search_cells(asked, placed, k, keys, query_block, passage_block)
+        return best_hits(with_found(hits, found), keys, k)
 
     return settle_last(queries.sparkSession, search)
 
 
+def with_least(queries: DataFrame, found: DataFrame | None, keys: list[str], k: int) -> DataFrame:
+    """Adds `_least`, the k-th best score found before, null where fewer were found."""
+    if found is None:
+        return queries
+    return queries.join(found.where(F.col("rank") == k - 1).select(*keys, F.col("score").alias("_least")), keys, "left")
+
+
+def with_found(hits: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Hits of further cells together with those that were found in other cells before."""
+    return hits if found is None else hits.unionByName(found.select(*hits.columns))
+
+
 def recall(found: DataFrame, exact: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One row: share of the exact hits that were found."""
     on = (keys or ["query_idx", "pert_idx"]) + ["passage_idx"]

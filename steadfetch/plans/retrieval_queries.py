@@ -160,9 +160,10 @@ def stored_recall(spark: SparkSession, folder: str) -> DataFrame:
     """Recall of the stored index does not fall with the probes, reaches 0.9 at `ENOUGH` and 1 at all cells."""
     path, asked = stored_index(spark, folder), settle(perturbed_vectors(spark, folder))
     exact = retrieval.top_k(asked, passages(spark, folder), K)
-    rows, before = [], 0.0
+    rows, before, hits, probed = [], 0.0, None, 0
     for probes in (1, 4, ENOUGH, N_CELLS):
-        found = retrieval.recall(cell_index.search(asked, path, K, probes=probes), exact).first()
+        hits, probed = cell_index.search(asked, path, K, probes=probes, found=hits, probed=probed), probes
+        found = retrieval.recall(hits, exact).first()
         rows.append((probes, found["n_exact"], found["recall"] >= before, probes >= ENOUGH and found["recall"] >= 0.9, found["recall"] == 1.0))
         before = found["recall"]
     return spark.createDataFrame(rows, "probes int, n_exact bigint, not_falling boolean, enough boolean, whole boolean")

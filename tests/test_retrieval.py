@@ -212,3 +212,57 @@ def test_rescoring_refuses_vectors_of_different_lengths(spark):
     held = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0, 3.0])], "passage_idx bigint, embedding array<double>")
     with pytest.raises(Exception, match="different lengths"):
         retrieval.rescore(hits, asked, held).collect()
+
+
+def test_a_search_carried_on_equals_a_new_one(spark, data):
+    """Cells that were visited are not visited again, and the hits found in them still count."""
+    queries, passages, _ = data
+    keys, centres = ["query_idx", "pert_idx"], retrieval.fit_cells(passages, 5)
+    path = scratch_path(spark, "carried")
+    cell_index.build(passages, path, 5)
+    rows = lambda df: sorted(tuple(r) for r in df.select(*keys, "rank", "passage_idx", "score").collect())
+    probed, stored, before = None, None, 0
+    for probes in (1, 3, 5, 5):
+        probed = retrieval.probed_top_k(queries, passages, centres, 7, probes=probes, found=probed, probed=before)
+        stored = cell_index.search(queries, path, 7, probes=probes, found=stored, probed=before)
+        before = probes
+        assert rows(probed) == rows(retrieval.probed_top_k(queries, passages, centres, 7, probes=probes))
+        assert rows(stored) == rows(cell_index.search(queries, path, 7, probes=probes))
+    three = {r["query_idx"]: r["_cells"] for r in retrieval.with_cells(queries, keys, centres, 3).collect()}
+    rest = {r["query_idx"]: r["_cells"] for r in retrieval.with_cells(queries, keys, centres, 3, skip=1).collect()}
+    assert all(rest[q] == cells[1:] for q, cells in three.items()) and len(three) == 40
+
+
+def test_scores_of_no_interest_are_not_held():
+    """A bound that k hits reach changes no hit among the rest; ties with the bound are kept."""
+    rng = np.random.default_rng(4)
+    held, asked = rng.normal(size=(700, 6)).round(1), rng.normal(size=(30, 6)).round(1)
+    held[600:] = held[:100]
+    exact = np.round(asked @ held.T, 6)
+    bound = np.sort(exact, axis=1)[:, -12]
+    search = retrieval._Search(asked, 20, passage_block=64, least=bound.copy())
+    search.meet(held, np.arange(700))
+    row, score, ident = search.found()
+    for q in range(30):
+        best = [p for p in sorted(range(700), key=lambda p: (-exact[q, p], p)) if exact[q, p] >= bound[q] - 1e-9][:20]
+        assert ident[row == q].tolist() == best
+
+
+def test_lists_that_are_not_there_are_empty_on_their_way_to_python(spark, monkeypatch):
+    """A null list makes every later row of a batch walk over all rows since the last list."""
+    seen = []
+    sort = type(spark.range(1)).sortWithinPartitions
+
+    def look(df, *columns, **more):
+        seen.append(df)
+        return sort(df, *columns, **more)
+
+    monkeypatch.setattr(type(spark.range(1)), "sortWithinPartitions", look)
+    held = spark.range(50).select(F.col("id").alias("passage_idx"), F.array(F.rand(3), F.rand(4)).alias("embedding"))
+    asked = held.select(F.col("passage_idx").alias("query_idx"), F.lit(0).alias("pert_idx"), "embedding")
+    hits = retrieval.search_cells(asked, held, 3, ["query_idx", "pert_idx"])
+    retrieval.rescore(hits.drop("score"), asked, held).collect()
+    assert len(seen) == 2
+    for df in seen:
+        lists = [f.name for f in df.schema if f.dataType.typeName() == "array"]
+        assert {"_q", "_p"} <= set(lists) and df.where(" OR ".join(f"{c} IS NULL" for c in lists)).isEmpty()
