@@ -126,9 +126,9 @@ def probed_recall(spark: SparkSession, folder: str) -> DataFrame:
     centres = cells(spark, folder)
     asked, held = settle(perturbed_vectors(spark, folder)), passages(spark, folder)
     exact = retrieval.top_k(asked, held, K)
-    rows = None
+    rows, found, before = None, None, 0
     for probes in (1, 4, N_CELLS):
-        found = retrieval.probed_top_k(asked, held, centres, K, probes=probes)
+        found, before = retrieval.probed_top_k(asked, held, centres, K, probes=probes, found=found, probed=before), probes
         one = retrieval.recall(found, exact).withColumn("probes", F.lit(probes))
         rows = one if rows is None else rows.unionByName(one)
     return rows
